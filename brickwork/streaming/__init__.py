@@ -1,0 +1 @@
+"""Reserved: every workload here is a batch job, so there is no streaming operator."""
