@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from brickwork.session import ship_package
+
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
@@ -18,11 +21,15 @@ VIEWS = {
         select block_id, '/data/block-' || cast(block_id as varchar) || '.nii' as path,
                list(v order by pos) as v
         from voxel group by block_id""",
+    # Planes per image: the greatest depth up to 64 that gives all images the same shape.
+    "depth": """
+        select max(d) as depth from (select unnest(range(1, 65)) as d)
+        where (select count(*) from embeddings) % d = 0""",
     "plane": """
-        select vec_id // 64 as block_id, i % 8 as x, i // 8 as y, vec_id % 64 as z,
+        select vec_id // depth as block_id, i % 8 as x, i // 8 as y, vec_id % depth as z, depth,
                cast(floor((cast(e as double) + 1.0) * 32767.5) as bigint) as v,
-               '/data/image-' || lpad(cast(vec_id // 64 as varchar), 8, '0') || '.nii' as path
-        from (select vec_id, unnest(embedding) as e, unnest(range(0, 64)) as i from embeddings)""",
+               'image-' || lpad(cast(vec_id // depth as varchar), 8, '0') || '.nii' as name
+        from (select vec_id, unnest(embedding) as e, unnest(range(0, 64)) as i from embeddings) cross join depth""",
     "donor": """
         select block_id, it, (block_id * 31 + it * 17 + 1234) % (select count(*) from embeddings) as donor
         from (select vec_id as block_id, unnest(range(0, 3)) as it from embeddings)""",
@@ -58,7 +65,7 @@ VIEWS = {
         from trace""",
 }
 
-_NEEDS = {"block": ["voxel"], "trace": ["trace0"], "shown": ["trace0", "trace"]}
+_NEEDS = {"block": ["voxel"], "plane": ["depth"], "trace": ["trace0"], "shown": ["trace0", "trace"]}
 
 
 def with_views(*names: str, body: str, **extra: str) -> str:
@@ -76,7 +83,12 @@ def query(name: str, sql: str | None = None):
     """Register a query and, where one exists, its checking SQL."""
 
     def add(function: Callable) -> Callable:
-        QUERIES[name] = function
+        @functools.wraps(function)
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return function

@@ -413,34 +413,32 @@ def _files(spark, sf_dir):
     return folder
 
 
-_SIZES = "select path, 352 + 2 * count(*) as length from plane group by path"
+_SIZES = "select name, 352 + 2 * count(*) as length from plane group by name"
 
 
-@query("list_blocks", with_views("plane", s=_SIZES, body="select path[7:] as name, length from s"))
+@query("list_blocks", with_views("plane", s=_SIZES, body="select name, length from s"))
 def list_blocks(spark, sf_dir):
     found = listing.list_blocks(spark, _files(spark, sf_dir))
     return found.select(listing.fl.basename(F.col("path")).alias("name"), "length")
 
 
-@query("list_blocks_recursive", with_views("plane", s=_SIZES, body="select path[7:] as name, length from s"))
+@query("list_blocks_recursive", with_views("plane", s=_SIZES, body="select name, length from s"))
 def list_blocks_recursive(spark, sf_dir):
     top = scratch_path(spark, "tree").removeprefix("file:")
-    nifti.write_blocks(tables.slabs(spark, sf_dir), f"{top}/site-0/sub-1/anat")
+    nifti.write_blocks(tables.cohort_slabs(spark, sf_dir), top, below="/data")
     found = listing.list_blocks(spark, top, recursive=True)
     return found.select(listing.fl.basename(F.col("path")).alias("name"), "length")
 
 
-_PLANE_VOXELS = """
-    select p.block_id, (x * 8 + y) * d.depth + z as pos, x, y, z, {value} as v
-    from plane p join (select block_id, max(z) + 1 as depth from plane group by block_id) d using (block_id) {join}"""
+_PLANE_VOXELS = "select block_id, (x * 8 + y) * depth + z as pos, x, y, z, {} as v from plane"
 
 
-@query("block_scan", with_views("plane", body=_PLANE_VOXELS.format(value="v", join="")))
+@query("block_scan", with_views("plane", body=_PLANE_VOXELS.format("v")))
 def block_scan(spark, sf_dir):
     return slabs.flatten_slabs(nifti.scan_blocks(spark, _files(spark, sf_dir)))
 
 
-@query("write_blocks", with_views("plane", body="select distinct path[7:] as name, 'SUCCESS' as status from plane"))
+@query("write_blocks", with_views("plane", body="select distinct name, 'SUCCESS' as status from plane"))
 def write_blocks(spark, sf_dir):
     folder = scratch_path(spark, "out").removeprefix("file:")
     done = nifti.write_blocks(tables.slabs(spark, sf_dir), folder)
@@ -449,7 +447,7 @@ def write_blocks(spark, sf_dir):
 
 @query(
     "write_classified",
-    with_views("plane", body="select distinct 'classified-' || path[7:] as name, 'SUCCESS' as status from plane"),
+    with_views("plane", body="select distinct 'classified-' || name as name, 'SUCCESS' as status from plane"),
 )
 def write_classified(spark, sf_dir):
     planes = tables.slabs(spark, sf_dir)

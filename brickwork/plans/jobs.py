@@ -65,10 +65,13 @@ def multi_increment_job(
     iterations: int = 1,
     seed: int = 1234,
     policy: str = "per_block",
+    draws: DataFrame | None = None,
     run: Run | None = None,
 ) -> DataFrame:
     """Add randomly drawn original images to every image; returns ``(path, status)``.
 
+    ``draws(block_id, it, donor)`` replaces the seeded draw; images are numbered in path order.
+
     Only file metadata is joined. A task reads its own range of planes and the same range of
     each donor, so a donor drawn by many blocks is read often but gathered nowhere.
     """
@@ -78,12 +81,13 @@ def multi_increment_job(
     voxels.require_one_shape(blocks.where(F.col("error").isNull()))
     good = listing.block_ordinal(blocks.where(F.col("error").isNull()).drop("block_id"))
     if iterations > 0:
-        draws = voxels.assign_donors(good.select("block_id"), iterations, seed, policy)
-        if policy == "per_iteration":
+        if draws is None:
+            draws = voxels.assign_donors(good.select("block_id"), iterations, seed, policy)
+        if "block_id" not in draws.columns:
             # One row per iteration, so this array is as long as the parameter says.
-            fixed = draws.collect()
-            pairs = F.array(*[F.struct(F.lit(r.it).alias("it"), F.lit(r.donor).alias("donor")) for r in fixed])
+            pairs = F.array(*[F.struct(F.lit(r.it).alias("it"), F.lit(r.donor).alias("donor")) for r in draws.collect()])
             draws = good.select("block_id", F.inline(pairs).alias("it", "donor"))
+        draws = draws.where(F.col("it") < iterations)
         about = good.select(
             F.col("block_id").alias("donor"),
             F.struct("path", "dims", "offset", "header").alias("_d"),

@@ -7,6 +7,8 @@ never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -19,6 +21,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application, as ``--py-files`` would."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="brickwork-"), "brickwork")
+    archive = shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Return the folder every executor can reach.
 

@@ -299,28 +299,37 @@ def local_folder(folder: str) -> str:
     return folder
 
 
-def write_planes(slabs: DataFrame, folder: str, prefix: str = "", origin: float | None = None) -> DataFrame:
+def write_planes(
+    slabs: DataFrame, folder: str, prefix: str = "", origin: float | None = None, below: str | None = None
+) -> DataFrame:
     """Write slab rows to image files in ``folder`` and return ``(path, planes, needed, calls)``.
 
     Runs at once. Every task writes its planes in place, so nothing is shuffled or gathered.
+    With ``below``, the folders between that root and a file are kept.
     """
     target = local_folder(folder)
     os.makedirs(target, exist_ok=True)
     arrow = to_arrow_schema(_WRITTEN)
 
+    def output_path(path: str) -> str:
+        inner, name = os.path.split(path if below is None else os.path.relpath(path, below))
+        name = prefix + (name if prefix else name[:-3] + "nii")
+        return os.path.join(target, name) if below is None else os.path.join(target, inner, name)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done: dict[str, dict] = {}
             for r in batch.to_pylist():
-                name = os.path.basename(r["path"])
-                out = os.path.join(target, prefix + (name if prefix else name[:-3] + "nii"))
-                began = time.time()
+                began, out = time.time(), output_path(r["path"])
+                if out not in done:
+                    os.makedirs(os.path.dirname(out), exist_ok=True)
+                    done[out] = {"path": out, "planes": 0, "needed": r["dims"][2], "calls": [], "source": r["path"], "began": began}
                 _write_plane(out, r)
-                entry = done.setdefault(out, {"path": out, "planes": 0, "needed": r["dims"][2], "calls": []})
-                entry["planes"] += 1
-                if origin is not None:
-                    entry["calls"] += [*(r["calls"] or []), call("dump", r["path"], began, origin)]
-            yield pa.RecordBatch.from_pylist(list(done.values()), schema=arrow)
+                done[out]["planes"] += 1
+                done[out]["calls"] += r["calls"] or []
+                done[out]["dump"] = None if origin is None else call("dump", r["path"], done[out]["began"], origin)
+            rows = [{**d, "calls": d["calls"] + ([d["dump"]] if d["dump"] else [])} for d in done.values()]
+            yield pa.RecordBatch.from_pylist([{n: r[n] for n in arrow.names} for r in rows], schema=arrow)
 
     return materialize(slabs.where(F.col("error").isNull()).mapInArrow(write, _WRITTEN), "written")
 
@@ -353,9 +362,9 @@ def write_status(written: DataFrame) -> DataFrame:
     return totals.select("path", status.alias("status"))
 
 
-def write_blocks(slabs: DataFrame, folder: str, prefix: str = "") -> DataFrame:
+def write_blocks(slabs: DataFrame, folder: str, prefix: str = "", below: str | None = None) -> DataFrame:
     """Write images and return their status."""
-    return write_status(write_planes(slabs, folder, prefix))
+    return write_status(write_planes(slabs, folder, prefix, below=below))
 
 
 def write_classified(slabs: DataFrame, folder: str) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from brickwork import schemas
 from brickwork.functions.intensity import LEVELS
+from brickwork.sources import nifti
 
 #: Every 64-long vector is one 4x4x4 block.
 SIDE = 4
-#: In the slab form, 64 vectors are the 8x8 planes of one image.
-PLANE_SIDE, PLANES = 8, 64
+#: In the slab form, vectors are the 8x8 planes of images of at most this depth.
+PLANE_SIDE, MAX_DEPTH = 8, 64
 ORIGIN = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 
 
@@ -115,27 +116,42 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("run_id", F.concat_ws("-", "framework", "n_worker", "rep"))
 
 
+def slab_depth(spark: SparkSession, sf_dir: str) -> int:
+    """Greatest image depth that gives all images the same shape."""
+    n = table(spark, sf_dir, "embeddings").count()
+    return max(d for d in range(1, MAX_DEPTH + 1) if n % d == 0)
+
+
 def slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed planes: vector ``i`` is plane ``i % 64`` of image ``i // 64``."""
-    base = table(spark, sf_dir, "embeddings")
-    parts = base.select(F.floor(F.col("vec_id") / PLANES).alias("block_id"), F.pmod("vec_id", F.lit(PLANES)).alias("slab"), "embedding")
-    depth = parts.groupBy("block_id").agg((F.max("slab") + 1).alias("depth"))
+    """Packed planes: vector ``i`` is plane ``i % depth`` of image ``i // depth``."""
+    depth = slab_depth(spark, sf_dir)
+    dims = [PLANE_SIDE, PLANE_SIDE, depth]
+    header = nifti.new_header(dims)
+    parts = table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / depth).alias("block_id"), F.pmod("vec_id", F.lit(depth)).alias("slab"), "embedding"
+    )
     arrow = to_arrow_schema(schemas.SLAB)
+    same = {"dims": dims, "header": header, "affine": nifti.affine_of(header), "calls": [], "error": None}
 
     def pack(batches):
-        from brickwork.sources.nifti import affine_of, new_header
-
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 v = np.floor((np.asarray(r["embedding"], np.float32).astype(float) + 1.0) * 32767.5).astype("<u2")
-                dims = [PLANE_SIDE, PLANE_SIDE, r["depth"]]
-                header = new_header(dims)
                 path = f"/data/image-{r['block_id']:08d}.nii"
                 rows.append(
-                    {"block_id": r["block_id"], "path": path, "slab": r["slab"], "dims": dims, "payload": v.tobytes(),
-                     "header": header, "affine": affine_of(header), "calls": [], "error": None}
+                    {"block_id": r["block_id"], "path": path, "slab": r["slab"], "payload": v.tobytes(), **same}
                 )
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return parts.join(depth, "block_id").mapInArrow(pack, schemas.SLAB)
+    return parts.mapInArrow(pack, schemas.SLAB)
+
+
+def cohort_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same planes as a cohort: image ``b`` belongs to site ``b % 5`` and subject ``b``."""
+    block = F.col("block_id").cast("string")
+    site = F.pmod("block_id", F.lit(5)).cast("string")
+    path = F.concat(
+        F.lit("/data/site-"), site, F.lit("/sub-a-"), block, F.lit("/anat/"), F.substring_index("path", "/", -1)
+    )
+    return slabs(spark, sf_dir).withColumn("path", path)
