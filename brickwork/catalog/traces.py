@@ -158,11 +158,9 @@ _POINTS = """
 )
 def active_points(spark, sf_dir):
     points = trace.active_points(_trace(spark, sf_dir).select("seq", "start_us", "end_us"))
-    by_call = points.groupBy("seq")
-    ordered = F.array_sort(F.collect_list("active"))  # 100 points per call
-    return by_call.agg(
+    return points.groupBy("seq").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("active").alias("points"), F.min("active").alias("first"),
-        F.max("active").alias("last"), F.get(ordered, F.lit(33)).alias("third"),
+        F.max("active").alias("last"), F.max(F.when(F.col("point") == 33, F.col("active"))).alias("third"),
     )
 
 
@@ -564,12 +562,12 @@ def thread_ordinal(spark, sf_dir):
 
 @query("lane_label", with_views("trace", w=_W, t=_T, body=_L))
 def lane_label(spark, sf_dir):
-    return lanes.lane_table(_trace(spark, sf_dir))
+    return lanes.lane_table(lanes.first_calls(_trace(spark, sf_dir)))
 
 
 @query("lane_sort", with_views("trace", w=_W, t=_T, l=_L, body="select * from l order by worker_name, thread_number"))
 def lane_sort(spark, sf_dir):
-    return lanes.lane_sort(lanes.lane_table(_trace(spark, sf_dir)))
+    return lanes.lane_sort(lanes.lane_table(lanes.first_calls(_trace(spark, sf_dir))))
 
 
 @query(
@@ -587,7 +585,7 @@ _G = """select lane, 1.5::double * (row_number() over (order by worker_name, thr
 
 @query("gantt_lanes", with_views("trace", w=_W, t=_T, l=_L, g=_G, body="select lane, bottom, bottom + 1 as top from g"))
 def gantt_lanes(spark, sf_dir):
-    return lanes.gantt_lanes(lanes.lane_table(_trace(spark, sf_dir))).select("lane", "bottom", "top")
+    return lanes.gantt_lanes(lanes.lane_table(lanes.first_calls(_trace(spark, sf_dir)))).select("lane", "bottom", "top")
 
 
 _FLAT = {

@@ -341,6 +341,21 @@ def multi_increment_per_block(spark, sf_dir):
     return voxels.multi_increment_per_block(tables.voxels(spark, sf_dir), tables.donors(spark, sf_dir))
 
 
+@query(
+    "multi_increment_blocks",
+    with_views(
+        "voxel", "donor",
+        a="""select d.block_id, v.pos, sum(v.v) as s from donor d join voxel v on v.block_id = d.donor
+             group by d.block_id, v.pos""",
+        body="""select block_id, string_agg(cast((v + s) % 65536 as varchar), ',' order by pos) as v
+                from voxel join a using (block_id, pos) group by block_id""",
+    ),
+)
+def multi_increment_blocks(spark, sf_dir):
+    added = voxels.multi_increment_blocks(tables.blocks(spark, sf_dir), tables.donors(spark, sf_dir))
+    return added.select("block_id", _joined("v").alias("v"))
+
+
 # --------------------------------------------------------------------- cohort
 
 _VOLUMES = f"select block_id, count(*) filter (where v > {THRESHOLD}) as volume from voxel group by block_id"

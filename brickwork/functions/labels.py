@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,28 +71,26 @@ def lane_label(worker: Column, number: Column) -> Column:
 
 def clean_label(label: Column) -> Column:
     """Run label without the quotes that string parameters carry."""
-    return F.regexp_replace(label, "'", "")
+    return F.replace(label, F.lit("'"), F.lit(""))
 
 
 def label_framework(label: Column) -> Column:
-    return F.split_part(clean_label(label), F.lit(":"), F.lit(1))
+    return F.split_part(label, F.lit(":"), F.lit(1))
 
 
 def label_app(label: Column) -> Column:
-    return F.split_part(clean_label(label), F.lit(":"), F.lit(2))
-
-
-def label_params(label: Column) -> Column:
-    """Parameters of a run label as a map of strings."""
-    tail = F.regexp_replace(clean_label(label), "^[^:]*:[^:]*:?", "")
-    return F.when(tail == "", F.create_map().cast("map<string,string>")).otherwise(
-        F.str_to_map(tail, F.lit(":"), F.lit("="))
-    )
+    return F.split_part(label, F.lit(":"), F.lit(2))
 
 
 def label_param(label: Column, name: str) -> Column:
     """One parameter of a run label; null when the label lacks it."""
-    return F.try_element_at(label_params(label), F.lit(name))
+    found = F.regexp_extract(clean_label(label), f":{re.escape(name)}=([^:]*)", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def label_has(label: Column, name: str, value: object) -> Column:
+    """Whether a parameter of a run label has the given text."""
+    return F.concat(clean_label(label), F.lit(":")).contains(f":{name}={value}:")
 
 
 def subject_of(folder: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,8 @@ def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def student_p(t: pa.Array, df: pa.Array) -> pa.Array:
     """Column form of :func:`two_sided_p`; null where it is not defined."""
-    p = two_sided_p(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan))
-    return pd.Series(p).where(~np.isnan(p), None)
+    p = two_sided_p(t.to_numpy(zero_copy_only=False), df.to_numpy(zero_copy_only=False))
+    return pa.array(p, pa.float64(), mask=np.isnan(p))

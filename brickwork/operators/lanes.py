@@ -18,6 +18,14 @@ from brickwork.session import broadcast_if_small, materialize
 COLORS = 8
 
 
+def first_calls(trace: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """First ``seq`` per worker, thread and function, stored.
+
+    All numbering below needs no more than these rows, so a trace is scanned once for it.
+    """
+    return materialize(trace.groupBy(*by, "worker", "thread", "func").agg(F.min("seq").alias("seq")), "first_calls")
+
+
 def worker_ordinal(trace: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Name workers ``worker01``, ``worker02``, … by first appearance."""
     first = trace.where(F.col("worker").isNotNull()).groupBy(*by, "worker").agg(F.min("seq").alias("first_seq"))
@@ -36,7 +44,10 @@ def thread_ordinal(trace: DataFrame, by: Sequence[str] = (), worker: str = "work
 
 
 def lane_table(trace: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per lane with its worker name, thread number and label."""
+    """One row per lane with its worker name, thread number and label.
+
+    Reads ``trace`` twice; hand in :func:`first_calls` of a large one.
+    """
     threads = thread_ordinal(trace, by).drop("first_seq")
     workers = worker_ordinal(trace, by).select(*by, "worker", "worker_name")
     lanes = threads.join(broadcast_if_small(workers), [*by, "worker"])

@@ -38,7 +38,7 @@ def runs_one_free_param(
     wanted = fl.label_app(source) == app
     for name, value in fixed.items():
         if name in parameters:
-            wanted = wanted & (fl.label_param(source, name) == str(value))
+            wanted = wanted & fl.label_has(source, name, value)
     value = fl.label_param(source, free).cast("double")
     return runs.where(wanted & value.isNotNull()).withColumn("free", value)
 

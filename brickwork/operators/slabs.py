@@ -1,13 +1,13 @@
 """Operators on slab rows, whose voxels stay packed in binary columns.
 
-Each function decodes an Arrow batch of planes with NumPy and either maps it to new planes or
-reduces it to partial counts, which Spark then aggregates. Voxels never become rows.
+A step works on Arrow batches of planes with NumPy and either maps them to new planes or reduces
+them to partial counts, which Spark then aggregates. Voxels never become rows.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,74 +15,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickwork import schemas
+from brickwork.functions.batches import Step, chain, column, pack, replaced, unpack
 from brickwork.functions.intensity import BINS, LEVELS
+from brickwork.sources import nifti
 from brickwork.sources.nifti import call
 
 
-def _payload_values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All intensities of a batch as one array, and the first position of every row in it."""
-    column = batch.column(batch.schema.get_field_index("payload")).cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    raw = b"" if data is None else memoryview(data)[offsets[0] : offsets[-1]]
-    return np.frombuffer(raw, "<u2"), (offsets - offsets[0]) // 2
+def change_step(func: str, change: Callable, origin: float | None = None) -> Step:
+    """Apply an elementwise ``change`` to all planes; with ``origin``, log one call per image and batch."""
 
-
-def map_planes(slabs: DataFrame, func: str, change: Callable, origin: float | None = None) -> DataFrame:
-    """Apply an elementwise ``change`` to all planes; with ``origin``, log one call per batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             began = time.time()
-            values, starts = _payload_values(batch)
-            fresh = np.ascontiguousarray(change(values), "<u2")
-            packed = pa.Array.from_buffers(
-                pa.large_binary(), len(starts) - 1, [None, pa.py_buffer((starts * 2).astype(np.int64)), pa.py_buffer(fresh)]
-            )
-            at = batch.schema.get_field_index("payload")
-            out = batch.set_column(at, batch.schema.field(at), packed.cast(batch.schema.field(at).type))
-            if origin is not None and len(starts) > 1:
-                at = batch.schema.get_field_index("calls")
-                calls = [c or [] for c in batch.column(at).to_pylist()]
-                paths = batch.column(batch.schema.get_field_index("path")).to_pylist()
+            values, starts = unpack(batch)
+            out = replaced(batch, "payload", pack(change(values), starts))
+            if origin is not None and len(batch):
+                calls = [c or [] for c in column(batch, "calls").to_pylist()]
+                paths = column(batch, "path").to_pylist()
                 for i, path in enumerate(paths):
                     if i == 0 or path != paths[i - 1]:
                         calls[i] = [*calls[i], call(func, path, began, origin)]
-                out = out.set_column(at, batch.schema.field(at), pa.array(calls, batch.schema.field(at).type))
+                out = replaced(out, "calls", pa.array(calls, column(batch, "calls").type))
             yield out
 
-    return slabs.mapInArrow(run, slabs.schema)
+    return run
 
 
-def increment_slabs(slabs: DataFrame, amount: int = 1, origin: float | None = None) -> DataFrame:
+def increment_step(amount: int = 1, origin: float | None = None) -> Step:
     """Add a constant to every voxel, wrapping at 2^16."""
     step = np.uint16(amount % LEVELS)
-    return map_planes(slabs, "increment", lambda v: v + step, origin)
+    return change_step("increment", lambda v: v + step, origin)
 
 
-def classify_slabs(slabs: DataFrame, centroids: Sequence[float], origin: float | None = None) -> DataFrame:
+def classify_step(centroids: Sequence[float], origin: float | None = None) -> Step:
     """Replace every voxel by the index of its nearest centroid, through a table of all intensities."""
     levels = np.arange(LEVELS, dtype=np.float64)
     table = np.argmin(np.square(np.subtract.outer(levels, np.asarray(centroids, float))), axis=1).astype("<u2")
-    return map_planes(slabs, "classify_block", lambda v: table[v], origin)
+    return change_step("classify_block", lambda v: table[v], origin)
 
 
-def slab_frequency(slabs: DataFrame) -> DataFrame:
-    """Number of voxels per intensity ``(v, n)``.
-
-    A task keeps one counter per intensity and hands on at most 65,536 rows.
-    """
+def count_step() -> Step:
+    """Number of voxels per intensity; a task keeps one counter each and yields at most 65,536 rows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS, np.int64)
         for batch in batches:
-            values, _ = _payload_values(batch)
-            total += np.bincount(values, minlength=LEVELS)
+            total += np.bincount(unpack(batch)[0], minlength=LEVELS)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["v", "n"])
 
-    partial = slabs.where(F.col("error").isNull()).select("payload").mapInArrow(count, "v bigint, n bigint")
-    return partial.groupBy("v").agg(F.sum("n").alias("n"))
+    return run
+
+
+def volume_step(threshold: int) -> Step:
+    """Foreground voxels per plane, and whether its bytes contradict its dimensions."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, starts = unpack(batch)
+            above = np.concatenate([[0], np.cumsum(values > threshold)])
+            sizes = [d[0] * d[1] for d in column(batch, "dims").to_pylist()]
+            bad = (np.diff(starts) != sizes).astype(np.int64)
+            volume = above[starts[1:]] - above[starts[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "block_id"), pa.array(volume, pa.int64()), pa.array(bad)],
+                names=["block_id", "volume", "bad"],
+            )
+
+    return run
+
+
+COUNTS, VOLUMES = "v bigint, n bigint", "block_id bigint, volume bigint, bad bigint"
+
+
+def increment_slabs(slabs: DataFrame, amount: int = 1) -> DataFrame:
+    """Add a constant to every voxel, wrapping at 2^16."""
+    return chain(slabs, slabs.schema, increment_step(amount))
+
+
+def classify_slabs(slabs: DataFrame, centroids: Sequence[float]) -> DataFrame:
+    """Replace every voxel by the index of its nearest centroid."""
+    return chain(slabs, slabs.schema, classify_step(centroids))
+
+
+def merge_counts(counts: DataFrame) -> DataFrame:
+    """Sum the counts of all tasks per intensity."""
+    return counts.groupBy("v").agg(F.sum("n").alias("n"))
+
+
+def slab_frequency(slabs: DataFrame) -> DataFrame:
+    """Number of voxels per intensity ``(v, n)`` of slab rows."""
+    return merge_counts(chain(slabs.where(F.col("error").isNull()).select("payload"), COUNTS, count_step()))
+
+
+def range_frequency(ranges: DataFrame) -> DataFrame:
+    """Number of voxels per intensity of image ranges; voxels are counted where they are read."""
+    return merge_counts(chain(ranges, COUNTS, nifti.read_step(), count_step()))
 
 
 def bin_frequency(frequency: DataFrame) -> DataFrame:
@@ -90,28 +118,27 @@ def bin_frequency(frequency: DataFrame) -> DataFrame:
     return frequency.select(F.least("v", F.lit(BINS - 1).cast("bigint")).alias("bin"), "n")
 
 
+def _merge_volumes(counted: DataFrame) -> DataFrame:
+    totals = counted.groupBy("block_id").agg(F.sum("volume").alias("volume"), F.sum("bad").alias("bad"))
+    fits = F.col("bad") == 0
+    return totals.select(
+        "block_id",
+        F.when(fits, F.col("volume")).alias("volume"),
+        F.when(~fits, F.concat("bad", F.lit(" planes do not fit the dimensions"))).alias("error"),
+    )
+
+
 def slab_volume(slabs: DataFrame, threshold: int) -> DataFrame:
-    """Foreground voxels per block ``(block_id, volume, error)``.
+    """Foreground voxels per block ``(block_id, volume, error)`` of slab rows.
 
     A plane whose bytes do not fit its dimensions gives an error instead of a count.
     """
+    return _merge_volumes(chain(slabs.select("block_id", "payload", "dims"), VOLUMES, volume_step(threshold)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, starts = _payload_values(batch)
-            above = np.concatenate([[0], np.cumsum(values > threshold)])
-            sizes = [d[0] * d[1] for d in batch.column(2).to_pylist()]
-            bad = np.diff(starts) != sizes
-            volume = above[starts[1:]] - above[starts[:-1]]
-            errors = ["payload does not fit the dimensions" if b else None for b in bad]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(volume, pa.int64()), pa.array(errors, pa.string())],
-                names=["block_id", "volume", "error"],
-            )
 
-    counted = slabs.select("block_id", "payload", "dims").mapInArrow(count, "block_id bigint, volume bigint, error string")
-    totals = counted.groupBy("block_id").agg(F.sum("volume").alias("volume"), F.max("error").alias("error"))
-    return totals.withColumn("volume", F.when(F.col("error").isNull(), F.col("volume")))
+def range_volume(ranges: DataFrame, threshold: int) -> DataFrame:
+    """As :func:`slab_volume`, for image ranges."""
+    return _merge_volumes(chain(ranges, VOLUMES, nifti.read_step(), volume_step(threshold)))
 
 
 def slab_nearest_rows(slabs: DataFrame, centroids: Sequence[float]) -> DataFrame:
@@ -142,7 +169,7 @@ def slab_nearest_rows(slabs: DataFrame, centroids: Sequence[float]) -> DataFrame
 def flatten_slabs(slabs: DataFrame) -> DataFrame:
     """One row per voxel, with coordinates and row-major position; meant for small selections."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 dim_x, dim_y, dim_z = r["dims"]
@@ -155,7 +182,7 @@ def flatten_slabs(slabs: DataFrame) -> DataFrame:
                 )
 
     return slabs.select("block_id", "slab", "dims", "payload").mapInArrow(
-        unpack, "block_id bigint, pos bigint, x bigint, y bigint, z bigint, v bigint"
+        rows, "block_id bigint, pos bigint, x bigint, y bigint, z bigint, v bigint"
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from brickwork.functions import intensity as fi
 from brickwork.functions import labels as fl
-from brickwork.session import broadcast_if_small, materialize
+from brickwork.session import broadcast_if_small, materialize, spread
 
 SECOND = 1_000_000
 SAMPLES = 100
@@ -49,13 +49,15 @@ def with_shown_func(trace: DataFrame) -> DataFrame:
 
 
 def active_points(trace: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """Evenly spaced sample points of every call, between its rounded start and end."""
+    """Evenly spaced sample points of every call, between its rounded start and end.
+
+    ``point`` numbers the samples of a call from 0.
+    """
     begin, end = (F.bround(seconds(F.col(c)), 0) for c in ("start_us", "end_us"))
     index = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
-    rows = trace.withColumn("_begin", begin).withColumn("_end", end).withColumn("_i", index)
-    return rows.withColumn("active", fi.spaced(F.col("_begin"), F.col("_end"), F.col("_i"), samples)).drop(
-        "_begin", "_end", "_i"
-    )
+    rows = trace.withColumn("_begin", begin).withColumn("_end", end).withColumn("point", index)
+    active = fi.spaced(F.col("_begin"), F.col("_end"), F.col("point"), samples)
+    return rows.withColumn("active", active).drop("_begin", "_end")
 
 
 # -------------------------------------------------------------------- filters
@@ -117,7 +119,7 @@ def concurrency(
     begin, end = (F.bround(seconds(F.col(c)), 0) for c in ("start_us", "end_us"))
     spans = trace.dropna(subset=thread).select(*by, *thread, begin.alias("_b"), end.alias("_e")).distinct()
     last = F.when(F.col("_b") == F.col("_e"), F.lit(0)).otherwise(F.lit(samples - 1))
-    points = spans.withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
+    points = spread(spans).withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
     active = fi.spaced(F.col("_b"), F.col("_e"), F.col("_i"), samples).alias("active")
     unique = points.select(*by, active, *thread).distinct()
     return unique.groupBy(*by, "active").agg(F.count(F.lit(1)).alias("threads"))

@@ -73,8 +73,11 @@ def slab_split(blocks: DataFrame) -> DataFrame:
 
 
 def add_blocks(blocks: DataFrame, donors: DataFrame) -> DataFrame:
-    """Add to each block the block named in ``donors(block_id, donor)``, voxel by voxel."""
-    own = blocks.join(donors, "block_id")
+    """Add to each block the block named in ``donors(block_id, donor)``, voxel by voxel.
+
+    A small ``donors`` is broadcast, which leaves one shuffle of blocks.
+    """
+    own = blocks.join(broadcast_if_small(donors), "block_id")
     other = blocks.select(F.col("block_id").alias("donor"), F.col("v").alias("_w"))
     added = F.zip_with("v", "_w", lambda a, b: fi.wrap(a + b))
     return own.join(other, "donor").select("block_id", "donor", "dims", added.alias("v"))
@@ -234,3 +237,27 @@ def multi_increment_per_block(voxels: DataFrame, donors: DataFrame, salts: int =
         .where(F.col("_own") == 1)
         .select("block_id", "pos", fi.wrap(F.col("_sum")).alias("v"))
     )
+
+
+def multi_increment_blocks(blocks: DataFrame, donors: DataFrame) -> DataFrame:
+    """Array form of :func:`multi_increment_per_block`: whole blocks are joined, not voxels.
+
+    A block gathers at most one entry per iteration, so no group grows with the data.
+    """
+    picks = donors.groupBy("block_id", "donor").agg(F.count(F.lit(1)).alias("_times"))
+    picks = broadcast_if_small(materialize(picks.select(F.col("block_id").alias("_to"), "donor", "_times"), "picks"))
+    given = blocks.join(picks, F.col("block_id") == F.col("donor")).select(
+        F.col("_to").alias("block_id"), F.struct(F.col("_times").alias("times"), F.col("v").alias("v")).alias("_gift")
+    )
+    own = blocks.select("block_id", F.struct(F.lit(1).cast("bigint").alias("times"), "v").alias("_gift"), F.lit(True).alias("_own"))
+    gathered = (
+        own.unionByName(given.withColumn("_own", F.lit(False)))
+        .groupBy("block_id")
+        .agg(F.collect_list("_gift").alias("_gifts"), F.bool_or("_own").alias("_own"))
+        .where("_own")
+    )
+    zeros = F.transform(F.get("_gifts", F.lit(0))["v"], lambda _: F.lit(0).cast("bigint"))
+    total = F.aggregate(
+        "_gifts", zeros, lambda acc, g: F.zip_with(acc, g["v"], lambda a, b: fi.wrap(a + b * g["times"]))
+    )
+    return gathered.select("block_id", total.alias("v"))

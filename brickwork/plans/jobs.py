@@ -46,14 +46,11 @@ def increment_job(
     """Add a constant to all images; returns ``(path, status)``. Map-only: no shuffle of voxels."""
     run = run or Run()
     origin = run.origin()
-    planes = nifti.scan_blocks(spark, source, origin=origin)
-    if origin is None:
-        planes = slabs.increment_slabs(planes, amount * iterations)
-    else:
-        # A traced run keeps one call per iteration.
-        for _ in range(iterations):
-            planes = slabs.increment_slabs(planes, amount, origin)
-    written = nifti.write_planes(planes, target, origin=origin)
+    ranges = nifti.plane_ranges(nifti.block_table(spark, source))
+    # Additions of constants collapse into one; a traced run keeps one call per iteration.
+    once = [slabs.increment_step(amount * iterations)]
+    steps = once if origin is None else [slabs.increment_step(amount, origin) for _ in range(iterations)]
+    written = nifti.rewrite_ranges(ranges, target, *steps, origin=origin)
     run.log("increment", written, iterations=iterations)
     return nifti.write_status(written)
 
@@ -96,16 +93,16 @@ def multi_increment_job(
         # At most ``iterations`` entries per block.
         lists = named.groupBy("block_id").agg(F.collect_list("_d").alias("donors"))
         good = good.join(lists, "block_id", "left")
-    planes = nifti.scan_ranges(nifti.plane_ranges(materialize(good, "plan")), origin)
-    written = nifti.write_planes(planes, target, origin=origin)
+    ranges = nifti.plane_ranges(materialize(good, "plan"))
+    written = nifti.rewrite_ranges(ranges, target, origin=origin)
     run.log("multi-increment", written, iterations=iterations, seed=seed)
     return nifti.write_status(written)
 
 
 def histogram_job(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Dense histogram of all images, also written as ``histogram.csv``."""
-    planes = nifti.scan_blocks(spark, source)
-    counts = materialize(voxels.dense_histogram(slabs.bin_frequency(slabs.slab_frequency(planes))), "histogram")
+    ranges = nifti.plane_ranges(nifti.block_table(spark, source))
+    counts = materialize(voxels.dense_histogram(slabs.bin_frequency(slabs.range_frequency(ranges))), "histogram")
     traces.write_histogram(counts, target)
     return counts
 
@@ -117,9 +114,9 @@ def kmeans_job(
     run = run or Run()
     origin = run.origin()
     ranges = nifti.plane_ranges(nifti.block_table(spark, source))
-    centroids = clustering.fit_frequency(slabs.slab_frequency(nifti.scan_ranges(ranges)), count, iterations)
-    labelled = slabs.classify_slabs(nifti.scan_ranges(ranges, origin), centroids, origin)
-    written = nifti.write_planes(labelled, target, "classified-", origin)
+    centroids = clustering.fit_frequency(slabs.range_frequency(ranges), count, iterations)
+    label = slabs.classify_step(centroids, origin)
+    written = nifti.rewrite_ranges(ranges, target, label, prefix="classified-", origin=origin)
     run.log("kmeans", written, iterations=iterations)
     return centroids, nifti.write_status(written)
 
@@ -127,7 +124,7 @@ def kmeans_job(
 def cohort_job(spark: SparkSession, source: str, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Volumes per participant and means per site of a tree ``<site>/sub-<id>/…``."""
     blocks = nifti.block_table(spark, source, recursive=True)
-    counted = slabs.slab_volume(nifti.scan_ranges(nifti.plane_ranges(blocks)), threshold)
+    counted = slabs.range_volume(nifti.plane_ranges(blocks), threshold)
     unread = blocks.where(F.col("error").isNotNull()).select(
         "block_id", F.lit(None).cast("bigint").alias("volume"), "error"
     )
@@ -183,7 +180,8 @@ def makespan_report(calls: DataFrame, app: str, parameters: Sequence[str], fixed
 def lane_report(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Calls with lane, vertical place, colour number and runtime, ready to be drawn."""
     shown = trace.with_effective_thread(trace.with_shown_func(calls))
-    placed = materialize(lanes.gantt_lanes(lanes.lane_table(shown, by), by), "lanes")
+    firsts = lanes.first_calls(shown, by)
+    placed = materialize(lanes.gantt_lanes(lanes.lane_table(firsts, by), by), "lanes")
     keyed = shown.join(lanes.broadcast_if_small(placed), [*by, "worker", "thread"])
-    colored = keyed.join(lanes.broadcast_if_small(lanes.func_color_index(shown)), "func")
+    colored = keyed.join(lanes.broadcast_if_small(lanes.func_color_index(firsts)), "func")
     return trace.with_runtime(colored)

@@ -15,7 +15,7 @@ import socket
 import struct
 import threading
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from brickwork import schemas
+from brickwork.functions.batches import Step, chain, pack, unpack
 from brickwork.session import materialize
 from brickwork.sources.listing import block_ordinal, list_blocks
 
@@ -186,8 +187,8 @@ def read_headers(files: DataFrame) -> DataFrame:
 
 
 def block_table(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """Headers of all images of a folder, numbered by path and stored."""
-    return materialize(block_ordinal(read_headers(list_blocks(spark, folder, recursive))), "blocks")
+    """Headers of all images of a folder, numbered by path; numbering stores them, so files are read once."""
+    return block_ordinal(read_headers(list_blocks(spark, folder, recursive)))
 
 
 def plane_ranges(blocks: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -231,48 +232,60 @@ def read_planes(f, header: bytes, dims: list[int], offset: int, first: int, coun
     return values.astype("<u2", copy=False).reshape(count, plane)
 
 
-def scan_ranges(ranges: DataFrame, origin: float | None = None) -> DataFrame:
-    """Read ranges into slab rows. With ``origin`` every read is logged as a call.
+def read_step(origin: float | None = None) -> Step:
+    """Turn ranges into slab rows, a few planes per batch. With ``origin`` reads are logged.
 
     A range may carry ``donors``, a list of ``(path, dims, offset, header, it)``: their planes are
     added, wrapping at 2^16, in the order of ``it``.
     """
     arrow = to_arrow_schema(schemas.SLAB)
-    with_donors = "donors" in ranges.columns
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 step = max(1, BATCH_BYTES // (2 * r["dims"][0] * r["dims"][1]))
-                for first in range(r["first"], r["first"] + r["count"], step):
-                    count = min(step, r["first"] + r["count"] - first)
-                    yield _slab_batch(r, first, count, r["donors"] if with_donors else (), origin, arrow)
+                end = r["first"] + r["count"]
+                for first in range(r["first"], end, step):
+                    yield _slab_batch(r, first, min(step, end - first), origin, arrow)
 
-    return ranges.mapInArrow(read, schemas.SLAB)
+    return read
 
 
-def _slab_batch(r: dict, first: int, count: int, donors, origin: float | None, arrow: pa.Schema) -> pa.RecordBatch:
+def _slab_batch(r: dict, first: int, count: int, origin: float | None, arrow: pa.Schema) -> pa.RecordBatch:
     calls, began = [], time.time()
-    with open_file(r["path"]) as f:
-        planes = read_planes(f, r["header"], r["dims"], r["offset"], first, count)
+    planes = _read_range(r, first, count)
     if origin is not None:
         calls.append(call("load", r["path"], began, origin))
-    for d in sorted(donors or (), key=lambda d: d["it"]):
+    for d in sorted(r.get("donors") or (), key=lambda d: d["it"]):
         began = time.time()
-        with open_file(d["path"]) as f:
-            planes = planes + read_planes(f, d["header"], d["dims"], d["offset"], first, count)
+        planes = planes + _read_range(d, first, count)
         if origin is not None:
             calls.append(call("increment", f"{r['path']}:{d['path']}", began, origin))
     same = {c: [r[c]] * count for c in ("block_id", "path", "dims", "header", "affine")}
     rows = same | {
         "slab": list(range(first, first + count)),
-        "payload": [p.tobytes() for p in planes],
+        "payload": pack(planes, np.arange(count + 1) * (planes.size // count)),
         "calls": [calls] + [[]] * (count - 1),
         "error": [None] * count,
     }
     return pa.RecordBatch.from_pydict({c: rows[c] for c in arrow.names}, schema=arrow)
 
 
+def _read_range(r: dict, first: int, count: int) -> np.ndarray:
+    """Planes of one image as uint16; scaled values are truncated."""
+    kind, scaling = voxel_type(r["header"]), scaling_of(r["header"])
+    plane = r["dims"][0] * r["dims"][1] * kind.itemsize
+    with open_file(r["path"]) as f:
+        raw = np.frombuffer(f.read_at(count * plane, r["offset"] + first * plane), kind)
+    values = raw if scaling is None else raw * float(scaling[0]) + float(scaling[1])
+    return values.astype("<u2", copy=False)
+
+
+def scan_ranges(ranges: DataFrame, origin: float | None = None) -> DataFrame:
+    """Read ranges into slab rows."""
+    return chain(ranges, schemas.SLAB, read_step(origin))
+
+
 def scan_blocks(spark: SparkSession, folder: str, recursive: bool = False, origin: float | None = None) -> DataFrame:
     """All images of a folder as slab rows."""
     return scan_ranges(plane_ranges(block_table(spark, folder, recursive)), origin)
@@ -280,7 +293,7 @@ def scan_blocks(spark: SparkSession, folder: str, recursive: bool = False, origi
 
 # ---------------------------------------------------------------------- write
 
-_WRITTEN = T.StructType(
+WRITTEN = T.StructType(
     [
         T.StructField("path", T.StringType()),
         T.StructField("planes", T.LongType()),
@@ -299,60 +312,83 @@ def local_folder(folder: str) -> str:
     return folder
 
 
-def write_planes(
-    slabs: DataFrame, folder: str, prefix: str = "", origin: float | None = None, below: str | None = None
-) -> DataFrame:
-    """Write slab rows to image files in ``folder`` and return ``(path, planes, needed, calls)``.
+def write_step(folder: str, prefix: str = "", origin: float | None = None, below: str | None = None) -> Step:
+    """Store the planes of slab rows in image files; yields ``(path, planes, needed, calls)``.
 
-    Runs at once. Every task writes its planes in place, so nothing is shuffled or gathered.
     With ``below``, the folders between that root and a file are kept.
     """
     target = local_folder(folder)
     os.makedirs(target, exist_ok=True)
-    arrow = to_arrow_schema(_WRITTEN)
+    arrow = to_arrow_schema(WRITTEN)
 
     def output_path(path: str) -> str:
         inner, name = os.path.split(path if below is None else os.path.relpath(path, below))
         name = prefix + (name if prefix else name[:-3] + "nii")
         return os.path.join(target, name) if below is None else os.path.join(target, inner, name)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done: dict[str, dict] = {}
-            for r in batch.to_pylist():
-                began, out = time.time(), output_path(r["path"])
-                if out not in done:
-                    os.makedirs(os.path.dirname(out), exist_ok=True)
-                    done[out] = {"path": out, "planes": 0, "needed": r["dims"][2], "calls": [], "source": r["path"], "began": began}
-                _write_plane(out, r)
-                done[out]["planes"] += 1
-                done[out]["calls"] += r["calls"] or []
-                done[out]["dump"] = None if origin is None else call("dump", r["path"], done[out]["began"], origin)
-            rows = [{**d, "calls": d["calls"] + ([d["dump"]] if d["dump"] else [])} for d in done.values()]
-            yield pa.RecordBatch.from_pylist([{n: r[n] for n in arrow.names} for r in rows], schema=arrow)
-
-    return materialize(slabs.where(F.col("error").isNull()).mapInArrow(write, _WRITTEN), "written")
-
-
-def _write_plane(out: str, r: dict) -> None:
-    size = 2 * r["dims"][0] * r["dims"][1]
+            values, starts = unpack(batch)
+            rows = batch.select([n for n in batch.schema.names if n != "payload"]).to_pylist()
+            done = []
+            for first, last in _runs(rows):
+                began, r = time.time(), rows[first]
+                out = output_path(r["path"])
+                _write_run(out, r, values[starts[first] : starts[last]])
+                calls = [c for row in rows[first:last] for c in row["calls"] or ()]
+                if origin is not None:
+                    calls.append(call("dump", r["path"], began, origin))
+                done.append({"path": out, "planes": last - first, "needed": r["dims"][2], "calls": calls})
+            yield pa.RecordBatch.from_pylist(done, schema=arrow)
+
+    return write
+
+
+def _runs(rows: list[dict]) -> Iterator[tuple[int, int]]:
+    """Stretches of neighbouring planes of one image."""
+    first = 0
+    for i in range(1, len(rows) + 1):
+        if i == len(rows) or rows[i]["path"] != rows[i - 1]["path"] or rows[i]["slab"] != rows[i - 1]["slab"] + 1:
+            yield first, i
+            first = i
+
+
+def _write_run(out: str, r: dict, values: np.ndarray) -> None:
+    """Write neighbouring planes at their place; the first plane brings header and file size."""
+    os.makedirs(os.path.dirname(out), exist_ok=True)
+    plane = 2 * r["dims"][0] * r["dims"][1]
     header = output_header(r["header"], r["dims"])
-    values = np.frombuffer(r["payload"], "<u2").astype(byte_order(header) + "u2", copy=False)
+    data = memoryview(values.astype(byte_order(header) + "u2", copy=False)).cast("B")
+    at = DATA_OFFSET + plane * r["slab"]
     handle = os.open(out, os.O_CREAT | os.O_WRONLY, 0o644)
     try:
         if r["slab"] == 0:
-            os.ftruncate(handle, DATA_OFFSET + size * r["dims"][2])
+            os.ftruncate(handle, DATA_OFFSET + plane * r["dims"][2])
             os.pwrite(handle, header + bytes(DATA_OFFSET - HEADER_BYTES), 0)
-        _write_all(handle, values.tobytes(), DATA_OFFSET + size * r["slab"])
+        while data:
+            sent = os.pwrite(handle, data, at)
+            data, at = data[sent:], at + sent
     finally:
         os.close(handle)
 
 
-def _write_all(handle: int, data: bytes, at: int) -> None:
-    view = memoryview(data)
-    while view:
-        sent = os.pwrite(handle, view, at)
-        view, at = view[sent:], at + sent
+def write_planes(
+    slabs: DataFrame, folder: str, prefix: str = "", origin: float | None = None, below: str | None = None
+) -> DataFrame:
+    """Write slab rows to image files in ``folder``; runs at once.
+
+    Every task writes its planes in place, so nothing is shuffled or gathered.
+    """
+    good = slabs.where(F.col("error").isNull())
+    return materialize(chain(good, WRITTEN, write_step(folder, prefix, origin, below)), "written")
+
+
+def rewrite_ranges(
+    ranges: DataFrame, folder: str, *changes: Step, prefix: str = "", origin: float | None = None
+) -> DataFrame:
+    """Read ranges, change their planes and write them, all in one task per group of ranges."""
+    steps = [read_step(origin), *changes, write_step(folder, prefix, origin)]
+    return materialize(chain(ranges, WRITTEN, *steps), "written")
 
 
 def write_status(written: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from brickwork.sources import nifti
 SIDE = 4
 #: In the slab form, vectors are the 8x8 planes of images of at most this depth.
 PLANE_SIDE, MAX_DEPTH = 8, 64
+FRAMEWORKS, NODES = ("spark", "dask"), (2, 4, 8)
 ORIGIN = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 
 
@@ -92,8 +93,17 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("combine_histogram")
     )
     start = F.expr(f"timestampdiff(MICROSECOND, {ORIGIN}, ts)")
-    third = F.pmod(F.floor(event / 2), F.lit(3).cast("bigint"))
-    rows = e.select(
+    half, third = F.pmod(event, F.lit(2)), F.pmod(F.floor(event / 2), F.lit(3).cast("bigint"))
+    rep = F.pmod(F.floor(event / 6), F.lit(10).cast("bigint"))
+    labels = [
+        f"{framework}:increment:n_worker={nodes}:block_size='5000':iterations={iterations}:delay=1.0"
+        for framework in FRAMEWORKS
+        for nodes in NODES
+        for iterations in (5, 25)
+    ]
+    # A constant list keeps the label cheap where filters on it are pushed down to the scan.
+    which = half * 6 + third * 2 + F.when(rep == 9, 1).otherwise(0)
+    return e.select(
         event.alias("seq"),
         func.alias("func"),
         start.alias("start_us"),
@@ -102,20 +112,17 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("node-"), F.pmod("user_id", F.lit(8)).cast("string"), F.lit(".local")).alias("worker"),
         F.col("user_id").alias("thread"),
         F.pmod("user_id", F.lit(32)).cast("bigint").alias("process"),
-        F.when(F.pmod(event, F.lit(2)) == 0, "spark").otherwise("dask").alias("framework"),
-        F.when(third == 0, 2).when(third == 1, 4).otherwise(8).cast("bigint").alias("n_worker"),
-        F.pmod(F.floor(event / 6), F.lit(10).cast("bigint")).alias("rep"),
-    )
-    iterations = F.when(F.col("rep") == 9, "25").otherwise("5")
-    return rows.withColumn(
-        "label",
-        F.concat(
-            F.col("framework"), F.lit(":increment:n_worker="), F.col("n_worker").cast("string"),
-            F.lit(":block_size='5000':iterations="), iterations, F.lit(":delay=1.0"),
-        ),
+        _pick(FRAMEWORKS, half).alias("framework"),
+        _pick(NODES, third).cast("bigint").alias("n_worker"),
+        rep.alias("rep"),
+        _pick(labels, which).alias("label"),
     ).withColumn("run_id", F.concat_ws("-", "framework", "n_worker", "rep"))
 
 
+def _pick(values, index):
+    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+
+
 def slab_depth(spark: SparkSession, sf_dir: str) -> int:
     """Greatest image depth that gives all images the same shape."""
     n = table(spark, sf_dir, "embeddings").count()
