@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from brickwork.catalog import traces as ct
 from brickwork.catalog import voxels as cv
 from brickwork.catalog.base import query, with_views
-from brickwork.functions import labels as fl
 from brickwork.operators import slabs
 from brickwork.plans import jobs
 from brickwork.session import scratch_path
@@ -55,11 +54,21 @@ def multi_increment_job(spark, sf_dir):
     return _scanned(spark, target)
 
 
-@query("multi_increment_job_seeded", with_views("plane", body="select distinct name, 'SUCCESS' as status from plane"))
+@query(
+    "multi_increment_job_seeded",
+    with_views(
+        "plane",
+        n="select count(distinct block_id) as n from plane",
+        d="select it, cast('0x' || left(md5('1234-' || it), 15) as bigint) % n as donor from n cross join (select unnest(range(0, 2)) as it)",
+        a="select x, y, z, sum(v) as s from d join plane p on p.block_id = d.donor group by x, y, z",
+        body="""select p.block_id, (x * 8 + y) * depth + z as pos, x, y, z, cast((v + s) % 65536 as bigint) as v
+                from plane p join a using (x, y, z)""",
+    ),
+)
 def multi_increment_job_seeded(spark, sf_dir):
     target = _new_folder(spark, "multi")
-    done = jobs.multi_increment_job(spark, cv._files(spark, sf_dir), target, 2, policy="per_iteration")
-    return done.select(fl.basename(F.col("path")).alias("name"), "status")
+    jobs.multi_increment_job(spark, cv._files(spark, sf_dir), target, 2, policy="per_iteration")
+    return _scanned(spark, target)
 
 
 @query(

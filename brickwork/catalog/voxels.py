@@ -309,7 +309,12 @@ def block_ordinal(spark, sf_dir):
     return listing.block_ordinal(tables.blocks(spark, sf_dir).select("path"))
 
 
-@query("donor_assignment")
+@query(
+    "donor_assignment",
+    """select block_id, it, cast('0x' || left(md5('1234-' || it || '-' || block_id), 15) as bigint)
+         % (select count(*) from embeddings) as donor
+       from (select vec_id as block_id, unnest(range(0, 3)) as it from embeddings)""",
+)
 def donor_assignment(spark, sf_dir):
     return voxels.assign_donors(tables.blocks(spark, sf_dir).select("block_id"), 3, 1234)
 

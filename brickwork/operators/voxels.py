@@ -175,20 +175,26 @@ def assign_donors(blocks: DataFrame, iterations: int, seed: int, policy: str = "
     """Pick donors for blocks numbered 0..n-1 by ``block_id``.
 
     ``per_block`` draws for every block and iteration and returns ``(block_id, it, donor)``;
-    ``per_iteration`` draws once per iteration and returns ``(it, donor)``. The draw is a hash
+    ``per_iteration`` draws once per iteration and returns ``(it, donor)``. The draw is a digest
     of seed, iteration and block, so it is the same on every run and needs no state.
     """
     n = blocks.count()
     steps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint"))).alias("it")
     if policy == "per_block":
         rows = blocks.select("block_id", steps) if iterations > 0 else _no_steps(blocks.select("block_id"))
-        return rows.withColumn("donor", F.pmod(F.xxhash64(F.lit(seed), "it", "block_id"), F.lit(n)))
+        return rows.withColumn("donor", _draw(n, F.lit(seed), F.col("it"), F.col("block_id")))
     if policy == "per_iteration":
         rows = blocks.sparkSession.range(iterations).select(F.col("id").alias("it"))
-        return rows.withColumn("donor", F.pmod(F.xxhash64(F.lit(seed), "it"), F.lit(n)))
+        return rows.withColumn("donor", _draw(n, F.lit(seed), F.col("it")))
     raise ValueError(f"unknown donor policy {policy!r}")
 
 
+def _draw(n: int, *keys: Column) -> Column:
+    """Number below ``n`` from 60 bits of a digest."""
+    digest = F.md5(F.concat_ws("-", *[k.cast("string") for k in keys]))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.lit(n).cast("bigint"))
+
+
 def _no_steps(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.lit(False)).withColumn("it", F.lit(0).cast("bigint"))
 

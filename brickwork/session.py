@@ -81,13 +81,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if row_count_up_to(df, max_rows) <= max_rows else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all shuffle partitions ahead of a step that multiplies them.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows, or keys, out to all shuffle partitions ahead of a step that multiplies them.
 
     A fixed number keeps adaptive execution from merging partitions that are small only
     until each row becomes many.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]):

@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from brickwork import schemas
 from brickwork.functions.batches import Step, chain, pack, unpack
-from brickwork.session import materialize
+from brickwork.session import materialize, spread
 from brickwork.sources.listing import block_ordinal, list_blocks
 
 HEADER_BYTES = 348
@@ -303,28 +303,26 @@ WRITTEN = T.StructType(
 )
 
 
-def local_folder(folder: str) -> str:
-    """Path of a mounted folder; planes are written in place, which object stores cannot do."""
-    if folder.startswith("file:"):
-        folder = "/" + folder[len("file:") :].lstrip("/")
-    if not folder.startswith("/"):
-        raise ValueError("image files can only be written to a folder mounted on all executors")
-    return folder
+def mounted(folder: str) -> bool:
+    """Whether a folder is a mounted path, where files can be written at positions."""
+    return folder.startswith(("/", "file:"))
 
 
-def write_step(folder: str, prefix: str = "", origin: float | None = None, below: str | None = None) -> Step:
-    """Store the planes of slab rows in image files; yields ``(path, planes, needed, calls)``.
+def local_path(path: str) -> str:
+    return "/" + path[len("file:") :].lstrip("/") if path.startswith("file:") else path
 
-    With ``below``, the folders between that root and a file are kept.
-    """
-    target = local_folder(folder)
-    os.makedirs(target, exist_ok=True)
-    arrow = to_arrow_schema(WRITTEN)
 
-    def output_path(path: str) -> str:
-        inner, name = os.path.split(path if below is None else os.path.relpath(path, below))
-        name = prefix + (name if prefix else name[:-3] + "nii")
-        return os.path.join(target, name) if below is None else os.path.join(target, inner, name)
+def output_path(path: str, folder: str, prefix: str, below: str | None) -> str:
+    """Where the image read from ``path`` is written; with ``below``, folders under that root are kept."""
+    inner, name = os.path.split(path if below is None else os.path.relpath(local_path(path), below))
+    name = prefix + (name if prefix else name[:-3] + "nii")
+    return os.path.join(folder, name) if below is None else os.path.join(folder, inner, name)
+
+
+def write_step(folder: str, prefix: str = "", origin: float | None = None, below: str | None = None) -> Step:
+    """Store the planes of slab rows in place, in any order; yields ``(path, planes, needed, calls)``."""
+    target = local_path(folder)
+    arrow = to_arrow_schema(WRITTEN)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,7 +331,7 @@ def write_step(folder: str, prefix: str = "", origin: float | None = None, below
             done = []
             for first, last in _runs(rows):
                 began, r = time.time(), rows[first]
-                out = output_path(r["path"])
+                out = output_path(r["path"], target, prefix, below)
                 _write_run(out, r, values[starts[first] : starts[last]])
                 calls = [c for row in rows[first:last] for c in row["calls"] or ()]
                 if origin is not None:
@@ -372,23 +370,94 @@ def _write_run(out: str, r: dict, values: np.ndarray) -> None:
         os.close(handle)
 
 
+def stream_step(folder: str, prefix: str = "", origin: float | None = None, below: str | None = None) -> Step:
+    """As :func:`write_step` for stores that only take whole files: all planes of a file, in order.
+
+    Planes are passed on as they come, so a file may be larger than memory.
+    """
+    arrow = to_arrow_schema(WRITTEN)
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sink, position = None, None, 0
+        for batch in batches:
+            values, starts = unpack(batch)
+            rows = batch.select([n for n in batch.schema.names if n != "payload"]).to_pylist()
+            done = []
+            for first, last in _runs(rows):
+                began, r = time.time(), rows[first]
+                out, header = output_path(r["path"], folder, prefix, below), output_header(r["header"], r["dims"])
+                plane = 2 * r["dims"][0] * r["dims"][1]
+                if out != current:
+                    if sink is not None:
+                        sink.close()
+                    current, sink, position = out, create_file(out), DATA_OFFSET
+                    sink.write(header + bytes(DATA_OFFSET - HEADER_BYTES))
+                # A plane that is missing leaves zeros, as it does in a file written in place.
+                sink.write(bytes(DATA_OFFSET + plane * r["slab"] - position))
+                sink.write(values[starts[first] : starts[last]].astype(byte_order(header) + "u2", copy=False).tobytes())
+                position = DATA_OFFSET + plane * (r["slab"] + last - first)
+                calls = [c for row in rows[first:last] for c in row["calls"] or ()]
+                if origin is not None:
+                    calls.append(call("dump", r["path"], began, origin))
+                done.append({"path": out, "planes": last - first, "needed": r["dims"][2], "calls": calls})
+            yield pa.RecordBatch.from_pylist(done, schema=arrow)
+        if sink is not None:
+            sink.close()
+
+    return write
+
+
+def create_file(path: str):
+    """Open a file of any file system for writing from the start."""
+    if mounted(path):
+        path = local_path(path)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return pafs.LocalFileSystem().open_output_stream(path)
+    system, inner = pafs.FileSystem.from_uri(path)
+    return system.open_output_stream(inner)
+
+
 def write_planes(
-    slabs: DataFrame, folder: str, prefix: str = "", origin: float | None = None, below: str | None = None
+    slabs: DataFrame,
+    folder: str,
+    prefix: str = "",
+    origin: float | None = None,
+    below: str | None = None,
+    in_place: bool | None = None,
 ) -> DataFrame:
     """Write slab rows to image files in ``folder``; runs at once.
 
-    Every task writes its planes in place, so nothing is shuffled or gathered.
+    On mounted folders every task writes its planes in place, so nothing is shuffled or gathered.
+    Other stores take a file only as a whole, which brings its planes to one task, in order.
     """
     good = slabs.where(F.col("error").isNull())
-    return materialize(chain(good, WRITTEN, write_step(folder, prefix, origin, below)), "written")
+    if mounted(folder) if in_place is None else in_place:
+        step = write_step(folder, prefix, origin, below)
+    else:
+        good = good.repartition("path").sortWithinPartitions("path", "slab")
+        step = stream_step(folder, prefix, origin, below)
+    return materialize(chain(good, WRITTEN, step), "written")
 
 
 def rewrite_ranges(
-    ranges: DataFrame, folder: str, *changes: Step, prefix: str = "", origin: float | None = None
+    ranges: DataFrame,
+    folder: str,
+    *changes: Step,
+    prefix: str = "",
+    origin: float | None = None,
+    in_place: bool | None = None,
 ) -> DataFrame:
-    """Read ranges, change their planes and write them, all in one task per group of ranges."""
-    steps = [read_step(origin), *changes, write_step(folder, prefix, origin)]
-    return materialize(chain(ranges, WRITTEN, *steps), "written")
+    """Read ranges, change their planes and write them, all in one task; runs at once.
+
+    Where files cannot be written in place, the ranges of a file go to one task; only these
+    few-byte rows move, never voxels.
+    """
+    if mounted(folder) if in_place is None else in_place:
+        step = write_step(folder, prefix, origin)
+    else:
+        ranges = spread(ranges, "path").sortWithinPartitions("path", "first")
+        step = stream_step(folder, prefix, origin)
+    return materialize(chain(ranges, WRITTEN, read_step(origin), *changes, step), "written")
 
 
 def write_status(written: DataFrame) -> DataFrame:

@@ -125,8 +125,22 @@ def test_missing_planes_are_reported(spark, tmp_path):
     random_images(f"{tmp_path}/in", 1)
     planes = nifti.scan_blocks(spark, f"{tmp_path}/in").where("slab <> 2")
     assert nifti.write_blocks(planes, f"{tmp_path}/out").first().status == "INCOMPLETE"
-    with pytest.raises(ValueError):
-        nifti.write_blocks(planes, "s3://bucket/out")
+    streamed = nifti.write_planes(planes, f"{tmp_path}/out2", in_place=False)
+    assert nifti.write_status(streamed).first().status == "INCOMPLETE"
+    assert (tmp_path / "out" / "b00.nii").read_bytes() == (tmp_path / "out2" / "b00.nii").read_bytes()
+
+
+def test_streamed_files_equal_files_written_in_place(spark, tmp_path):
+    random_images(f"{tmp_path}/in", 3, (4, 4, 9))
+    write_image(f"{tmp_path}/in/big.nii", np.arange(60, dtype=np.uint16).reshape(3, 5, 4), ">u2")
+    ranges = nifti.plane_ranges(nifti.block_table(spark, f"{tmp_path}/in"), split_bytes=100)
+    for kept, in_place in (("a", True), ("b", False)):
+        nifti.rewrite_ranges(ranges, f"{tmp_path}/{kept}", slabs.increment_step(5), in_place=in_place)
+        nifti.write_planes(nifti.scan_ranges(ranges), f"{tmp_path}/{kept}2", "x-", in_place=in_place)
+    for one, two in (("a", "b"), ("a2", "b2")):
+        names = sorted(os.listdir(tmp_path / one))
+        assert len(names) == 4 and names == sorted(os.listdir(tmp_path / two))
+        assert all((tmp_path / one / n).read_bytes() == (tmp_path / two / n).read_bytes() for n in names)
 
 
 def test_listing_is_one_level_unless_recursive(spark, tmp_path):
