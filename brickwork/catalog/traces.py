@@ -221,7 +221,7 @@ def format_total(spark, sf_dir):
     with_views("trace", body="select distinct label, run_id, cast(n_worker as double) as free from trace where rep <> 9"),
 )
 def runs_one_free_param(spark, sf_dir):
-    found = _trace(spark, sf_dir).select("label", "run_id").distinct()
+    found = materialize(_trace(spark, sf_dir).select("label", "run_id").distinct(), "runs")
     return runs.runs_one_free_param(found, "increment", PARAMETERS, FIXED)
 
 
@@ -230,7 +230,7 @@ def runs_one_free_param(spark, sf_dir):
     with_views("trace", body="select distinct framework, label, run_id, cast(n_worker as double) as free from trace where rep <> 9"),
 )
 def runs_by_free_param(spark, sf_dir):
-    found = _trace(spark, sf_dir).select("framework", "label", "run_id").distinct()
+    found = materialize(_trace(spark, sf_dir).select("framework", "label", "run_id").distinct(), "runs")
     return runs.runs_by_free_param(runs.runs_one_free_param(found, "increment", PARAMETERS, FIXED))
 
 

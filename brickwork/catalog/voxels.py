@@ -136,8 +136,8 @@ def nearest_label(spark, sf_dir):
     ),
 )
 def array_add(spark, sf_dir):
-    first = tables.donors(spark, sf_dir).where("it = 0").select("block_id", "donor")
-    added = voxels.add_blocks(tables.blocks(spark, sf_dir), first)
+    given = tables.donors(spark, sf_dir, 1).select("block_id", "donor")
+    added = voxels.add_blocks(tables.blocks(spark, sf_dir), given)
     return added.select("block_id", "donor", _joined("v").alias("v"))
 
 
@@ -322,14 +322,15 @@ def donor_assignment(spark, sf_dir):
 @query(
     "multi_increment_per_iteration",
     with_views(
-        "voxel", "donor",
-        a="""select v.pos, sum(v.v) as s from donor d join voxel v on v.block_id = d.donor
-             where d.block_id = 0 group by v.pos""",
+        "voxel",
+        d="""select it, (it * 17 + 1234) % (select count(*) from embeddings) as donor
+             from (select unnest(range(0, 3)) as it)""",
+        a="select v.pos, sum(v.v) as s from d join voxel v on v.block_id = d.donor group by v.pos",
         body="select block_id, pos, cast((v + s) % 65536 as bigint) as v from voxel join a using (pos)",
     ),
 )
 def multi_increment_per_iteration(spark, sf_dir):
-    draws = tables.donors(spark, sf_dir).where("block_id = 0").select("it", "donor")
+    draws = tables.iteration_donors(spark, sf_dir)
     return voxels.multi_increment_per_iteration(tables.voxels(spark, sf_dir), draws)
 
 
@@ -413,9 +414,9 @@ def slab_volume(spark, sf_dir):
 # ----------------------------------------------------------------- filters
 
 
-@query("suffix_filter", with_views("image", body="select path from image where path like '%7/anat/T1w.nii'"))
+@query("suffix_filter", "select url as path from pages where url like '%.html'")
 def suffix_filter(spark, sf_dir):
-    return listing.suffix_filter(tables.images(spark, sf_dir).select("path"), "7/anat/T1w.nii")
+    return listing.suffix_filter(tables.table(spark, sf_dir, "pages").select(F.col("url").alias("path")), ".html")
 
 
 @query("basename", with_views("block", body="select path, 'block-' || cast(block_id as varchar) || '.nii' as name from block"))

@@ -11,6 +11,7 @@ from brickwork.functions import labels as fl
 from brickwork.functions.student import student_p
 from brickwork.operators.ordinals import with_row_number
 from brickwork.operators.trace import seconds
+from brickwork.session import broadcast_if_small, materialize
 
 
 def parse_run_label(df: DataFrame, params: Mapping[str, str], label: str = "label") -> DataFrame:
@@ -43,6 +44,24 @@ def runs_one_free_param(
     return runs.where(wanted & value.isNotNull()).withColumn("free", value)
 
 
+def calls_one_free_param(
+    calls: DataFrame, app: str, parameters: Sequence[str], fixed: Mapping[str, object], catalog: DataFrame | None = None
+) -> DataFrame:
+    """Calls of the runs that :func:`runs_one_free_param` keeps, with ``free`` and ``framework``.
+
+    Labels are parsed once each, not once per call, and joined back. On logs stored by label the
+    join also prunes the folders of all other runs. ``catalog`` saves the pass that finds the labels.
+    """
+    source = calls if catalog is None else catalog
+    # Both tables are stored, else the optimizer moves the parsing below the distinct and, as a
+    # condition inferred from the join, to the calls.
+    labels = materialize(source.select("label").distinct(), "labels")
+    chosen = runs_one_free_param(labels, app, parameters, fixed)
+    if "framework" not in calls.columns:
+        chosen = chosen.withColumn("framework", fl.label_framework(F.col("label")))
+    return calls.join(broadcast_if_small(materialize(chosen, "chosen")), "label")
+
+
 def lossless_int(values: DataFrame, column: str = "free") -> DataFrame:
     """Distinct values, with ``whole`` as integers only when every one of them is whole."""
     stored = values.select(column).distinct()

@@ -131,7 +131,7 @@ def concurrency_summary(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Equal counts are merged first, so the exact quartiles hold one entry per distinct count.
     """
     levels = points.groupBy(*by, F.col("threads").alias("t")).agg(F.count(F.lit(1)).alias("w"))
-    weight, total, square = F.sum("w"), F.sum(F.col("t") * F.col("w")), F.sum(F.col("t") * F.col("t") * F.col("w"))
+    weight, total, square = F.sum("w"), F.sum(F.col("t") * F.col("w")), F.sum(F.col("t").cast("double") * F.col("t") * F.col("w"))
     quartiles = F.percentile("t", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w"))
     one = levels.groupBy(*by).agg(
         weight.alias("_n"), total.alias("_s"), square.alias("_q"), F.min("t").alias("_lo"), F.max("t").alias("_hi"),

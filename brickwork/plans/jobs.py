@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brickwork import schemas
 from brickwork.operators import clustering, cohort, lanes, runs, slabs, trace, voxels
 from brickwork.session import materialize
 from brickwork.sources import listing, nifti, traces
@@ -40,19 +41,26 @@ class Run:
         traces.write_trace(named, self.trace_folder)
 
 
+def _status(written: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Status of all images; for one that could not be read, what was wrong with it."""
+    unread = blocks.where(F.col("error").isNotNull()).select("path", F.col("error").alias("status"))
+    return nifti.write_status(written).unionByName(unread)
+
+
 def increment_job(
     spark: SparkSession, source: str, target: str, iterations: int = 1, amount: int = 1, run: Run | None = None
 ) -> DataFrame:
     """Add a constant to all images; returns ``(path, status)``. Map-only: no shuffle of voxels."""
     run = run or Run()
     origin = run.origin()
-    ranges = nifti.plane_ranges(nifti.block_table(spark, source))
+    blocks = nifti.block_table(spark, source)
+    ranges = nifti.plane_ranges(blocks)
     # Additions of constants collapse into one; a traced run keeps one call per iteration.
     once = [slabs.increment_step(amount * iterations)]
     steps = once if origin is None else [slabs.increment_step(amount, origin) for _ in range(iterations)]
     written = nifti.rewrite_ranges(ranges, target, *steps, origin=origin)
     run.log("increment", written, iterations=iterations)
-    return nifti.write_status(written)
+    return _status(written, blocks)
 
 
 def multi_increment_job(
@@ -80,11 +88,11 @@ def multi_increment_job(
     if iterations > 0:
         if draws is None:
             draws = voxels.assign_donors(good.select("block_id"), iterations, seed, policy)
+        draws = draws.where(F.col("it") < iterations)
         if "block_id" not in draws.columns:
             # One row per iteration, so this array is as long as the parameter says.
             pairs = F.array(*[F.struct(F.lit(r.it).alias("it"), F.lit(r.donor).alias("donor")) for r in draws.collect()])
             draws = good.select("block_id", F.inline(pairs).alias("it", "donor"))
-        draws = draws.where(F.col("it") < iterations)
         about = good.select(
             F.col("block_id").alias("donor"),
             F.struct("path", "dims", "offset", "header").alias("_d"),
@@ -96,7 +104,7 @@ def multi_increment_job(
     ranges = nifti.plane_ranges(materialize(good, "plan"))
     written = nifti.rewrite_ranges(ranges, target, origin=origin)
     run.log("multi-increment", written, iterations=iterations, seed=seed)
-    return nifti.write_status(written)
+    return _status(written, blocks)
 
 
 def histogram_job(spark: SparkSession, source: str, target: str) -> DataFrame:
@@ -113,12 +121,13 @@ def kmeans_job(
     """Cluster the intensities of all images and write label images; two scans in all."""
     run = run or Run()
     origin = run.origin()
-    ranges = nifti.plane_ranges(nifti.block_table(spark, source))
+    blocks = nifti.block_table(spark, source)
+    ranges = nifti.plane_ranges(blocks)
     centroids = clustering.fit_frequency(slabs.range_frequency(ranges), count, iterations)
     label = slabs.classify_step(centroids, origin)
     written = nifti.rewrite_ranges(ranges, target, label, prefix="classified-", origin=origin)
     run.log("kmeans", written, iterations=iterations)
-    return centroids, nifti.write_status(written)
+    return centroids, _status(written, blocks)
 
 
 def cohort_job(spark: SparkSession, source: str, threshold: int) -> tuple[DataFrame, DataFrame]:
@@ -150,15 +159,15 @@ def run_report(
     parameters: Sequence[str],
     fixed: Mapping[str, object],
     overhead: str = "idle",
-    pre_process=None,
+    pre_process: Callable[[DataFrame], DataFrame] | None = None,
+    catalog: DataFrame | None = None,
 ) -> Report:
     """Where the time of runs went, per framework and value of the free parameter.
 
-    ``calls`` is a trace with ``label`` and ``run_id``; ``pre_process`` is any change of it.
+    ``calls`` is a trace with ``label`` and ``run_id``; ``pre_process`` is any change of it;
+    ``catalog`` is the run catalogue, where one is at hand.
     """
-    chosen = runs.runs_one_free_param(calls, app, parameters, fixed)
-    if "framework" not in chosen.columns:
-        chosen = chosen.withColumn("framework", runs.fl.label_framework(F.col("label")))
+    chosen = runs.calls_one_free_param(calls, app, parameters, fixed, catalog)
     shown = trace.with_effective_thread(trace.with_shown_func(chosen))
     shown = shown.transform(pre_process) if pre_process else shown
     by = ["framework", "free", "run_id"]
@@ -168,17 +177,22 @@ def run_report(
     return Report(stats, runs.stacked_totals(stats), tests)
 
 
-def makespan_report(calls: DataFrame, app: str, parameters: Sequence[str], fixed: Mapping[str, object]) -> DataFrame:
+def makespan_report(
+    calls: DataFrame,
+    app: str,
+    parameters: Sequence[str],
+    fixed: Mapping[str, object],
+    catalog: DataFrame | None = None,
+) -> DataFrame:
     """Mean and deviation of the makespan, per framework and value of the free parameter."""
-    chosen = runs.runs_one_free_param(calls, app, parameters, fixed)
-    if "framework" not in chosen.columns:
-        chosen = chosen.withColumn("framework", runs.fl.label_framework(F.col("label")))
+    chosen = runs.calls_one_free_param(calls, app, parameters, fixed, catalog)
     ends = chosen.groupBy("framework", "free", "run_id").agg(F.max("end_us").alias("us"))
     return runs.makespan_stats(ends)
 
 
 def lane_report(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Calls with lane, vertical place, colour number and runtime, ready to be drawn."""
+    schemas.require_columns(calls, "seq", "framework", "worker", "process", *by)
     shown = trace.with_effective_thread(trace.with_shown_func(calls))
     firsts = lanes.first_calls(shown, by)
     placed = materialize(lanes.gantt_lanes(lanes.lane_table(firsts, by), by), "lanes")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from brickwork import schemas
+from brickwork.functions.batches import chain, column, pack
 from brickwork.functions.intensity import LEVELS
 from brickwork.sources import nifti
 
@@ -69,6 +71,13 @@ def donors(spark: SparkSession, sf_dir: str, iterations: int = 3) -> DataFrame:
     return steps.withColumn("donor", F.pmod(F.col("block_id") * 31 + F.col("it") * 17 + 1234, count))
 
 
+def iteration_donors(spark: SparkSession, sf_dir: str, iterations: int = 3) -> DataFrame:
+    """Arithmetic donor table with one draw per iteration, ``(it, donor)``."""
+    count = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
+    steps = spark.range(iterations).select(F.col("id").alias("it"))
+    return steps.withColumn("donor", F.pmod(F.col("it") * 17 + 1234, count))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cohort ``(site, subject, image_id, path)``."""
     site = F.concat(F.lit("site-"), F.col("label").cast("string"))
@@ -134,24 +143,26 @@ def slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = slab_depth(spark, sf_dir)
     dims = [PLANE_SIDE, PLANE_SIDE, depth]
     header = nifti.new_header(dims)
+    block = F.floor(F.col("vec_id") / depth)
     parts = table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / depth).alias("block_id"), F.pmod("vec_id", F.lit(depth)).alias("slab"), "embedding"
+        block.alias("block_id"),
+        F.format_string("/data/image-%08d.nii", block).alias("path"),
+        F.pmod("vec_id", F.lit(depth)).alias("slab"),
+        "embedding",
     )
     arrow = to_arrow_schema(schemas.SLAB)
     same = {"dims": dims, "header": header, "affine": nifti.affine_of(header), "calls": [], "error": None}
 
-    def pack(batches):
+    def pack_rows(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                v = np.floor((np.asarray(r["embedding"], np.float32).astype(float) + 1.0) * 32767.5).astype("<u2")
-                path = f"/data/image-{r['block_id']:08d}.nii"
-                rows.append(
-                    {"block_id": r["block_id"], "path": path, "slab": r["slab"], "payload": v.tobytes(), **same}
-                )
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    return parts.mapInArrow(pack, schemas.SLAB)
+            lists = column(batch, "embedding")
+            values = np.floor((lists.flatten().to_numpy().astype(float) + 1.0) * 32767.5).astype("<u2")
+            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            rows = {n: column(batch, n) for n in ("block_id", "path", "slab")}
+            rows |= {n: [v] * len(batch) for n, v in same.items()} | {"payload": pack(values, starts)}
+            yield pa.RecordBatch.from_pydict({n: rows[n] for n in arrow.names}, schema=arrow)
+
+    return chain(parts, schemas.SLAB, pack_rows)
 
 
 def cohort_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:

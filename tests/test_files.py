@@ -204,6 +204,27 @@ def test_histogram_job(spark, tmp_path):
     assert lines == [f"{i};{n}" for i, n in enumerate(expected)]
 
 
+def test_jobs_on_an_empty_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    total = jobs.histogram_job(spark, f"{tmp_path}/in", f"{tmp_path}/out").agg(F.sum("n"), F.count("bin")).first()
+    assert tuple(total) == (0, 65_535)
+    with pytest.raises(ValueError):
+        jobs.kmeans_job(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert jobs.increment_job(spark, f"{tmp_path}/in", f"{tmp_path}/out").count() == 0
+
+
+def test_unreadable_images_show_in_the_status(spark, tmp_path):
+    random_images(f"{tmp_path}/in", 2)
+    (tmp_path / "in" / "x.nii").write_bytes(b"broken")
+    for done in (
+        jobs.increment_job(spark, f"{tmp_path}/in", f"{tmp_path}/a"),
+        jobs.multi_increment_job(spark, f"{tmp_path}/in", f"{tmp_path}/b", 1),
+        jobs.kmeans_job(spark, f"{tmp_path}/in", f"{tmp_path}/c")[1],
+    ):
+        status = {listing_name(r.path): r.status for r in done.collect()}
+        assert "shorter" in status.pop("x.nii") and list(status.values()) == ["SUCCESS"] * 2
+
+
 def test_kmeans_job(spark, tmp_path):
     from test_voxels import numpy_kmeans
 
@@ -248,6 +269,21 @@ def test_foreign_trace_layout(spark, tmp_path):
     assert sorted((r.run_id, r.framework) for r in catalogue) == [("abc", "spark"), ("def", "spark")]
 
 
+def test_report_prunes_the_folders_of_other_runs(spark, tmp_path):
+    names = "func string, start_us bigint, end_us bigint, filename string, worker string, thread bigint, process bigint, label string, run_id string"
+    rows = [
+        ("load", 0, (n + i) * S, "x", "w", 1, 2, f"{fw}:increment:n_worker={n}:iterations={it}", f"{fw}-{n}-{it}-{i}")
+        for fw in ("dask", "spark") for n in (2, 4) for it in (1, 5) for i in range(3)
+    ]
+    traces.write_trace(spark.createDataFrame(rows, names), f"{tmp_path}/logs")
+    logs = traces.scan_traces(spark, f"{tmp_path}/logs")
+    catalogue = traces.run_catalog(traces.list_trace_files(spark, f"{tmp_path}/logs"))
+    report = jobs.makespan_report(logs, "increment", ["n_worker", "iterations"], {"iterations": 5}, catalogue)
+    assert "dynamicpruning" in report._jdf.queryExecution().executedPlan().toString().lower()
+    found = sorted((r.framework, r.free, r.mean) for r in report.collect())
+    assert found == [("dask", 2.0, 3.0), ("dask", 4.0, 5.0), ("spark", 2.0, 3.0), ("spark", 4.0, 5.0)]
+
+
 def test_merge_keeps_logs_and_rows(spark, tmp_path):
     rows = [("f", i * S, i * S + 1, "x", "w", 1, 2, "spark:a", "r1" if i % 3 else "r2") for i in range(300)]
     names = "func string, start_us bigint, end_us bigint, filename string, worker string, thread bigint, process bigint, label string, run_id string"
