@@ -59,7 +59,9 @@ def calls_one_free_param(
     chosen = runs_one_free_param(labels, app, parameters, fixed)
     if "framework" not in calls.columns:
         chosen = chosen.withColumn("framework", fl.label_framework(F.col("label")))
-    return calls.join(broadcast_if_small(materialize(chosen, "chosen")), "label")
+    # Spark prunes partitions by a join only when the small side has a comparison; this one is always true.
+    stored = materialize(chosen, "chosen").where(F.col("label") > "")
+    return calls.join(broadcast_if_small(stored), "label")
 
 
 def lossless_int(values: DataFrame, column: str = "free") -> DataFrame:
