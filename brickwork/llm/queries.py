@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickwork.llm import bpe, decontaminate, pii, quality, toxicity, urls
+from brickwork.llm import bpe, decontaminate, pii, quality, substrings, toxicity, urls, windows
 from brickwork.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_suffix_array_dedup(spark, sf_dir):
+    return substrings.dedup(_table(spark, sf_dir, "documents"))
+
+
 @query(
     r"""
 with w as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from benchmark),
@@ -92,6 +97,21 @@ def op5_toxicity(spark, sf_dir):
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+@query(
+    r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+g as (select doc_id, i, array_to_string(ws[i + 1 : i + 35], ' ') as g from (select doc_id, ws, unnest(range(0, len(ws) - 34)) as i from d)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by g) as c from g) where c > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as j from r),
+word as (select doc_id, unnest(ws) as w, unnest(range(0, len(ws))) as j from d),
+kept as (select doc_id, string_agg(w, ' ' order by j) as t, count(*) as n from word anti join gone using (doc_id, j) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)"""
+)
+def op7_window_doubling(spark, sf_dir):
+    return windows.dedup(_table(spark, sf_dir, "documents"))
+
+
 @query(
     r"""
 with d as (select doc_id, source, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
