@@ -32,8 +32,13 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(key), value).alias("rid"), F.col(key).alias("id"), value.alias("text"))
 
 
-def shards(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def shards(df: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of shards, and for each the number that Spark's hash sends to a partition of its own."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tried = spark.range(16 * n).select(F.col("id").cast("int").alias("i")).select("i", F.pmod(F.hash("i"), F.lit(n)).alias("p"))
+    found = dict(tried.groupBy("p").agg(F.min("i")).collect())
+    return n, np.array([found.get(p, p) for p in range(n)], np.int64)
 
 
 def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -72,11 +77,11 @@ def split_at(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(docs: DataFrame, find: Callable[[np.ndarray, np.ndarray], Found], across: bool) -> DataFrame:
-    """``rid`` and ``v``: the anchors of each row that occur again, as arrays of packed 48-bit hashes.
+    """``rid`` and ``v``: the anchors of each row that occur again, as 48-bit hashes.
 
     ``find`` gives hash and text number of all anchors of a slice. With ``across``, an anchor counts once per row.
     """
-    n = shards(docs)
+    n, sent_as = shards(docs)
 
     def count_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -96,19 +101,19 @@ def repeated(docs: DataFrame, find: Callable[[np.ndarray, np.ndarray], Found], a
                 at, border = split_at(pair >> 48)
                 for a, b in zip(at.tolist(), border[1:].tolist()):
                     own = int(rid[pair[a] >> 48])
-                    rows.append((own % n, own, (pair[a:b] & (2**48 - 1)).astype(np.int64).tobytes(), None, None))
+                    rows.append((int(sent_as[own % n]), own, (pair[a:b] & (2**48 - 1)).astype(np.int64).tobytes(), None, None))
                 # One entry for each anchor of the slice; the row is left open where the slice has several.
                 v, who = v[first], np.where(many, -1, d[first])
                 shard = (v % np.uint64(n)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
+                order = np.lexsort((who, shard))
                 at, border = split_at(shard[order])
                 for a, b in zip(at.tolist(), border[1:].tolist()):
                     take = order[a:b]
-                    used, back = np.unique(who[take], return_inverse=True)
+                    used, size = np.unique(who[take], return_counts=True)
                     names = np.where(used < 0, 0, rid[np.maximum(used, 0)])
                     low, high = (v[take] & np.uint64(2**32 - 1)).astype(np.uint32), (v[take] >> np.uint64(32)).astype(np.uint16)
-                    told = back.astype(np.uint16) + np.uint16(0 if len(used) and used[0] < 0 else 1)
-                    rows.append((int(shard[take[0]]), None, low.tobytes() + high.tobytes(), told.tobytes(), names[used >= 0].tobytes()))
+                    head = np.int64(size[0] if used[0] < 0 else 0)  # entries that want no reply come first
+                    rows.append((int(sent_as[shard[take[0]]]), None, low.tobytes() + high.tobytes(), head.tobytes() + size[used >= 0].astype(np.uint32).tobytes(), names[used >= 0].tobytes()))
                 if rows:
                     columns = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays(
@@ -119,29 +124,29 @@ def repeated(docs: DataFrame, find: Callable[[np.ndarray, np.ndarray], Found], a
         values, owners = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
         for batch in batches:
             direct = batch.filter(batch.column("who").is_null())
-            if direct.num_rows:
-                yield direct.select(["rid", "v"])
+            for row in direct.to_pylist():
+                found = np.frombuffer(row["v"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row["rid"])), pa.array(found)], names=["rid", "v"])
             for row in batch.filter(batch.column("who").is_valid()).to_pylist():
-                told, names = np.frombuffer(row["who"], np.uint16).astype(np.int64), np.frombuffer(row["names"], np.int64)
-                low, high = np.frombuffer(row["v"], np.uint32, len(told)), np.frombuffer(row["v"], np.uint16, len(told), 4 * len(told))
+                head, names = int(np.frombuffer(row["who"], np.int64, 1)[0]), np.frombuffer(row["names"], np.int64)
+                size = np.frombuffer(row["who"], np.uint32, len(names), 8).astype(np.int64)
+                total = head + int(size.sum())
+                low, high = np.frombuffer(row["v"], np.uint32, total), np.frombuffer(row["v"], np.uint16, total, 4 * total)
                 values.append(high.astype(np.uint64) << np.uint64(32) | low)
-                owners.append(np.c_[told > 0, np.r_[0, names][told]])
+                owners.append(np.c_[np.arange(total) >= head, np.r_[np.zeros(head, np.int64), np.repeat(names, size)]])
         v, own = np.concatenate(values), np.concatenate(owners)
         order = np.argsort(v, kind="stable")
         v, own = v[order], own[order]
         first, border = split_at(v)
         size = np.diff(border)
         reply = np.repeat(size > 1, size) & (own[:, 0] == 1)
-        v, rid = v[reply], own[reply, 1]
+        v, rid = v[reply].astype(np.int64), own[reply, 1]
         order = np.argsort(rid, kind="stable")
-        v, rid = v[order].astype(np.int64), rid[order]
-        at, border = split_at(rid)
-        for k in range(0, len(at), 10_000):
-            some = list(zip(at[k : k + 10_000].tolist(), border[k + 1 : k + 10_001].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(rid[at[k : k + 10_000]]), K.binaries([v[a:b].tobytes() for a, b in some])], names=["rid", "v"])
+        for k in range(0, len(order), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(rid[order[k : k + 100_000]]), pa.array(v[order[k : k + 100_000]])], names=["rid", "v"])
 
     sent = docs.select("rid", "text").mapInArrow(count_slice, "shard int, rid long, v binary, who binary, names binary")
-    return sent.repartition(n, "shard").mapInArrow(count_shard, "rid long, v binary")
+    return sent.repartition(n, "shard").mapInArrow(count_shard, "rid long, v long")
 
 
 def collected(rows: DataFrame, *columns: str) -> DataFrame:
@@ -161,7 +166,9 @@ def joined(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 def surviving(least: np.ndarray, first: np.ndarray, doc: np.ndarray, column: pa.Array) -> np.ndarray:
     """Which runs have an anchor that is in their row's list."""
-    v, row = joined(column, np.int64)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    v, row = column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.asarray(column.value_lengths().fill_null(0)))
     known = np.sort(v.astype(np.uint64) << _S16 | row.astype(np.uint64))
     key = least[first] >> _S16 << _S16 | doc.astype(np.uint64)
     at = np.searchsorted(known, key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickwork.llm import bpe, decontaminate, pii, quality, substrings, toxicity, urls, windows
+from brickwork.llm import bpe, decontaminate, jaccard, pii, quality, substrings, toxicity, urls, windows
 from brickwork.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,27 @@ def op8_host_rules(spark, sf_dir):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query(
+    r"""
+with recursive d as (select doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+c as (select t, min(doc_id) as class_id, count(*) as n_copies, any_value(ws) as ws from d group by t),
+s as (select distinct class_id, case when len(ws) < 5 then array_to_string(ws, ' ') else array_to_string(ws[i + 1 : i + 5], ' ') end as g
+  from (select class_id, ws, unnest(range(0, greatest(len(ws) - 4, least(len(ws), 1)))) as i from c)),
+n as (select class_id, count(*) as n from s group by class_id),
+common as (select g from s group by g having count(*) > 1),
+p as (select a.class_id as a, b.class_id as b, count(*) as k from s a join s b using (g) where a.class_id < b.class_id and g in (select g from common) group by all),
+l as (select a, b from p join n x on a = x.class_id join n y on b = y.class_id where k >= 0.8 * (x.n + y.n - k)),
+e as (select a, b from l union select b, a from l),
+reach as (select a as x, a as y from e union select x, b from reach join e on y = a),
+grp as (select x, min(y) as group_id from reach group by x),
+deg as (select a, count(*) as n_links from e group by a)
+select doc_id, c.class_id, n_copies, coalesce(n_links, 0)::bigint as n_links, coalesce(group_id, c.class_id) as group_id
+from d join c using (t) left join deg on a = c.class_id left join grp on x = c.class_id"""
+)
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard.join(_table(spark, sf_dir, "documents")).drop("rid", "_keeper")
+
+
 @query()
 def op10_byte_bpe(spark, sf_dir):
     return bpe.digests(_table(spark, sf_dir, "documents"))

@@ -211,7 +211,7 @@ def _anchors(buf: np.ndarray, starts: np.ndarray, length: int, gram: int):
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``rid`` and runs of byte positions at which a string begins that a smaller document holds as well."""
-    n = A.shards(docs)
+    n, sent_as = A.shards(docs)
 
     def anchors_of(buf: np.ndarray, starts: np.ndarray) -> A.Found:
         _, _, g, at, doc = _anchors(buf, starts, length, gram)
@@ -242,22 +242,19 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                     lead = order
                 later = order[ids[d[order]] > ids[d[lead]]]
                 own, pos = np.repeat(rid[d[later]], count[later]), K.ranges(first[later] - starts[d[later]], count[later])
-                rows: list[tuple] = [(r[0] % n, r[0], None, None, None, r[1], r[2]) for r in A.packed_runs(own, pos)]
+                rows: list[tuple] = [(int(sent_as[r[0] % n]), r[0], None, None, None, r[1], r[2]) for r in A.packed_runs(own, pos)]
                 sent = np.sort(order[ids[d[order]] == ids[d[lead]]])
-                v = least[first[sent]] >> np.uint64(16)
-                shard = ((v >> np.uint64(4)) % np.uint64(n)).astype(np.int64)
-                sent = sent[np.lexsort((v, shard))]
-                v = least[first[sent]] >> np.uint64(16)
-                shard = ((v >> np.uint64(4)) % np.uint64(n)).astype(np.int64)
-                at, border = A.split_at(shard)
+                v = least[first[sent]] >> np.uint64(20)
+                shard = (v % np.uint64(n)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                at, border = A.split_at(shard[order])
                 for a, b in zip(at.tolist(), border[1:].tolist()):
-                    take = sent[a:b]
-                    used, told = np.unique(d[take], return_inverse=True)
-                    size = (end - first)[take].astype(np.uint32)
-                    data = buf[K.ranges(first[take], size.astype(np.int64))]
-                    facts = np.c_[size, told.astype(np.uint32), (first[take] - starts[d[take]]).astype(np.uint32)].T.astype(np.uint32)
-                    packed = v[a:b].tobytes() + facts.tobytes()
-                    rows.append((int(shard[a]), None, data.tobytes(), packed, np.r_[rid[used], ids[used]].astype(np.int64).tobytes(), None, None))
+                    take = sent[order[a:b]]
+                    used, count_of = np.unique(d[take], return_counts=True)
+                    size = (end - first)[take]
+                    data = buf[K.ranges(first[take], size)].tobytes()
+                    facts = np.r_[(v[order[a:b]] // np.uint64(n) & np.uint64(2**32 - 1)).astype(np.int64), size, first[take] - starts[d[take]], count_of].astype(np.uint32)
+                    rows.append((int(sent_as[shard[order[a]]]), None, pa.compress(data, "zstd", asbytes=True), facts.tobytes(), np.r_[rid[used], ids[used]].astype(np.int64).tobytes(), None, None))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[2:]]],
@@ -265,19 +262,21 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 )
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, v, facts, names, known = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint64)], [np.zeros((3, 0), np.int64)], [np.zeros((2, 0), np.int64)], 0
+        data, v, facts, names, known = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros((3, 0), np.int64)], [np.zeros((2, 0), np.int64)], 0
         for batch in batches:
             direct = batch.filter(batch.column("data").is_null())
             if direct.num_rows:
                 yield direct.select(["rid", "first", "length"])
             for row in batch.filter(batch.column("data").is_valid()).to_pylist():
-                m = len(row["at"]) // 20
-                v.append(np.frombuffer(row["at"], np.uint64, m))
-                data.append(np.frombuffer(row["data"], np.uint8))
-                facts.append(np.frombuffer(row["at"], np.uint32, 3 * m, 8 * m).reshape(3, m).astype(np.int64))
-                facts[-1][1] += known
-                names.append(np.frombuffer(row["names"], np.int64).reshape(2, -1))
-                known += names[-1].shape[1]
+                own = np.frombuffer(row["names"], np.int64).reshape(2, -1)
+                packed = np.frombuffer(row["at"], np.uint32).astype(np.int64)
+                m = (len(packed) - own.shape[1]) // 3
+                told = np.repeat(np.arange(own.shape[1]) + known, packed[3 * m :])
+                v.append(packed[:m])
+                facts.append(np.stack([packed[m : 2 * m], told, packed[2 * m : 3 * m]]))
+                data.append(np.frombuffer(pa.decompress(row["data"], int(facts[-1][0].sum()), "zstd", asbytes=True), np.uint8))
+                names.append(own)
+                known += own.shape[1]
         buf, anchor, (size, who, start) = np.concatenate(data), np.concatenate(v), np.concatenate(facts, 1)
         del data, v, facts
         rid, ids = np.concatenate(names, 1)

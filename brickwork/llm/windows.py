@@ -34,7 +34,7 @@ def _levels(buf: np.ndarray, starts: np.ndarray, window: int):
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``rid`` and runs of word positions at which a repeated window begins; ``docs`` has rid, id and text."""
-    n = A.shards(docs)
+    n, sent_as = A.shards(docs)
 
     def anchors_of(buf: np.ndarray, starts: np.ndarray) -> A.Found:
         _, doc, _, g, half = _levels(buf, starts, window)
@@ -62,7 +62,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 _, one, back, many = np.unique(w, return_index=True, return_inverse=True, return_counts=True)
                 own, pos = rid[doc[at]], at - before[doc[at]]
                 again = many[back] > 1
-                rows: list[tuple] = [(r[0] % n, r[0], None, None, None, r[1], r[2]) for r in A.packed_runs(own[again], pos[again])]
+                rows: list[tuple] = [(int(sent_as[r[0] % n]), r[0], None, None, None, r[1], r[2]) for r in A.packed_runs(own[again], pos[again])]
                 one = np.sort(one)  # one entry for each window of the slice, in text order
                 order = one[np.argsort(shard[one], kind="stable")]
                 begin, border = A.split_at(shard[order])
@@ -71,7 +71,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     used, told = np.unique(doc[at[take]], return_inverse=True)
                     told = np.where(again[take], 0, told + 1).astype(np.uint32)
                     step = np.diff(np.r_[0, pos[take]]).astype(np.int32)
-                    rows.append((int(shard[take[0]]), None, w[take].tobytes(), told.tobytes() + step.tobytes(), rid[used].tobytes(), None, None))
+                    rows.append((int(sent_as[shard[take[0]]]), None, w[take].tobytes(), told.tobytes() + step.tobytes(), rid[used].tobytes(), None, None))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[2:]]],
