@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickwork.llm import bpe, decontaminate, jaccard, pii, quality, substrings, toxicity, urls, windows
+from brickwork.llm import bpe, decontaminate, jaccard, lines, pii, quality, substrings, toxicity, urls, windows
 from brickwork.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,26 @@ def op5_toxicity(spark, sf_dir):
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+@query(
+    r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, j, list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from (select doc_id, unnest(ls) as s, unnest(range(0, len(ls))) as j from d)),
+s as (select distinct doc_id, j, case when len(ws) < 5 then array_to_string(ws, ' ') else array_to_string(ws[i + 1 : i + 5], ' ') end as g
+  from (select doc_id, j, ws, unnest(range(0, greatest(len(ws) - 4, least(len(ws), 1)))) as i from l)),
+k as (select doc_id, j, md5(string_agg(g, chr(10) order by g)) as h, count(*) as n from s group by all),
+c as (select *, row_number() over (partition by h order by doc_id, j) as r from k),
+f as (select s.* from s join c using (doc_id, j) where r = 1),
+p as (select a.doc_id as d1, a.j as j1, b.doc_id as d2, b.j as j2, count(*) as m from f a join f b using (g) where (a.doc_id, a.j) < (b.doc_id, b.j) group by all),
+near as (select distinct d2 as doc_id, j2 as j from p join c x on d1 = x.doc_id and j1 = x.j join c y on d2 = y.doc_id and j2 = y.j where m >= 0.8 * (x.n + y.n - m)),
+gone as (select doc_id, j from c where r > 1 union select doc_id, j from near),
+a as (select doc_id, count(*) as n, list(j::int order by j) as js from gone group by doc_id)
+select doc_id, len(ls)::bigint as n_lines, coalesce(n, 0)::bigint as n_removed, coalesce(array_to_string(js, ','), '') as removed from d left join a using (doc_id)"""
+)
+def op6_line_similarity(spark, sf_dir):
+    found = lines.decisions(_table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.transform("removed", lambda n: n.cast("string")), ","))
+
+
 @query(
     r"""
 with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickwork.llm import bpe, decontaminate, toxicity
+from brickwork.llm import bpe, decontaminate, jaccard, lines, toxicity
 from brickwork.session import materialize, ship_package
 
 
@@ -21,6 +21,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep(docs, model)
 
 
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: lines similar to an earlier line go; the text's length is counted anew."""
+    ship_package(spark)
+    return lines.clean(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: of near duplicates, the document of least id stays."""
+    ship_package(spark)
+    return jaccard.representatives(docs)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents that hold a benchmark passage go."""
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
@@ -31,7 +43,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("benchmark decontamination", drop_leaks), ("byte-level BPE", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", drop_leaks),
+    ("byte-level BPE", encode),
+]
 
 #: SQL can't express the toxicity model.
 ORACLE_SQL = None
