@@ -23,8 +23,8 @@ from brickwork.llm import kernels as K
 BUCKETS = 1 << 20
 #: Bound of the labelled sample that a model is fitted on: the rows whose id has the least hash.
 MAX_TRAINING_ROWS = 16_384
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 3.0, 1.0
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 #: Share of a class beyond which the score rejects a text.
 THRESHOLD = 0.7
 
