@@ -144,6 +144,7 @@ def _similar(rows: pa.Table, group: np.ndarray, gram: int, threshold: float, ord
     start = np.cumsum(n) - n
     t, r, place, size = by_rarity(token, row, order)
     first = np.flatnonzero(prefix(place, size, threshold))
+    spot = rows.column("c").to_numpy()  # equal for repeated rows, which don't make each other similar
     own, across = rows.column("own").to_numpy(), rows.column("i").to_numpy() != rows.column("j").to_numpy()
     key = K.mix(t[first] ^ K.mix(group[r[first]].astype(np.uint64)))
     by = np.lexsort((r[first], key))
@@ -154,7 +155,7 @@ def _similar(rows: pa.Table, group: np.ndarray, gram: int, threshold: float, ord
         head = head[head + far < len(key)]
         head = head[key[head] == key[np.minimum(head + far, len(key) - 1)]]
         x, y = r[head], r[head + far]
-        good = (group[x] == group[y]) & (x != y) & (~across[x] | (own[x] != own[y]))
+        good = (group[x] == group[y]) & (spot[x] != spot[y]) & (~across[x] | (own[x] != own[y]))
         good &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9  # length filter
         found.append(np.stack([x, y, place[head], place[head + far]])[:, good])
         far += 1
@@ -220,8 +221,8 @@ def removed(own: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD) -> D
     group = lists.groupBy("n", "s").agg(F.min("t").alias("t")).select("t", "n")
     member = tokens.join(group, "t").select(F.col("t").alias("g"), "c", "n")
     pairs = B.block_pairs(member, "g", "c", "n")
-    texts = single.select("c", "id", "rid", "line", "words").dropDuplicates(["c"])
-    near = matches(pairs.join(texts, "c").select("g", "i", "j", "own", "id", "rid", "line", "words"), gram, threshold, order)
+    texts = single.select("c", "id", "rid", "line", "words")
+    near = matches(pairs.join(texts, "c").select("g", "i", "j", "own", "c", "id", "rid", "line", "words"), gram, threshold, order)
     return copies.select("rid", "line").unionByName(near).distinct()
 
 
