@@ -150,54 +150,62 @@ def repeated(docs: DataFrame, find: Callable[[np.ndarray, np.ndarray], Found], a
 
 
 def collected(rows: DataFrame, *columns: str) -> DataFrame:
-    """The packed arrays of each ``rid`` side by side. A row's own arrays are bounded by its text."""
+    """The values of each ``rid`` side by side. A row's own arrays are bounded by its text."""
     return rows.groupBy("rid").agg(*[F.collect_list(c).alias(c) for c in columns])
 
 
-def joined(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers packed in a column of arrays of binaries, and the row each belongs to."""
-    parts, owners = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
-    for row, value in enumerate(column.to_pylist()):
-        for packed in value or ():
-            parts.append(np.frombuffer(packed, kind))
-            owners.append(np.full(len(parts[-1]), row))
-    return np.concatenate(parts), np.concatenate(owners)
-
-
 def surviving(least: np.ndarray, first: np.ndarray, doc: np.ndarray, column: pa.Array) -> np.ndarray:
     """Which runs have an anchor that is in their row's list."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    v, row = column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.asarray(column.value_lengths().fill_null(0)))
+    v, row = listed(column)
     known = np.sort(v.astype(np.uint64) << _S16 | row.astype(np.uint64))
     key = least[first] >> _S16 << _S16 | doc.astype(np.uint64)
     at = np.searchsorted(known, key)
     return (at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] == key) if len(known) else np.zeros(len(first), bool)
 
 
-def packed_runs(rid: np.ndarray, pos: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-    """Rows of ``rid``, first positions and lengths of runs of positions."""
+def position_runs(rid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``rid``, first position and length of the runs of positions."""
     order = np.lexsort((pos, rid))
     rid, pos = rid[order], pos[order]
     if len(rid) == 0:
-        return []
+        return rid, pos, pos
     keep = np.r_[True, (rid[1:] != rid[:-1]) | (pos[1:] != pos[:-1])]
     rid, pos = rid[keep], pos[keep]
     new = np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (pos[1:] != pos[:-1] + 1)])
-    length, first, owner = np.diff(np.r_[new, len(rid)]).astype(np.int64), pos[new].astype(np.int64), rid[new]
+    return rid[new], pos[new].astype(np.int64), np.diff(np.r_[new, len(rid)]).astype(np.int64)
+
+
+def packed_runs(rid: np.ndarray, pos: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """The same, with the runs of each ``rid`` packed in two arrays."""
+    owner, first, length = position_runs(rid, pos)
     at, border = split_at(owner)
     return [(int(owner[a]), first[a:b].tobytes(), length[a:b].tobytes()) for a, b in zip(at.tolist(), border[1:].tolist())]
 
 
-def flagged_rows(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), K.binaries(columns[1]), K.binaries(columns[2])], names=["rid", "first", "length"])
+def flagged(rid: np.ndarray, first: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches of one row for each run."""
+    for k in range(0, len(rid), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in (rid, first, length)], names=["rid", "first", "length"])
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of packed runs as one row for each run."""
+    for row in batch.to_pylist():
+        first = np.frombuffer(row["first"], np.int64)
+        yield from flagged(np.full(len(first), row["rid"]), first, np.frombuffer(row["length"], np.int64))
+
+
+def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in a column of lists, and the row each belongs to."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.asarray(column.value_lengths().fill_null(0)))
 
 
 def covered(first_column: pa.Array, length_column: pa.Array, starts: np.ndarray, width: int, total: int) -> np.ndarray:
     """Which items (bytes, words) of a slice lie in a flagged window of ``width``; runs are given within each text."""
-    a, row = joined(first_column, np.int64)
-    n, _ = joined(length_column, np.int64)
+    a, row = listed(first_column)
+    n, _ = listed(length_column)
     change = np.zeros(total + 1, np.int32)
     begin = starts[row] + a
     np.add.at(change, begin, 1)

@@ -265,8 +265,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         data, v, facts, names, known = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros((3, 0), np.int64)], [np.zeros((2, 0), np.int64)], 0
         for batch in batches:
             direct = batch.filter(batch.column("data").is_null())
-            if direct.num_rows:
-                yield direct.select(["rid", "first", "length"])
+            yield from A.unpacked(direct.select(["rid", "first", "length"]))
             for row in batch.filter(batch.column("data").is_valid()).to_pylist():
                 own = np.frombuffer(row["names"], np.int64).reshape(2, -1)
                 packed = np.frombuffer(row["at"], np.uint32).astype(np.int64)
@@ -292,15 +291,13 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             piece, offset, least = first_holders(buf, begin[take], begin[take] + size[take], ids[who[take]], length)
             own = who[take][piece]
             later = ids[own] > least
-            rows = A.packed_runs(rid[own[later]], (start[take][piece] + offset)[later])
-            for j in range(0, len(rows), 10_000):
-                yield A.flagged_rows(rows[j : j + 10_000])
+            yield from A.flagged(*A.position_runs(rid[own[later]], (start[take][piece] + offset)[later]))
             k = last
 
     first = A.repeated(docs, anchors_of, across=True)
     candidates = docs.join(A.collected(first, "v"), "rid").select("rid", F.coalesce(F.col("id").cast("long"), F.lit(_LAST)).alias("id"), "text", "v")
     sent = candidates.mapInArrow(cut_out, "shard int, rid long, data binary, at binary, names binary, first binary, length binary")
-    return sent.repartition(n, "shard").mapInArrow(sort_shard, "rid long, first binary, length binary")
+    return sent.repartition(n, "shard").mapInArrow(sort_shard, "rid long, first long, length long")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_bytes: bool = False) -> DataFrame:

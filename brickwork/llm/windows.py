@@ -83,8 +83,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         names, known = [np.zeros(0, np.int64)], 0
         for batch in batches:
             direct = batch.filter(batch.column("w").is_null())
-            if direct.num_rows:
-                yield direct.select(["rid", "first", "length"])
+            yield from A.unpacked(direct.select(["rid", "first", "length"]))
             for row in batch.filter(batch.column("w").is_valid()).to_pylist():
                 w = np.frombuffer(row["w"], np.uint64)
                 told, step = np.frombuffer(row["at"], np.uint32, len(w)).astype(np.int64), np.frombuffer(row["at"], np.int32, len(w), 4 * len(w))
@@ -100,15 +99,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         _, border = A.split_at(w)
         size = np.diff(border)
         reply = np.repeat(size > 1, size) & (who >= 0)
-        if reply.any():
-            rows = A.packed_runs(np.concatenate(names)[who[reply]], pos[reply])
-            for k in range(0, len(rows), 10_000):
-                yield A.flagged_rows(rows[k : k + 10_000])
+        yield from A.flagged(*A.position_runs(np.concatenate(names)[who[reply]], pos[reply]))
 
     first = A.repeated(docs, anchors_of, across=False)
     candidates = docs.join(A.collected(first, "v"), "rid").select("rid", "text", "v")
     sent = candidates.mapInArrow(extend, "shard int, rid long, w binary, at binary, names binary, first binary, length binary")
-    return sent.repartition(n, "shard").mapInArrow(count, "rid long, first binary, length binary")
+    return sent.repartition(n, "shard").mapInArrow(count, "rid long, first long, length long")
 
 
 def _apart(g: np.ndarray, doc: np.ndarray, half: int) -> np.ndarray:
