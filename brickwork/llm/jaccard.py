@@ -154,7 +154,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = G
     member = materialize(chained.select(F.col("node").alias("c"), F.col("component").alias("g")), "members")
     size = member.groupBy("g").agg(F.count("*").alias("n"))
     pairs = B.block_pairs(member.join(size, "g"), "g", "c", "n")
-    texts = own.join(member.select(F.col("c").alias("rid")), "rid", "left_semi").dropDuplicates(["rid"]).select(F.col("rid").alias("c"), "text")
+    # Always by shuffle: one plan at every size.
+    texts = own.join(member.select(F.col("c").alias("rid")).hint("shuffle_merge"), "rid", "left_semi").dropDuplicates(["rid"]).select(F.col("rid").alias("c"), "text")
     found = materialize(verified(pairs.join(texts, "c").select("g", "i", "j", "own", "c", "text"), gram, threshold), "links")
     links = found.groupBy("c").agg(F.sum("links").alias("n_links"))
     linked = components(found.select(F.col("c").alias("a"), F.col("low").alias("b")))
