@@ -52,24 +52,24 @@ def rechunk(blocks: DataFrame, chunk_bytes: int, item_bytes: int = VOXEL_BYTES)
     """Split every block into ``ceil(bytes / chunk_bytes)`` pieces of nearly equal length."""
     size = F.size("v").cast("bigint")
     counted = blocks.withColumn("_n", fi.chunk_count(size, item_bytes, chunk_bytes)).where("_n > 0")
-    pieces = counted.select(
-        "block_id", "v", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("chunk")
-    )
-    start = fi.chunk_start(F.col("chunk"), size, F.col("_n"))
-    stop = fi.chunk_start(F.col("chunk") + 1, size, F.col("_n"))
-    return pieces.select(
-        "block_id", "chunk", F.slice("v", (start + 1).cast("int"), (stop - start).cast("int")).alias("v")
-    )
+    def piece(chunk):
+        start, stop = fi.chunk_start(chunk, size, F.col("_n")), fi.chunk_start(chunk + 1, size, F.col("_n"))
+        return F.struct(chunk.alias("chunk"), F.slice("v", (start + 1).cast("int"), (stop - start).cast("int")).alias("v"))
+
+    # The pieces are cut inside the row: only they are exploded, not a copy of the block for each.
+    pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1), piece)
+    return counted.select("block_id", F.inline(pieces))
 
 
 def slab_split(blocks: DataFrame) -> DataFrame:
     """Split every block into one slab per index of its first axis."""
-    last = _dim(0) - 1
-    slabs = blocks.select("block_id", "dims", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("x"))
     length = _dim(1) * _dim(2)
-    return slabs.select(
-        "block_id", "x", F.slice("v", (F.col("x") * length + 1).cast("int"), length.cast("int")).alias("v")
-    )
+
+    def slab(x):
+        return F.struct(x.alias("x"), F.slice("v", (x * length + 1).cast("int"), length.cast("int")).alias("v"))
+
+    slabs = F.transform(F.sequence(F.lit(0).cast("bigint"), _dim(0) - 1), slab)
+    return blocks.select("block_id", F.inline(slabs))
 
 
 def add_blocks(blocks: DataFrame, donors: DataFrame) -> DataFrame:

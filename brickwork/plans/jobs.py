@@ -107,9 +107,12 @@ def multi_increment_job(
     return _status(written, blocks)
 
 
-def histogram_job(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Dense histogram of all images, also written as ``histogram.csv``."""
-    ranges = nifti.plane_ranges(nifti.block_table(spark, source))
+def histogram_job(spark: SparkSession, source: str, target: str, unreadable: str = "raise") -> DataFrame:
+    """Dense histogram of all images, also written as ``histogram.csv``.
+
+    An image that can't be read ends the job, unless ``unreadable`` is ``"skip"``.
+    """
+    ranges = nifti.plane_ranges(nifti.complete(nifti.block_table(spark, source), unreadable))
     counts = materialize(voxels.dense_histogram(slabs.bin_frequency(slabs.range_frequency(ranges))), "histogram")
     traces.write_histogram(counts, target)
     return counts
@@ -191,11 +194,14 @@ def makespan_report(
 
 
 def lane_report(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Calls with lane, vertical place, colour number and runtime, ready to be drawn."""
+    """Calls with lane, vertical place, colour number and runtime, ready to be drawn.
+
+    Calls without worker or thread stay, with an empty lane.
+    """
     schemas.require_columns(calls, "seq", "framework", "worker", "process", *by)
     shown = trace.with_effective_thread(trace.with_shown_func(calls))
     firsts = lanes.first_calls(shown, by)
     placed = materialize(lanes.gantt_lanes(lanes.lane_table(firsts, by), by), "lanes")
-    keyed = shown.join(lanes.broadcast_if_small(placed), [*by, "worker", "thread"])
-    colored = keyed.join(lanes.broadcast_if_small(lanes.func_color_index(firsts)), "func")
+    keyed = shown.join(lanes.broadcast_if_small(placed), [*by, "worker", "thread"], "left")
+    colored = keyed.join(lanes.broadcast_if_small(lanes.func_color_index(firsts)), "func", "left")
     return trace.with_runtime(colored)

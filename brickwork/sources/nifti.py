@@ -158,9 +158,10 @@ def open_file(path: str):
 
 def _read_header(path: str, length: int) -> dict:
     row = {"path": path, "length": length, "dims": None, "offset": None, "header": None, "affine": None, "error": None}
+    # A fault of the storage is no property of the file: it fails the task, which Spark then repeats.
+    with open_file(path) as f:
+        header = f.read_at(HEADER_BYTES, 0)
     try:
-        with open_file(path) as f:
-            header = f.read_at(HEADER_BYTES, 0)
         if len(header) < HEADER_BYTES:
             raise ValueError("the file is shorter than a header")
         dims, kind, _ = dims_of(header), voxel_type(header), scaling_of(header)
@@ -168,7 +169,7 @@ def _read_header(path: str, length: int) -> dict:
         if length < offset + int(np.prod(dims)) * kind.itemsize:
             raise ValueError("the file is shorter than its dimensions say")
         row |= {"dims": dims, "offset": offset, "header": header, "affine": affine_of(header)}
-    except (OSError, ValueError, struct.error) as problem:
+    except (ValueError, struct.error) as problem:
         row["error"] = str(problem)
     return row
 
@@ -286,9 +287,21 @@ def scan_ranges(ranges: DataFrame, origin: float | None = None) -> DataFrame:
     return chain(ranges, schemas.SLAB, read_step(origin))
 
 
-def scan_blocks(spark: SparkSession, folder: str, recursive: bool = False, origin: float | None = None) -> DataFrame:
-    """All images of a folder as slab rows."""
-    return scan_ranges(plane_ranges(block_table(spark, folder, recursive)), origin)
+def complete(blocks: DataFrame, unreadable: str = "raise") -> DataFrame:
+    """The blocks, after a check that all of them can be read; with ``"skip"``, those that can."""
+    if unreadable == "skip":
+        return blocks.where(F.col("error").isNull())
+    bad = blocks.where(F.col("error").isNotNull()).select("path", "error").limit(5).collect()
+    if bad:
+        raise ValueError("unreadable images: " + "; ".join(f"{r['path']}: {r['error']}" for r in bad))
+    return blocks
+
+
+def scan_blocks(
+    spark: SparkSession, folder: str, recursive: bool = False, origin: float | None = None, unreadable: str = "raise"
+) -> DataFrame:
+    """All images of a folder as slab rows; one that can't be read is an error, unless ``unreadable`` is ``"skip"``."""
+    return scan_ranges(plane_ranges(complete(block_table(spark, folder, recursive), unreadable)), origin)
 
 
 # ---------------------------------------------------------------------- write

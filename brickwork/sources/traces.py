@@ -57,11 +57,13 @@ def run_of(path):
 def merge_traces(spark: SparkSession, logs: str, summaries: str) -> None:
     """Compact the many small logs of every run into few summary files; the logs stay.
 
+    A run that was merged before is replaced, so merging again, or after a failure, doubles nothing.
+
     Rebalancing puts a run's rows together and splits a run that is too large for one file.
     """
     rows = scan_traces(spark, logs).select(*_FILE_COLUMNS, "label", "run_id")
     compact = rows.hint("rebalance", "label", "run_id")
-    compact.write.mode("append").partitionBy("label", "run_id").csv(summaries)
+    compact.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", "run_id").csv(summaries)
 
 
 def run_catalog(files: DataFrame) -> DataFrame:

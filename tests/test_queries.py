@@ -4,6 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
+from brickwork.catalog.base import ORACLE, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,12 +14,12 @@ def con():
     return compare.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry_points.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert compare.difference(df, con, entry_points.oracle_sql()[name]) is None
+    assert compare.difference(df, con, ORACLE[name]) is None
 
 
 def test_entry(spark):

@@ -178,3 +178,29 @@ def test_lanes_per_run(spark):
     found = {(r.run, r.worker, r.thread): r.lane for r in lanes.lane_table(t, ["run"]).collect()}
     assert found[(0, "node-0.x", 7)] == "worker02::thread1" and found[(1, "node-1.x", 7)] == "worker01::thread1"
     assert lanes.gantt_lanes(lanes.lane_table(t, ["run"]), ["run"]).count() == len(found)
+
+
+def test_merging_twice_equals_merging_once(spark, tmp_path):
+    from brickwork.sources import traces
+
+    logs, out = str(tmp_path / "logs"), str(tmp_path / "out")
+    rows = [("load", 0.0, 1.0, "f", "w", 1, 2, "l", "r1"), ("dump", 1.0, 2.0, "f", "w", 1, 2, "l", "r2")]
+    names = "func string, start double, end double, filename string, worker string, thread long, process long, label string, run_id string"
+    spark.createDataFrame(rows, names).write.partitionBy("label", "run_id").csv(logs)
+    traces.merge_traces(spark, logs, out)
+    once = spark.read.csv(out).count()
+    traces.merge_traces(spark, logs, out)
+    assert once == 2 and spark.read.csv(out).count() == once
+
+
+def test_storage_fault_is_not_a_bad_file(monkeypatch):
+    import pytest
+
+    from brickwork.sources import nifti
+
+    def fail(path):
+        raise OSError("passing fault")
+
+    monkeypatch.setattr(nifti, "open_file", fail)
+    with pytest.raises(OSError):
+        nifti._read_header("x.nii", 1000)
