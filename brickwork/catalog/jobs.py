@@ -119,6 +119,23 @@ def cohort_job_sites(spark, sf_dir):
     return _cohort(spark, sf_dir)[1]
 
 
+@query(
+    "cohort_job_participants",
+    with_views(
+        "plane", c=_COHORT,
+        p="""select site, cast(subject as bigint) // 10 as subject, cast(sum(volume) as double) / count(*) as volume,
+             count(*) as images from c group by 1, 2""",
+        body="select site, sum(volume) / count(*) as mean_volume, cast(sum(images) as bigint) as images from p group by site",
+    ),
+)
+def cohort_job_participants(spark, sf_dir):
+    # Up to two images per participant, below a folder whose name looks like a subject's.
+    source = _new_folder(spark, "cohort")
+    subject = F.regexp_replace("path", r"/sub-a-(\d*?)\d/", "/sub-a-$1/")
+    nifti.write_blocks(tables.cohort_slabs(spark, sf_dir).withColumn("path", subject), source + "/sub-all/set", below="/data")
+    return jobs.cohort_job(spark, source + "/sub-all/set", cv.THRESHOLD)[1]
+
+
 @query(
     "trace_emit",
     with_views(

@@ -403,6 +403,40 @@ def site_mean_volume(spark, sf_dir):
     return cohort.site_mean_volume(cohort.participant_volume(tables.images(spark, sf_dir), counted))
 
 
+@query("subject_list_below_root", with_views("image", body="select distinct site, subject from image"))
+def subject_list_below_root(spark, sf_dir):
+    # A folder above the root looks like a subject too.
+    moved = tables.images(spark, sf_dir).withColumn("path", F.concat(F.lit("file:/data/sub-all/x"), "path"))
+    return listing.subject_list(moved, "/data/sub-all/x/cohort")
+
+
+_PARTICIPANTS = """
+    select site, cast(image_id // 2 as varchar) as subject, cast(sum(volume) as double) / count(*) as volume, count(*) as images
+    from image join vol on image_id = block_id group by 1, 2"""
+
+
+def _two_images_each(spark, sf_dir):
+    images = tables.images(spark, sf_dir).withColumn("subject", F.floor(F.col("image_id") / 2).cast("string"))
+    counted = cohort.block_volume(tables.voxels(spark, sf_dir), THRESHOLD)
+    return cohort.participant_volume(images, counted)
+
+
+@query("subject_volume", with_views("voxel", "image", vol=_VOLUMES, body=_PARTICIPANTS))
+def subject_volume(spark, sf_dir):
+    return cohort.subject_volume(_two_images_each(spark, sf_dir)).drop("unread")
+
+
+@query(
+    "site_mean_of_participants",
+    with_views(
+        "voxel", "image", vol=_VOLUMES, p=_PARTICIPANTS,
+        body="select site, sum(volume) / count(*) as mean_volume, cast(sum(images) as bigint) as images from p group by site",
+    ),
+)
+def site_mean_of_participants(spark, sf_dir):
+    return cohort.site_mean_volume(_two_images_each(spark, sf_dir))
+
+
 @query(
     "slab_volume",
     with_views("plane", body=f"select block_id, count(*) filter (where v > {THRESHOLD}) as volume from plane group by block_id"),

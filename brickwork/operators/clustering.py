@@ -93,28 +93,22 @@ def nearest_row_per_centroid(blocks: DataFrame, centroids: Sequence[float]) -> D
 
     A row-major block holds the whole (x, z) line, so the search runs inside the row.
     """
-    dim_y, dim_z = F.get("dims", F.lit(1)), F.get("dims", F.lit(2))
-    zero = F.lit(0).cast("bigint")
-    lines = (
-        blocks.withColumn("x", F.explode(F.sequence(zero, F.get("dims", F.lit(0)) - 1)))
-        .withColumn("z", F.explode(F.sequence(zero, dim_z - 1)))
-        .withColumn(
-            "_line",
-            F.transform(
-                F.sequence(zero, dim_y - 1),
-                lambda y: F.struct(
-                    y.alias("y"),
-                    F.get("v", fi.c_order(F.col("x"), y, F.col("z"), dim_y, dim_z).cast("int")).alias("v"),
-                ),
-            ),
-        )
-    )
+    dim_x, dim_y, dim_z = (F.get("dims", F.lit(k)) for k in range(3))
+
+    def along(length, cell):
+        return F.when(length > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), length - 1), cell))
+
+    def nearest(x, z, k: int, c: float):
+        def scored(y):
+            v = F.get("v", fi.c_order(x, y, z, dim_y, dim_z).cast("int"))
+            return F.struct(fi.squared_distance(v, c).alias("d"), y.alias("y"))
+
+        return F.struct(F.lit(k).cast("bigint").alias("k"), F.array_min(along(dim_y, scored))["y"].alias("y"))
 
-    def nearest(k: int, c: float):
-        scored = F.transform(
-            "_line", lambda p: F.struct(fi.squared_distance(p["v"], c).alias("d"), p["y"].alias("y"))
-        )
-        return F.struct(F.lit(k).cast("bigint").alias("k"), F.array_min(scored)["y"].alias("y"))
+    def line(x, z):
+        best = F.array(*[nearest(x, z, k, c) for k, c in enumerate(centroids)])
+        return F.struct(x.alias("x"), z.alias("z"), best.alias("_best"))
 
-    rows = F.array(*[nearest(k, c) for k, c in enumerate(centroids)])
-    return lines.select("block_id", "x", "z", F.inline(rows).alias("k", "y"))
+    # Only the answers of a block are exploded, not a copy of the block for each line.
+    found = F.flatten(along(dim_x, lambda x: along(dim_z, lambda z: line(x, z))))
+    return blocks.select("block_id", F.inline(found)).select("block_id", "x", "z", F.inline("_best"))

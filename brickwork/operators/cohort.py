@@ -24,8 +24,20 @@ def participant_volume(images: DataFrame, volumes: DataFrame) -> DataFrame:
     return joined.select("site", "subject", "image_id", "volume", error.alias("error"))
 
 
+def subject_volume(volumes: DataFrame) -> DataFrame:
+    """Volume of each participant: the mean over the participant's images, which show one brain several times.
+
+    Images with ``error`` count in ``unread`` only; a participant with no other image has no volume.
+    """
+    good = F.col("error").isNull()
+    total, images = F.sum(F.when(good, F.col("volume"))).cast("double"), F.count_if(good)
+    return volumes.groupBy("site", "subject").agg(
+        F.when(images > 0, total / images).alias("volume"), images.alias("images"), F.count_if(~good).alias("unread")
+    )
+
+
 def site_mean_volume(volumes: DataFrame) -> DataFrame:
-    """Mean volume per site over the images without error."""
-    good = volumes.where(F.col("error").isNull())
-    total, images = F.sum("volume").cast("double"), F.count(F.lit(1))
-    return good.groupBy("site").agg((total / images).alias("mean_volume"), images.alias("images"))
+    """Mean volume per site over its participants, from image volumes; each participant weighs the same."""
+    known = subject_volume(volumes).where(F.col("volume").isNotNull())
+    mean = F.sum("volume") / F.count(F.lit(1))
+    return known.groupBy("site").agg(mean.alias("mean_volume"), F.sum("images").alias("images"))

@@ -134,13 +134,13 @@ def kmeans_job(
 
 
 def cohort_job(spark: SparkSession, source: str, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Volumes per participant and means per site of a tree ``<site>/sub-<id>/…``."""
+    """Volumes per image and, over participants, means per site of a tree ``<site>/sub-<id>/…``."""
     blocks = nifti.block_table(spark, source, recursive=True)
     counted = slabs.range_volume(nifti.plane_ranges(blocks), threshold)
     unread = blocks.where(F.col("error").isNotNull()).select(
         "block_id", F.lit(None).cast("bigint").alias("volume"), "error"
     )
-    images = listing.subject_images(blocks)
+    images = listing.subject_images(blocks, listing.qualified(spark, source))
     ids = blocks.select("path", F.col("block_id").alias("image_id"))
     volumes = cohort.participant_volume(images.join(ids, "path"), counted.unionByName(unread))
     stored = materialize(volumes, "volumes")

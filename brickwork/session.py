@@ -16,9 +16,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table that is ever broadcast, in rows. Tables offered for broadcast are
-#: narrow (a few keys and numbers), so this stays in the tens of megabytes.
-BROADCAST_ROWS = 500_000
+#: Largest table that is broadcast, in bytes by the planner's estimate, which for a stored table is the size of its files.
+BROADCAST_BYTES = 10 << 20
 
 
 _SHIPPED: set[str] = set()
@@ -68,17 +67,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_count_up_to(df: DataFrame, limit: int) -> int:
-    """Count rows, but stop after ``limit + 1`` of them."""
-    return df.limit(limit + 1).count()
+def planned_bytes(df: DataFrame) -> int:
+    """Size of ``df`` by the planner's estimate; no job runs for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when a count shows it is small; else leave it to a shuffle join.
-
-    The count runs ``df``, so hand in a stored or cheap table.
-    """
-    return F.broadcast(df) if row_count_up_to(df, max_rows) <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when its planned size is small; else adaptive execution decides by the size found."""
+    return F.broadcast(df) if planned_bytes(df) <= max_bytes else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

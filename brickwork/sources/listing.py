@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,25 +37,41 @@ def block_ordinal(files: DataFrame) -> DataFrame:
     return numbered.withColumn("block_id", F.col("_no").cast("bigint") - 1).drop("_no")
 
 
-def _cohort_parts(paths: DataFrame) -> DataFrame:
-    inside = "/([^/]+)/(sub-[^/]*)/"
+_STORE = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """Full address of a path, as Spark's readers resolve it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(found).toString()
+
+
+def _cohort_parts(paths: DataFrame, root: str | None) -> DataFrame:
+    """Site and subject folder: the two below ``root``, or without one the first pair that looks so."""
+    if root is None:
+        below, inside = F.col("path"), "/([^/]+)/(sub-[^/]*)/"
+    else:
+        top = re.sub(_STORE, "", root).rstrip("/") + "/"
+        whole = F.regexp_replace("path", _STORE, "")
+        below = F.when(whole.startswith(top), F.substr(whole, F.lit(len(top) + 1)))
+        inside = "^([^/]+)/(sub-[^/]*)/"
     return paths.select(
         "path",
-        F.regexp_extract("path", inside, 1).alias("site"),
-        F.regexp_extract("path", inside, 2).alias("_folder"),
+        F.regexp_extract(below, inside, 1).alias("site"),
+        F.regexp_extract(below, inside, 2).alias("_folder"),
     ).where(F.col("_folder") != "")
 
 
-def site_list(paths: DataFrame) -> DataFrame:
-    """Sites of a cohort tree ``…/<site>/sub-<id>/…``."""
-    return _cohort_parts(paths).select("site").distinct()
+def site_list(paths: DataFrame, root: str | None = None) -> DataFrame:
+    """Sites of a cohort tree ``<root>/<site>/sub-<id>/…``."""
+    return _cohort_parts(paths, root).select("site").distinct()
 
 
-def subject_list(paths: DataFrame) -> DataFrame:
+def subject_list(paths: DataFrame, root: str | None = None) -> DataFrame:
     """Distinct ``(site, subject)`` of a cohort tree."""
-    return _cohort_parts(paths).select("site", fl.subject_of(F.col("_folder")).alias("subject")).distinct()
+    return _cohort_parts(paths, root).select("site", fl.subject_of(F.col("_folder")).alias("subject")).distinct()
 
 
-def subject_images(paths: DataFrame) -> DataFrame:
+def subject_images(paths: DataFrame, root: str | None = None) -> DataFrame:
     """Site and subject of every image path of a cohort tree."""
-    return _cohort_parts(paths).select("path", "site", fl.subject_of(F.col("_folder")).alias("subject"))
+    return _cohort_parts(paths, root).select("path", "site", fl.subject_of(F.col("_folder")).alias("subject"))

@@ -10,6 +10,7 @@ speculative tasks are harmless.
 
 from __future__ import annotations
 
+import math
 import os
 import socket
 import struct
@@ -70,11 +71,12 @@ def _values(header: bytes, code: str, count: int, at: int) -> tuple:
 
 
 def dims_of(header: bytes) -> list[int]:
-    """The three dimensions; further ones must be 1."""
+    """Three dimensions; further ones are folded into the third, as planes lie one after the other in the file."""
     rank, *sizes = _values(header, "h", 8, DIM_AT)
-    if not 1 <= rank <= 7 or any(s < 1 for s in sizes[:rank]) or any(s > 1 for s in sizes[3:rank]):
-        raise ValueError("only images of up to three dimensions are supported")
-    return [*sizes[: min(rank, 3)], 1, 1][:3]
+    if not 1 <= rank <= 7 or any(s < 1 for s in sizes[:rank]):
+        raise ValueError("an image has one to seven dimensions of at least 1")
+    sizes = [*sizes[:rank], 1, 1]
+    return [*sizes[:2], math.prod(sizes[2:])]
 
 
 def voxel_type(header: bytes) -> np.dtype:
@@ -136,7 +138,10 @@ def new_header(dims: list[int], affine: list[list[float]] | None = None) -> byte
 def output_header(header: bytes, dims: list[int]) -> bytes:
     """The given header, changed only where the output differs: uint16, unscaled, data at 352."""
     out, order = bytearray(header), byte_order(header)
-    struct.pack_into(order + "8h", out, DIM_AT, 3, *dims, 1, 1, 1, 1)
+    rank, *sizes = _values(header, "h", 8, DIM_AT)
+    # More than three dimensions stay as they are: the planes keep their order.
+    if rank <= 3 or [*sizes[:2], math.prod(sizes[2:rank])] != list(dims):
+        struct.pack_into(order + "8h", out, DIM_AT, 3, *dims, 1, 1, 1, 1)
     struct.pack_into(order + "2h", out, TYPE_AT, 512, 16)
     struct.pack_into(order + "3f", out, OFFSET_AT, DATA_OFFSET, 1, 0)
     struct.pack_into("<4s", out, MAGIC_AT, b"n+1\0")
@@ -224,15 +229,6 @@ def call(func: str, path: str, began: float, origin: float) -> dict:
     }
 
 
-def read_planes(f, header: bytes, dims: list[int], offset: int, first: int, count: int) -> np.ndarray:
-    """Planes of one open image as uint16, ``(count, x*y)``; scaled values are truncated."""
-    kind, scaling = voxel_type(header), scaling_of(header)
-    plane = dims[0] * dims[1]
-    raw = np.frombuffer(f.read_at(count * plane * kind.itemsize, offset + first * plane * kind.itemsize), kind)
-    values = raw if scaling is None else raw * float(scaling[0]) + float(scaling[1])
-    return values.astype("<u2", copy=False).reshape(count, plane)
-
-
 def read_step(origin: float | None = None) -> Step:
     """Turn ranges into slab rows, a few planes per batch. With ``origin`` reads are logged.
 

@@ -294,3 +294,19 @@ def test_merge_keeps_logs_and_rows(spark, tmp_path):
     assert after < before and listing.list_files(spark, f"{tmp_path}/logs", "*.csv", True).count() == before
     merged = traces.scan_traces(spark, f"{tmp_path}/merged")
     assert sorted((r.start_us, r.run_id) for r in merged.collect()) == sorted((r[1], r[8]) for r in rows)
+
+
+def test_more_than_three_dimensions(spark, tmp_path):
+    array = np.random.default_rng(5).integers(0, 65536, (3, 5, 4)).astype(np.uint16)
+    write_image(f"{tmp_path}/in/b.nii", array)
+    raw = bytearray(open(f"{tmp_path}/in/b.nii", "rb").read())
+    struct.pack_into("<8h", raw, 40, 4, 3, 5, 2, 2, 1, 1, 1)
+    open(f"{tmp_path}/in/b.nii", "wb").write(bytes(raw))
+    counts = jobs.histogram_job(spark, f"{tmp_path}/in", f"{tmp_path}/h").where("n > 0").agg(F.sum("n")).first()[0]
+    assert counts == array.size
+    assert [r.status for r in jobs.increment_job(spark, f"{tmp_path}/in", f"{tmp_path}/out").collect()] == ["SUCCESS"]
+    (name,) = [f for f in os.listdir(f"{tmp_path}/out") if f.endswith(".nii")]
+    written = open(f"{tmp_path}/out/{name}", "rb").read()
+    assert struct.unpack_from("<8h", written, 40) == (4, 3, 5, 2, 2, 1, 1, 1)
+    expected = (array.astype(np.int64) + 1).astype("<u2").ravel(order="F")
+    assert np.array_equal(np.frombuffer(written, "<u2", offset=352), expected)

@@ -197,3 +197,11 @@ def test_site_mean_leaves_out_errors(spark):
     joined = cohort.participant_volume(images, volumes)
     assert {r.subject: r.error for r in joined.collect()} == {"1": None, "2": "broken", "3": None, "4": "no voxels"}
     assert [tuple(r) for r in cohort.site_mean_volume(joined).collect()] == [("a", 15.0, 2)]
+
+
+def test_participants_weigh_the_same(spark):
+    rows = [("s", "a", 0, 10, None), ("s", "a", 1, 30, None), ("s", "b", 2, 100, None), ("s", "c", 3, None, "broken")]
+    volumes = spark.createDataFrame(rows, "site string, subject string, image_id bigint, volume bigint, error string")
+    found = {r.subject: (r.volume, r.images, r.unread) for r in cohort.subject_volume(volumes).collect()}
+    assert found == {"a": (20.0, 2, 0), "b": (100.0, 1, 0), "c": (None, 0, 1)}
+    assert [tuple(r) for r in cohort.site_mean_volume(volumes).collect()] == [("s", 60.0, 3)]
