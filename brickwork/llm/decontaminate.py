@@ -90,7 +90,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     small = test_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     mine = _seeded(own, ["_id", "_print"], words(F.col("_text")), masks)
     hits = mine.join(F.broadcast(test_seeds) if small else test_seeds, "seed")
-    hits = hits.select("_id", "_print", "_item", (_at(masks) - F.col("q")).alias("shift")).distinct()
+    # Stored: both uses below would make all seeds of the texts again.
+    hits = materialize(hits.select("_id", "_print", "_item", (_at(masks) - F.col("q")).alias("shift")).distinct(), "hits")
     # Few documents are hit: their texts and items are fetched only now.
     texts = own.join(hits.select("_id", "_print").distinct(), ["_id", "_print"], "left_semi").dropDuplicates(["_id", "_print"])
     laid = hits.join(tests, "_item").join(texts.select("_id", "_print", words(F.col("_text")).alias("_own")), ["_id", "_print"])
