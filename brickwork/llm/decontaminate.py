@@ -3,10 +3,12 @@
 A seed is a window of words of which a fixed mask ignores some, hashed. Test items give all their seeds, training
 texts theirs, and both are joined. Around each hit, text and item are laid on top of each other and the overlap is
 verified: a window of ``VERIFIED`` words (or the whole item, if shorter) in which at least ``MIN_SHARE`` of the words agree.
-So passages with single words replaced are found as well.
+So passages with single words replaced are found as well. The masks of an item go by its length and leave no gap: however
+the words that may differ are placed in a window, some seed of it is untouched (a test tries all placements). Items of up to
+4 words must be held whole.
 
-Words are runs of letters and digits, in lower case. Items with fewer words than a mask, among them null and empty
-ones, have no seeds and contaminate nothing. Null and empty texts are clean. Rows of one doc_id are told apart by
+Words are runs of letters and digits, in lower case. Items without words, among them null and empty ones, have no
+seeds and contaminate nothing. Null and empty texts are clean. Rows of one doc_id are told apart by
 their text; repeated rows get equal results. An empty table on either side gives clean documents.
 """
 
@@ -18,10 +20,19 @@ from pyspark.sql import functions as F
 from brickwork.llm.native import let, positions
 from brickwork.session import materialize
 
-#: 1: the word counts; 0: it is ignored.
-MASKS = ("1110110111", "1101011101")
 VERIFIED = 20
 MIN_SHARE = 0.8
+#: For items of at least so many words, up to the next entry: their masks. 1: the word counts; 0: it is ignored. A mask begins
+#: and ends with 1, so a seed never reaches over the end of a text whose last words agree.
+MASKS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
+    5: ("1111", "11011", "11101", "10111"),  # one word may differ
+    10: ("111011", "11010011", "111001001"),  # two
+    15: ("111011", "1010001011"),  # three, from 20 words on four in a window
+}
 #: Seeds of the test side are broadcast up to this many (24 bytes each); beyond it the join shuffles.
 BROADCAST_SEEDS = 500_000
 
@@ -35,15 +46,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def seeds(found: Column, masks=MASKS) -> Column:
+def seeds(found: Column, masks: tuple[str, ...]) -> Column:
     """All seeds of a text: first those of the first mask by position, then those of the next."""
 
-    def masked(h: Column, n: int, mask: str) -> Column:
+    def masked(h: Column, mask: str) -> Column:
         shown = [k for k, c in enumerate(mask) if c == "1"]
-        return F.transform(positions(F.size(h) - (len(mask) - 1)), lambda i: F.xxhash64(F.lit(n), *[F.get(h, i + k) for k in shown]))
+        return F.transform(positions(F.size(h) - (len(mask) - 1)), lambda i: F.xxhash64(F.lit(int(mask, 2)), *[F.get(h, i + k) for k in shown]))
 
     def of(h: Column) -> Column:
-        return F.concat(*[masked(h, n, mask) for n, mask in enumerate(masks)])
+        return F.concat(*[masked(h, mask) for mask in masks])
 
     return let(F.transform(found, lambda w: F.xxhash64(w)), of)
 
@@ -80,22 +91,36 @@ def _share(text: Column, item: Column, shift: Column) -> Column:
     return let(same, of)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks=MASKS) -> DataFrame:
+def _item_seeds(tests: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """``_item``, position ``q`` and ``seed`` of all seeds of the items, each by the masks of its length; and the masks in use."""
+    size = F.size("_words")
+    least = F.greatest(*[F.when(size >= n, n).otherwise(0) for n in MASKS])
+    lengths = sorted(r[0] for r in tests.select(least).distinct().collect() if r[0])
+    out = tests.select("_item", F.lit(0).alias("q"), F.lit(0).cast("long").alias("seed")).limit(0)
+    for n in lengths:
+        found = _seeded(tests.where(least == n), ["_item"], F.col("_words"), MASKS[n])
+        out = out.unionByName(found.select("_item", _at(MASKS[n]).alias("q"), "seed"))
+    return out, tuple(dict.fromkeys(m for n in lengths or [1] for m in MASKS[n]))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Verified overlaps, best first by document: ``_id``, ``_print`` (key and fingerprint of the text), item, share."""
     value = F.col(text).cast("string")
     own = docs.select(_key(key).alias("_id"), F.xxhash64(value).alias("_print"), value.alias("_text"))
     tests = materialize(benchmark.select(F.col(item).alias("_item"), words(F.col(item_text).cast("string")).alias("_words")).distinct(), "items")
-    test_seeds = _seeded(tests, ["_item"], F.col("_words"), masks)
-    test_seeds = materialize(test_seeds.select("_item", _at(masks).alias("q"), "seed"), "seeds")
+    test_seeds, masks = _item_seeds(tests)
+    test_seeds = materialize(test_seeds, "seeds")
     small = test_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     mine = _seeded(own, ["_id", "_print"], words(F.col("_text")), masks)
     hits = mine.join(F.broadcast(test_seeds) if small else test_seeds, "seed")
     # Stored: both uses below would make all seeds of the texts again.
-    hits = materialize(hits.select("_id", "_print", "_item", (_at(masks) - F.col("q")).alias("shift")).distinct(), "hits")
+    hits = hits.groupBy("_id", "_print", "_item").agg(F.collect_set(_at(masks) - F.col("q")).alias("shifts"))
+    hits = materialize(hits, "hits")
     # Few documents are hit: their texts and items are fetched only now.
     texts = own.join(hits.select("_id", "_print").distinct(), ["_id", "_print"], "left_semi").dropDuplicates(["_id", "_print"])
     laid = hits.join(tests, "_item").join(texts.select("_id", "_print", words(F.col("_text")).alias("_own")), ["_id", "_print"])
-    laid = laid.select("_id", "_print", "_item", _share(F.col("_own"), F.col("_words"), F.col("shift")).alias("share"))
+    share = F.array_max(F.transform("shifts", lambda s: _share(F.col("_own"), F.col("_words"), s)))
+    laid = laid.select("_id", "_print", "_item", share.alias("share"))
     return laid.where(F.col("share") >= MIN_SHARE)
 
 

@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -220,6 +221,46 @@ def test_decontamination(spark, odd):
     assert decontaminate.clean(docs, tests.limit(0)).columns == docs.columns
 
 
+def test_decontamination_masks():
+    every = set(decontaminate.MASKS)
+    for size in range(1, decontaminate.VERIFIED + 1):
+        masks = decontaminate.MASKS[max(n for n in every if n <= size)]
+        placed = [sum(1 << (k + j) for j, c in enumerate(m) if c == "1") for m in masks for k in range(size - len(m) + 1)]
+        differ = max(k for k in range(size) if (size - k) / size >= decontaminate.MIN_SHARE)
+        for gone in itertools.combinations(range(size), differ):
+            assert any(not p & sum(1 << g for g in gone) for p in placed), (size, gone)
+
+
+def test_decontamination_against_sliding(spark):
+    rng = random.Random(12)
+    items = [[f"i{n}x{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 7, 9, 10, 12, 14, 15, 17, 19, 20, 23, 30, 45, 59)]
+    texts = []
+    for item in items:
+        n = len(item)
+        for k in range(8):
+            copy = list(item)
+            gone = range(k, n, 5) if k < 5 else rng.sample(range(n), min(n, rng.choice([n // 5, n // 5 + 1])))
+            for g in gone:
+                copy[g] = "other"
+            before, after = rng.choice([[], ["a", "b", "c"]]), rng.choice([[], ["d"]])
+            texts.append(before + copy + after if k != 6 else copy[n // 6 :])
+    found = by_id(decontaminate.judge(table(spark, [" ".join(t) for t in texts]), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")))
+    hit = 0
+    for i, text in enumerate(texts):
+        best = []
+        for number, item in enumerate(items):
+            size = min(len(item), decontaminate.VERIFIED)
+            for shift in range(-len(item) + 1, len(text)):
+                same = [0 <= j + shift < len(text) and text[j + shift] == w for j, w in enumerate(item)]
+                share = max(sum(same[a : a + size]) for a in range(len(item) - size + 1)) / size
+                if share >= decontaminate.MIN_SHARE:
+                    best.append((-share, number))
+        want = (True, len({b[1] for b in best}), min(best)[1], -min(best)[0]) if best else (False, 0, None, 0.0)
+        assert (found[i]["contaminated"], found[i]["n_items"], found[i]["item_id"], found[i]["share"]) == want, i
+        hit += bool(best)
+    assert 0 < hit < len(texts)
+
+
 def test_quality_odd_rows(spark, odd):
     found = by_id(quality.judge(table(spark, odd)))
     assert found[0]["n_words"] == 0 and found[0]["base_failed"] and not found[0]["kept"]
