@@ -6,9 +6,10 @@ similarity of ``THRESHOLD`` or more with the set of an earlier line, by document
 * Tokens are ordered by rarity: those that are frequent (counted over all lines) come last, by frequency, the others by hash.
 * Prefix filter: similar sets share one of their first ``n - ceil(t n) + 1`` tokens. Tokens that are in one prefix only
   are dropped before any line travels.
-* Lines with one set form a class; its first line stands for it, the others are removed.
+* Lines with one set form a class; its first line stands for it, the others are removed. Sets are told apart by 128 bits;
+  lines of one token by that token and a print of its words.
 * Classes that share a prefix token are compared in blocks; tokens with the same classes are one group. In a block, length
-  and positional filters go ahead of the verification on the full sets.
+  and positional filters go ahead of the verification on the full sets of 64-bit tokens; where one token decides, on the words.
 
 Null and empty texts and lines of white space are never removed. Ids are whole numbers, a null id comes last. Of repeated
 rows, which nothing tells apart, each counts as the same lines: they keep or lose them alike.
@@ -16,6 +17,7 @@ rows, which nothing tells apart, each counts as the same lines: they keep or los
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,9 @@ GRAM, THRESHOLD = 5, 0.8
 #: Length of the list of frequent tokens that fixes their order, and how often a slice must hold a token to count it.
 FREQUENT, OFTEN = 65_536, 8
 _LAST = np.iinfo(np.int64).max
+#: A line's number within a slice is packed with the upper bits of its tokens for sorting, if it fits in the others.
 _BITS = np.uint64(42)
-_MASK = np.uint64((1 << 42) - 1)
+_LINES = 1 << 22
 #: Rows, and pairs, worked on at a time.
 _ROWS, _PAIRS = 4096, 20_000
 
@@ -49,12 +52,34 @@ def line_offsets(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def token_sets(buf: np.ndarray, at: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens (42 bits of hash) of each line, ordered by line, then token; and their line."""
+    """Distinct tokens (64 bits of hash) of each line, ordered by line, then token; and their line."""
     s, line = grams(buf, at, gram)
-    key = np.sort(line.astype(np.uint64) << _BITS | s >> np.uint64(22))
-    if len(key):
-        key = key[np.r_[True, key[1:] != key[:-1]]]
-    return key & _MASK, (key >> _BITS).astype(np.int64)
+    if len(s) == 0:
+        return s, line
+    if len(at) > _LINES:
+        by = np.lexsort((s, line))
+    else:
+        key = line.astype(np.uint64) << _BITS | s >> np.uint64(22)
+        by = np.argsort(key, kind="stable")
+        key, low = key[by], s[by]
+        # Different tokens that agree in their upper bits are put in order as well.
+        same = np.flatnonzero((key[1:] == key[:-1]) & (low[1:] != low[:-1]))
+        if len(same):
+            tied = np.flatnonzero(np.isin(key, key[same]))
+            by[tied] = by[tied][np.lexsort((low[tied], key[tied]))]
+    s, line = s[by], line[by]
+    new = np.r_[True, (s[1:] != s[:-1]) | (line[1:] != line[:-1])]
+    return s[new], line[new]
+
+
+def first_run(line: bytes, gram: int) -> list[bytes]:
+    """The words of the first run: of a line with one token, all that its set holds."""
+    return line.split(None, gram)[:gram]
+
+
+def word_print(line: bytes, gram: int) -> int:
+    """64 bits of the first run's words, whatever separates them; independent of the tokens."""
+    return int.from_bytes(hashlib.blake2b(b" ".join(first_run(line, gram)), digest_size=8).digest(), "little", signed=True)
 
 
 def by_rarity(token: np.ndarray, line: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +115,7 @@ def token_order(docs: DataFrame, gram: int) -> Order:
 
     counts = docs.select("text").mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "v").limit(FREQUENT).collect()
-    v, n = np.array([r["v"] for r in top], np.uint64), np.array([r["n"] for r in top], np.int64)
+    v, n = np.array([r["v"] for r in top], np.int64).astype(np.uint64), np.array([r["n"] for r in top], np.int64)
     place = np.empty(len(v), np.int64)
     place[np.lexsort((v, n))] = np.arange(len(v))
     by_value = np.argsort(v)
@@ -104,7 +129,7 @@ def candidates(docs: DataFrame, gram: int, threshold: float, order: Order) -> Da
         at, text, _ = line_offsets(buf, starts)
         token, line, place, size = by_rarity(*token_sets(buf, at, gram), order)
         first = prefix(place, size, threshold)
-        return token[first] << np.uint64(22), text[line[first]]
+        return token[first], text[line[first]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -113,7 +138,7 @@ def candidates(docs: DataFrame, gram: int, threshold: float, order: Order) -> Da
                 at, text, number = line_offsets(buf, starts)
                 token, line, place, size = by_rarity(*token_sets(buf, at, gram), order)
                 first = np.flatnonzero(prefix(place, size, threshold))
-                live = first[A.surviving(token << np.uint64(22), first, text[line[first]], batch.column("v"))]
+                live = first[A.surviving(token, first, text[line[first]], batch.column("v"))]
                 if len(live) == 0:
                     continue
                 begin, border = A.split_at(line[live])
@@ -124,10 +149,13 @@ def candidates(docs: DataFrame, gram: int, threshold: float, order: Order) -> Da
                 rid = batch.column("rid").to_numpy(zero_copy_only=False)[text[own]]
                 c = K.mix(rid.astype(np.uint64) ^ K.mix(number[own].astype(np.uint64))).astype(np.int64)
                 raw = buf.tobytes()
+                held = [raw[at[k] : at[k + 1]] for k in own]
+                q = total(K.mix(token ^ np.uint64(0x5BD1E995)))
+                for k in np.flatnonzero(size[every][here] == 1):  # both sums would hold no more than the one token
+                    q[k] = word_print(held[k], gram)
                 columns = [
                     pa.array(rid), pa.array(batch.column("id").to_numpy(zero_copy_only=False)[text[own]]), pa.array(number[own], pa.int32()), pa.array(c),
-                    pa.array(total(K.mix(token))), pa.array(total(K.mix(token ^ np.uint64(0x5BD1E995)))),
-                    pa.array([raw[at[k] : at[k + 1]].decode() for k in own], pa.string()),
+                    pa.array(total(K.mix(token))), pa.array(q), pa.array([h.decode() for h in held], pa.string()),
                     pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(token[live].astype(np.int64))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["rid", "id", "line", "c", "p", "q", "words", "tokens"])
@@ -170,13 +198,17 @@ def _similar(rows: pa.Table, group: np.ndarray, gram: int, threshold: float, ord
     good = 1 + np.minimum(n[x] - i - 1, n[y] - j - 1) >= need  # positional filter
     x, y, need = x[good], y[good], need[good]
     out = []
+    number, raw = np.unique(token, return_inverse=True)[1].astype(np.uint64), buf.tobytes()
     for k in range(0, len(x), _PAIRS):
         a, b = x[k : k + _PAIRS], y[k : k + _PAIRS]
         pair = np.r_[np.repeat(np.arange(len(a)), n[a]), np.repeat(np.arange(len(a)), n[b])]
-        both = token[np.r_[K.ranges(start[a], n[a]), K.ranges(start[b], n[b])]]
+        both = number[np.r_[K.ranges(start[a], n[a]), K.ranges(start[b], n[b])]]
         key = np.sort(pair.astype(np.uint64) << _BITS | both)
         same = np.bincount((key[1:][key[1:] == key[:-1]] >> _BITS).astype(np.int64), minlength=len(a))
-        out.append(b[same >= need[k : k + _PAIRS]])
+        good = same >= need[k : k + _PAIRS]
+        for m in np.flatnonzero(good & (n[a] == 1) & (n[b] == 1)):
+            good[m] = first_run(raw[at[a[m]] : at[a[m] + 1]], gram) == first_run(raw[at[b[m]] : at[b[m] + 1]], gram)
+        out.append(b[good])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 

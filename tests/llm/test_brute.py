@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -105,6 +107,28 @@ def test_lines(spark, odd):
     assert all(kept[i]["text"] == "\n".join(s for k, s in enumerate(t.split("\n")) if k not in want[i]) for i, t in enumerate(odd) if t is not None)
 
 
+def test_lines_told_apart(spark):
+    """Short lines whose tokens agree in 42 bits, and lines of one run that differ in length."""
+    texts = ["3734858", "1139579", "5689378\n7949373\n 5689378", "a a a a a", "a a a a a a a", "a a a a"]
+    found = by_id(lines.decisions(table(spark, texts)))
+    assert [found[i]["removed"] for i in range(len(texts))] == [[], [], [2], [], [0], []]
+
+
+def test_line_tokens(monkeypatch):
+    tail = b"a b c d e f"
+    buf = np.frombuffer(b"\n" * (1 << 22) + tail, np.uint8)
+    token, line = lines.token_sets(buf, lines.line_offsets(buf, np.array([0, len(buf)]))[0], 5)
+    assert len(token) == 2 and set(line) == {1 << 22}
+    same, few = np.uint64(1 << 63), np.array([5, 3, 5, 4, 5], np.uint64)  # upper bits alike
+    monkeypatch.setattr(lines, "grams", lambda *_: (same | few, np.array([0, 0, 0, 1, 1])))
+    token, line = lines.token_sets(buf, np.arange(3), 5)
+    assert (token ^ same).tolist() == [3, 5, 4, 5] and line.tolist() == [0, 0, 1, 1]
+    # One token decides: then the words do, even if all 64 bits agree.
+    monkeypatch.setattr(lines, "grams", lambda buf, at, gram: (np.full(len(at) - 1, same), np.arange(len(at) - 1)))
+    rows = pa.table({"c": [1, 2, 3], "own": [0, 0, 0], "i": [0, 0, 0], "j": [0, 0, 0], "words": ["a b", "c d", " a  b"]})
+    assert lines._similar(rows, np.zeros(3, np.int64), 5, 0.8, (np.zeros(0, np.uint64), np.zeros(0, np.int64))).tolist() == [2]
+
+
 def test_jaccard(spark):
     rng = random.Random(8)
     base = prose(rng, 120).split(" ")
