@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from brickwork.llm import kernels as K
 
 _S16 = np.uint64(16)
-#: Texts per slice, so that a text's number fits beside 48 bits of a hash.
-MOST_TEXTS = 1 << 16
+#: Texts per slice, so that a text's number fits beside 48 bits of a hash in a signed number.
+MOST_TEXTS = 1 << 15
 
 Found = tuple[np.ndarray, np.ndarray]
 

@@ -71,6 +71,16 @@ def test_substrings_query(spark):
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in found.items()} == want
 
 
+def test_many_short_texts_in_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
+    try:
+        texts = ["one two three four five"] + [""] * 40_000 + ["one two three four five", "six"]
+        found = lines.decisions(table(spark, texts).coalesce(1)).where("n_removed > 0").collect()
+        assert [(r["doc_id"], r["removed"]) for r in found] == [(40_001, [0])]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_windows(spark, odd):
     split = [[w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for t in odd]
     count = Counter(tuple(w[p : p + 35]) for w in split for p in range(len(w) - 34))
