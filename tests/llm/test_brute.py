@@ -323,6 +323,22 @@ def test_redirects(spark):
     assert without[2] == without[3] == without[6] == "block" and without[12] == "allow"
 
 
+def test_redirect_targets(spark):
+    tags = lambda *targets: "".join(f'<link rel="canonical" href="{t}">' for t in targets)
+    blocked = "http://a.example.com/de/1"
+    pages = spark.createDataFrame(
+        [
+            (1, blocked, None), (2, "http://q.net/2", tags("//a.example.com/de/1")), (3, "http://q.net/3", tags("/none", blocked)), (4, "http://q.net/x/y/4", tags("../../2")),
+            (5, "http://q.net/5?k=1", tags("2")), (6, "http://q.net/6", tags("./5?k=1&amp;ref=z")), (7, "http://q.net/7", tags("mailto:a@b.c") + '<meta http-equiv="refresh" content="0"><meta http-equiv="refresh" content="0;url=5?k=1">'),
+            (8, "http://r.net/8?a=1&b=2", tags(blocked)), (9, "http://r.net/9", tags("http://r.net/8?a=1&amp;b=2")), (10, "http://r.net", tags("x/../../8?a=1&#38;b=2")), (11, "http://r.net/11", tags("mailto:a@b.c", "data:,x")),
+            (12, "http://r.net/12?w=1", None), (13, "http://r.net/13", tags("12")), (14, "no scheme", tags("2")),
+        ],
+        "page_id long, url string, html string",
+    )
+    found = {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()}
+    assert {i for i, v in found.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 8, 9, 10}
+
+
 def test_components(spark):
     from brickwork.llm.components import components
 
