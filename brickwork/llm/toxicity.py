@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from brickwork.llm import kernels as K
 
 BUCKETS = 1 << 20
-#: Bound of the labelled sample that a model is fitted on: the rows whose id has the least hash.
+#: Bound of the labelled sample that a model is fitted on: the rows whose id, then text, has the least hash.
 MAX_TRAINING_ROWS = 16_384
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
@@ -89,16 +89,34 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"at": [kept.astype(np.int32).tobytes()], "weight": [w.tobytes()], "bias": [bias]})
 
 
+def training_rows(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame | None:
+    """``order``, ``label`` and ``features`` of at most ``max_rows`` labelled rows, repeated ones counted each; None if there are none."""
+    value = F.col(text).cast("string")
+    place = ["order", "print", "label"]
+    chosen = labelled.where(F.col(label).isNotNull()).select(F.xxhash64(F.col(key)).alias("order"), F.xxhash64(value).alias("print"), F.col(label).cast("double").alias("label"), value.alias("text"))
+    left, last = max_rows, None
+    for row in chosen.groupBy(*place).agg(F.count("*").alias("copies")).orderBy(*place).limit(max_rows).collect():
+        last, copies, left = row, min(left, row["copies"]), left - row["copies"]
+        if left <= 0:
+            break
+    if last is None:
+        return None
+    made = lambda rows: rows.mapInArrow(_feature_rows, "order long, label double, features binary")
+    own, bound = F.struct(*place), F.struct(*[F.lit(last[c]).alias(c) for c in place])
+    if left >= 0:
+        return made(chosen.where(own <= bound))
+    # Not all copies of the last one fit.
+    return made(chosen.where(own < bound)).unionByName(made(chosen.where(own == bound)).limit(copies))
+
+
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on at most ``max_rows`` labelled rows, those whose key has the least hash.
+    """Fit on at most ``max_rows`` labelled rows, those whose key, then text, has the least hash.
 
     Features are made where the rows lie; one task then runs the updates, over at most ``max_rows`` short arrays.
     """
-    chosen = labelled.where(F.col(label).isNotNull()).select(F.xxhash64(F.col(key)).alias("order"), F.col(label).cast("double").alias("label"), F.col(text).cast("string").alias("text"))
-    bound = chosen.groupBy("order").count().orderBy("order").limit(max_rows).agg(F.max("order")).first()[0]
-    if bound is None:
+    rows = training_rows(labelled, key, text, label, max_rows)
+    if rows is None:
         return np.zeros(0, np.int64), np.zeros(0), -35.0
-    rows = chosen.where(F.col("order") <= bound).mapInArrow(_feature_rows, "order long, label double, features binary")
     model = rows.groupBy().applyInPandas(_train, "at binary, weight binary, bias double").first()
     return np.frombuffer(model["at"], np.int32).astype(np.int64), np.frombuffer(model["weight"], np.float64), model["bias"]
 

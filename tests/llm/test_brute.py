@@ -242,6 +242,12 @@ def test_toxicity_odd_rows(spark, odd):
     assert again[4]["score"] == again[5]["score"] and toxicity.keep(docs, none).count() == len(odd)
 
 
+def test_toxicity_training_rows(spark):
+    rows = [(1, "hot text", 1)] * 50 + [(1, f"other {k}", 0) for k in range(20)] + [(k, f"text {k}", 0) for k in range(2, 12)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert [toxicity.training_rows(labelled, max_rows=n).count() for n in (1, 7, 30, 79, 80, 100)] == [1, 7, 30, 79, 80, 80]
+
+
 def test_decontamination(spark, odd):
     rng = random.Random(9)
     item = prose(rng, 30)
