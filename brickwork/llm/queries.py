@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickwork.llm import bpe, decontaminate, jaccard, lines, pii, quality, sharding, substrings, toxicity, urls, windows
+from brickwork.llm import alignment, bpe, decontaminate, jaccard, lines, pii, quality, sharding, substrings, toxicity, urls, windows
 from brickwork.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,6 +182,12 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op11_identity_alignment(spark, sf_dir):
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return alignment.digests(_table(spark, sf_dir, "documents")).select(*columns)
+
+
 @query()
 def op12_hypergeometric_shards(spark, sf_dir):
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
