@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickwork.llm import alignment, bpe, decontaminate, jaccard, lines, pii, quality, sharding, substrings, toxicity, urls, windows
+from brickwork.llm import alignment, bpe, decontaminate, jaccard, lines, pii, quality, sharding, substrings, toxicity, urls, variants, windows
 from brickwork.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,8 @@ def op12_hypergeometric_shards(spark, sf_dir):
     size = (F.octet_length(data) + 16).cast("long").alias("size")
     rows = _table(spark, sf_dir, "documents").select("doc_id", size, F.crc32(data).alias("text_crc32"))
     return sharding.shuffle(rows, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op13_spelling_variants(spark, sf_dir):
+    return variants.group(variants.vocabulary(_table(spark, sf_dir, "documents")))
