@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brickwork.catalog.base import query, with_views
 from brickwork.operators import clustering, cohort, slabs, voxels
-from brickwork.sources import listing, nifti, tables, traces
+from brickwork.sources import images, listing, nifti, tables, traces
 from brickwork.session import scratch_path
 
 THRESHOLD = 32767
@@ -493,6 +493,19 @@ def block_scan(spark, sf_dir):
     return slabs.flatten_slabs(nifti.scan_blocks(spark, _files(spark, sf_dir)))
 
 
+@query("block_scan_filtered", with_views("plane", body=_PLANE_VOXELS.format("v") + " where name like '%1.nii' and z between 1 and 3"))
+def block_scan_filtered(spark, sf_dir):
+    planes = images.read(spark, _files(spark, sf_dir))
+    return slabs.flatten_slabs(planes.where(F.col("path").endswith("1.nii") & F.col("slab").between(1, 3)))
+
+
+@query("block_write_source", with_views("plane", body=_PLANE_VOXELS.format("v")))
+def block_write_source(spark, sf_dir):
+    folder = scratch_path(spark, "source").removeprefix("file:")
+    images.write(tables.slabs(spark, sf_dir), folder, shared=True)
+    return slabs.flatten_slabs(images.read(spark, folder))
+
+
 @query("write_blocks", with_views("plane", body="select distinct name, 'SUCCESS' as status from plane"))
 def write_blocks(spark, sf_dir):
     folder = scratch_path(spark, "out").removeprefix("file:")

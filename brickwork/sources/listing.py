@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brickwork.functions import labels as fl
 from brickwork.operators.ordinals import with_row_number
+from brickwork.sources.stores import qualified  # noqa: F401  (part of this module's interface)
 
 SUFFIX = ".nii"
 
@@ -40,12 +41,6 @@ def block_ordinal(files: DataFrame) -> DataFrame:
 _STORE = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """Full address of a path, as Spark's readers resolve it."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(found).toString()
-
-
 def _cohort_parts(paths: DataFrame, root: str | None) -> DataFrame:
     """Site and subject folder: the two below ``root``, or without one the first pair that looks so."""
     if root is None:

@@ -3,9 +3,13 @@
 A scan is planned on file metadata. Headers are read in parallel, every file is cut into
 ranges of whole planes, and the small range rows are spread over the cluster; each task then
 reads only its own byte ranges. One file may thus be far larger than a task, and no image data
-is shuffled. Writing is the mirror image: each plane goes to its own byte range of the output
-file. Ranges do not overlap and a repeated write stores the same bytes, so retried and
-speculative tasks are harmless.
+is shuffled.
+
+Writing is the mirror image, in two steps. Tasks first write to a staging folder inside the target. On mounted
+folders each plane goes to its own byte range of the staged file; ranges do not overlap and a repeated write stores the
+same bytes, so retried and speculative tasks are harmless. Other stores take parts: runs of planes, each a file of its
+own. When all tasks are through, the images are published, in parallel: a staged file, or an image of one part, is
+moved to its place, several parts are put together. A job that fails publishes nothing and leaves nothing.
 """
 
 from __future__ import annotations
@@ -16,11 +20,12 @@ import socket
 import struct
 import threading
 import time
+import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +34,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from brickwork import schemas
 from brickwork.functions.batches import Step, chain, pack, unpack
 from brickwork.session import materialize, spread
+from brickwork.sources import stores
 from brickwork.sources.listing import block_ordinal, list_blocks
+from brickwork.sources.stores import local_path, mounted
 
 HEADER_BYTES = 348
 DATA_OFFSET = 352
 SPLIT_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
+#: Planes that one task writes of an image, where a store takes parts; larger images come from several tasks.
+PART_BYTES = 1 << 30
 
 # Voxel type codes of the public NIfTI-1 layout.
 VOXEL_TYPES = {
@@ -135,37 +144,46 @@ def new_header(dims: list[int], affine: list[list[float]] | None = None) -> byte
     return output_header(bytes(out), dims)
 
 
+def data_offset(header: bytes) -> int:
+    """Where the planes of a rewritten image begin: behind the header's extensions, if it says that it has any."""
+    if len(header) < DATA_OFFSET or header[HEADER_BYTES] == 0:
+        return DATA_OFFSET
+    return max(DATA_OFFSET, int(_values(header, "f", 1, OFFSET_AT)[0]))
+
+
 def output_header(header: bytes, dims: list[int]) -> bytes:
-    """The given header, changed only where the output differs: uint16, unscaled, data at 352."""
-    out, order = bytearray(header), byte_order(header)
+    """The given header, changed only where the output differs: uint16, unscaled, data behind the extensions."""
+    out, order = bytearray(header[:HEADER_BYTES]), byte_order(header)
     rank, *sizes = _values(header, "h", 8, DIM_AT)
     # More than three dimensions stay as they are: the planes keep their order.
     if rank <= 3 or [*sizes[:2], math.prod(sizes[2:rank])] != list(dims):
         struct.pack_into(order + "8h", out, DIM_AT, 3, *dims, 1, 1, 1, 1)
     struct.pack_into(order + "2h", out, TYPE_AT, 512, 16)
-    struct.pack_into(order + "3f", out, OFFSET_AT, DATA_OFFSET, 1, 0)
+    struct.pack_into(order + "3f", out, OFFSET_AT, data_offset(header), 1, 0)
     struct.pack_into("<4s", out, MAGIC_AT, b"n+1\0")
     return bytes(out)
 
 
+def file_head(header: bytes, dims: list[int]) -> bytes:
+    """All bytes ahead of the planes: the header and, where ``header`` brings them, its extensions as they were."""
+    head = output_header(header, dims) + header[HEADER_BYTES : data_offset(header)]
+    return head + bytes(data_offset(header) - len(head))
+
+
 # ----------------------------------------------------------------------- scan
 
 
 def open_file(path: str):
     """Open a file of any file system for reading at positions."""
-    if path.startswith("file:"):
-        path = "/" + path[len("file:") :].lstrip("/")
-    if path.startswith("/"):
-        return pafs.LocalFileSystem().open_input_file(path)
-    system, inner = pafs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+    return stores.open_input(path)
 
 
-def _read_header(path: str, length: int) -> dict:
+def _read_header(path: str, length: int, f=None) -> dict:
+    """Row of :data:`schemas.BLOCK` for one file. Of extensions, only the flag that there are any."""
     row = {"path": path, "length": length, "dims": None, "offset": None, "header": None, "affine": None, "error": None}
     # A fault of the storage is no property of the file: it fails the task, which Spark then repeats.
-    with open_file(path) as f:
-        header = f.read_at(HEADER_BYTES, 0)
+    with ExitStack() as opened:
+        header = (f or opened.enter_context(open_file(path))).read_at(min(length, DATA_OFFSET), 0)
     try:
         if len(header) < HEADER_BYTES:
             raise ValueError("the file is shorter than a header")
@@ -181,9 +199,10 @@ def _read_header(path: str, length: int) -> dict:
 
 def read_headers(files: DataFrame) -> DataFrame:
     """One row per file with dimensions, data offset, header and matrix, or with ``error``."""
-    arrow = to_arrow_schema(schemas.BLOCK)
+    arrow, known = to_arrow_schema(schemas.BLOCK), stores.registered()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores.use(known)
         for batch in batches:
             rows = [_read_header(r["path"], r["length"]) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -211,7 +230,7 @@ def plane_ranges(blocks: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
     )
     planned = good.agg(F.sum(x * y * z * 2)).first()[0] or 0
     cores = blocks.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(max(cores, planned // split_bytes), 100_000))
+    tasks = max(1, cores, planned // split_bytes)
     return ranges.withColumn("count", F.least("_step", z - F.col("first"))).drop("_step").repartition(tasks)
 
 
@@ -235,30 +254,41 @@ def read_step(origin: float | None = None) -> Step:
     A range may carry ``donors``, a list of ``(path, dims, offset, header, it)``: their planes are
     added, wrapping at 2^16, in the order of ``it``.
     """
-    arrow = to_arrow_schema(schemas.SLAB)
+    arrow, known = to_arrow_schema(schemas.SLAB), stores.registered()
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores.use(known)
         for batch in batches:
             for r in batch.to_pylist():
-                step = max(1, BATCH_BYTES // (2 * r["dims"][0] * r["dims"][1]))
-                end = r["first"] + r["count"]
-                for first in range(r["first"], end, step):
-                    yield _slab_batch(r, first, min(step, end - first), origin, arrow)
+                yield from range_batches(r, origin, arrow)
 
     return read
 
 
-def _slab_batch(r: dict, first: int, count: int, origin: float | None, arrow: pa.Schema) -> pa.RecordBatch:
+def range_batches(r: dict, origin: float | None, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Slab rows of one range, a few planes per batch; every file is opened once."""
+    step = max(1, BATCH_BYTES // (2 * r["dims"][0] * r["dims"][1]))
+    end = r["first"] + r["count"]
+    with ExitStack() as opened:
+        own = opened.enter_context(open_file(r["path"]))
+        donors = [(d, opened.enter_context(open_file(d["path"]))) for d in sorted(r.get("donors") or (), key=lambda d: d["it"])]
+        for first in range(r["first"], end, step):
+            yield slab_batch(r, own, donors, first, min(step, end - first), origin, arrow)
+
+
+def slab_batch(r: dict, own, donors: list, first: int, count: int, origin: float | None, arrow: pa.Schema) -> pa.RecordBatch:
     calls, began = [], time.time()
-    planes = _read_range(r, first, count)
+    planes = read_planes(r, own, first, count)
     if origin is not None:
         calls.append(call("load", r["path"], began, origin))
-    for d in sorted(r.get("donors") or (), key=lambda d: d["it"]):
+    for d, file in donors:
         began = time.time()
-        planes = planes + _read_range(d, first, count)
+        planes = planes + read_planes(d, file, first, count)
         if origin is not None:
             calls.append(call("increment", f"{r['path']}:{d['path']}", began, origin))
     same = {c: [r[c]] * count for c in ("block_id", "path", "dims", "header", "affine")}
+    if first == 0 and data_offset(r["header"]) > DATA_OFFSET:  # the extensions travel with the first plane
+        same["header"] = [own.read_at(data_offset(r["header"]), 0), *same["header"][1:]]
     rows = same | {
         "slab": list(range(first, first + count)),
         "payload": pack(planes, np.arange(count + 1) * (planes.size // count)),
@@ -268,12 +298,11 @@ def _slab_batch(r: dict, first: int, count: int, origin: float | None, arrow: pa
     return pa.RecordBatch.from_pydict({c: rows[c] for c in arrow.names}, schema=arrow)
 
 
-def _read_range(r: dict, first: int, count: int) -> np.ndarray:
+def read_planes(r: dict, file, first: int, count: int) -> np.ndarray:
     """Planes of one image as uint16; scaled values are truncated."""
     kind, scaling = voxel_type(r["header"]), scaling_of(r["header"])
     plane = r["dims"][0] * r["dims"][1] * kind.itemsize
-    with open_file(r["path"]) as f:
-        raw = np.frombuffer(f.read_at(count * plane, r["offset"] + first * plane), kind)
+    raw = np.frombuffer(file.read_at(count * plane, r["offset"] + first * plane), kind)
     values = raw if scaling is None else raw * float(scaling[0]) + float(scaling[1])
     return values.astype("<u2", copy=False)
 
@@ -302,9 +331,13 @@ def scan_blocks(
 
 # ---------------------------------------------------------------------- write
 
+#: What a task has written: ``part`` is the staged file, whose bytes belong at ``at`` of an image of ``size`` bytes.
 WRITTEN = T.StructType(
     [
         T.StructField("path", T.StringType()),
+        T.StructField("part", T.StringType()),
+        T.StructField("at", T.LongType()),
+        T.StructField("size", T.LongType()),
         T.StructField("planes", T.LongType()),
         T.StructField("needed", T.LongType()),
         T.StructField("calls", T.ArrayType(schemas.CALL)),
@@ -312,25 +345,51 @@ WRITTEN = T.StructType(
 )
 
 
-def mounted(folder: str) -> bool:
-    """Whether a folder is a mounted path, where files can be written at positions."""
-    return folder.startswith(("/", "file:"))
-
-
-def local_path(path: str) -> str:
-    return "/" + path[len("file:") :].lstrip("/") if path.startswith("file:") else path
-
-
 def output_path(path: str, folder: str, prefix: str, below: str | None) -> str:
     """Where the image read from ``path`` is written; with ``below``, folders under that root are kept."""
-    inner, name = os.path.split(path if below is None else os.path.relpath(local_path(path), below))
+    inner, name = os.path.split(path if below is None else os.path.relpath(local_path(path), local_path(below)))
     name = prefix + (name if prefix else name[:-3] + "nii")
     return os.path.join(folder, name) if below is None else os.path.join(folder, inner, name)
 
 
-def write_step(folder: str, prefix: str = "", origin: float | None = None, below: str | None = None) -> Step:
-    """Store the planes of slab rows in place, in any order; yields ``(path, planes, needed, calls)``."""
-    target = local_path(folder)
+class Target:
+    """Folder that images are written to, and how their names are made."""
+
+    def __init__(self, folder: str, prefix: str = "", below: str | None = None, in_place: bool = True):
+        """``folder`` is a full address; ``in_place`` says that it is mounted and that all tasks see the same files there."""
+        self.folder = local_path(folder) if mounted(folder) else folder.rstrip("/")
+        self.prefix, self.below, self.in_place = prefix, below, in_place
+        self.staging = f"{self.folder}/_staging-{uuid.uuid4().hex}"
+        self.known = stores.registered()
+
+    def place(self, path: str) -> str:
+        return output_path(path, self.folder, self.prefix, self.below)
+
+    def staged(self, path: str) -> str:
+        return output_path(path, self.staging, self.prefix, self.below)
+
+    def write_step(self, origin: float | None = None) -> Step:
+        return write_step(self, origin) if self.in_place else part_step(self, origin)
+
+    def drop_staging(self) -> None:
+        stores.delete_folder(self.staging)
+
+
+def target_of(
+    spark: SparkSession, folder: str, prefix: str = "", below: str | None = None, in_place: bool | None = None
+) -> Target:
+    """Resolve a folder as Spark does. On a cluster, a mounted folder must be the shared one, or said to be shared by
+    ``in_place=True``: else each executor would write to a disk of its own."""
+    folder = stores.qualified(spark, folder)
+    if in_place is None:
+        in_place = mounted(folder)
+        if in_place and not stores.in_place_allowed(spark, folder):
+            raise ValueError(f"{folder} is on the executors' own disks unless it is a shared mount; if it is, pass in_place=True")
+    return Target(folder, prefix, below, in_place)
+
+
+def write_step(target: Target, origin: float | None = None) -> Step:
+    """Store the planes of slab rows in place, in any order; yields rows of :data:`WRITTEN`."""
     arrow = to_arrow_schema(WRITTEN)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,17 +399,22 @@ def write_step(folder: str, prefix: str = "", origin: float | None = None, below
             done = []
             for first, last in _runs(rows):
                 began, r = time.time(), rows[first]
-                out = output_path(r["path"], target, prefix, below)
-                _write_run(out, r, values[starts[first] : starts[last]])
-                calls = [c for row in rows[first:last] for c in row["calls"] or ()]
-                if origin is not None:
-                    calls.append(call("dump", r["path"], began, origin))
-                done.append({"path": out, "planes": last - first, "needed": r["dims"][2], "calls": calls})
+                staged = target.staged(r["path"])
+                _write_run(staged, r, values[starts[first] : starts[last]])
+                done.append(_done(target, r, rows[first:last], staged, 0, began, origin))
             yield pa.RecordBatch.from_pylist(done, schema=arrow)
 
     return write
 
 
+def _done(target: Target, r: dict, rows: list[dict], part: str, at: int, began: float, origin: float | None) -> dict:
+    calls = [c for row in rows for c in row["calls"] or ()]
+    if origin is not None:
+        calls.append(call("dump", r["path"], began, origin))
+    size = data_offset(r["header"]) + 2 * r["dims"][0] * r["dims"][1] * r["dims"][2]
+    return {"path": target.place(r["path"]), "part": part, "at": at, "size": size, "planes": len(rows), "needed": r["dims"][2], "calls": calls}
+
+
 def _runs(rows: list[dict]) -> Iterator[tuple[int, int]]:
     """Stretches of neighbouring planes of one image."""
     first = 0
@@ -363,15 +427,14 @@ def _runs(rows: list[dict]) -> Iterator[tuple[int, int]]:
 def _write_run(out: str, r: dict, values: np.ndarray) -> None:
     """Write neighbouring planes at their place; the first plane brings header and file size."""
     os.makedirs(os.path.dirname(out), exist_ok=True)
-    plane = 2 * r["dims"][0] * r["dims"][1]
-    header = output_header(r["header"], r["dims"])
-    data = memoryview(values.astype(byte_order(header) + "u2", copy=False)).cast("B")
-    at = DATA_OFFSET + plane * r["slab"]
+    plane, offset = 2 * r["dims"][0] * r["dims"][1], data_offset(r["header"])
+    data = memoryview(values.astype(byte_order(r["header"]) + "u2", copy=False)).cast("B")
+    at = offset + plane * r["slab"]
     handle = os.open(out, os.O_CREAT | os.O_WRONLY, 0o644)
     try:
         if r["slab"] == 0:
-            os.ftruncate(handle, DATA_OFFSET + plane * r["dims"][2])
-            os.pwrite(handle, header + bytes(DATA_OFFSET - HEADER_BYTES), 0)
+            os.ftruncate(handle, offset + plane * r["dims"][2])
+            os.pwrite(handle, file_head(r["header"], r["dims"]), 0)
         while data:
             sent = os.pwrite(handle, data, at)
             data, at = data[sent:], at + sent
@@ -379,36 +442,35 @@ def _write_run(out: str, r: dict, values: np.ndarray) -> None:
         os.close(handle)
 
 
-def stream_step(folder: str, prefix: str = "", origin: float | None = None, below: str | None = None) -> Step:
-    """As :func:`write_step` for stores that only take whole files: all planes of a file, in order.
+def part_step(target: Target, origin: float | None = None) -> Step:
+    """As :func:`write_step` for stores that take whole files only: each run of neighbouring planes becomes a part.
 
-    Planes are passed on as they come, so a file may be larger than memory.
+    Planes are passed on as they come, so a part may be larger than memory. The part of the first plane has the header.
     """
     arrow = to_arrow_schema(WRITTEN)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, sink, position = None, None, 0
+        stores.use(target.known)
+        following, sink, part, at = None, None, "", 0
         for batch in batches:
             values, starts = unpack(batch)
             rows = batch.select([n for n in batch.schema.names if n != "payload"]).to_pylist()
             done = []
             for first, last in _runs(rows):
                 began, r = time.time(), rows[first]
-                out, header = output_path(r["path"], folder, prefix, below), output_header(r["header"], r["dims"])
-                plane = 2 * r["dims"][0] * r["dims"][1]
-                if out != current:
+                if (r["path"], r["slab"]) != following:
                     if sink is not None:
                         sink.close()
-                    current, sink, position = out, create_file(out), DATA_OFFSET
-                    sink.write(header + bytes(DATA_OFFSET - HEADER_BYTES))
-                # A plane that is missing leaves zeros, as it does in a file written in place.
-                sink.write(bytes(DATA_OFFSET + plane * r["slab"] - position))
-                sink.write(values[starts[first] : starts[last]].astype(byte_order(header) + "u2", copy=False).tobytes())
-                position = DATA_OFFSET + plane * (r["slab"] + last - first)
-                calls = [c for row in rows[first:last] for c in row["calls"] or ()]
-                if origin is not None:
-                    calls.append(call("dump", r["path"], began, origin))
-                done.append({"path": out, "planes": last - first, "needed": r["dims"][2], "calls": calls})
+                    plane, offset = 2 * r["dims"][0] * r["dims"][1], data_offset(r["header"])
+                    at = 0 if r["slab"] == 0 else offset + plane * r["slab"]
+                    # Attempts of a task have parts of their own: a late one can't disturb what the other has closed.
+                    part = f"{target.staged(r['path'])}.{at}.{uuid.uuid4().hex}"
+                    sink = stores.create(part)
+                    if at == 0:
+                        sink.write(file_head(r["header"], r["dims"]))
+                sink.write(values[starts[first] : starts[last]].astype(byte_order(r["header"]) + "u2", copy=False).tobytes())
+                following = (r["path"], r["slab"] + last - first)
+                done.append(_done(target, r, rows[first:last], part, at, began, origin))
             yield pa.RecordBatch.from_pylist(done, schema=arrow)
         if sink is not None:
             sink.close()
@@ -416,14 +478,68 @@ def stream_step(folder: str, prefix: str = "", origin: float | None = None, belo
     return write
 
 
-def create_file(path: str):
-    """Open a file of any file system for writing from the start."""
-    if mounted(path):
-        path = local_path(path)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        return pafs.LocalFileSystem().open_output_stream(path)
-    system, inner = pafs.FileSystem.from_uri(path)
-    return system.open_output_stream(inner)
+def publish_image(path: str, parts: list[dict], in_place: bool) -> None:
+    """Put an image in its place, from its staged file or its parts, ``{at, part, size, planes, needed}`` in order of ``at``.
+
+    Planes that are missing leave zeros. A repeated call finds the image in its place and is done.
+    """
+    head = parts[0]
+    if in_place or (len(parts) == 1 and head["at"] == 0 and head["planes"] == head["needed"]):
+        stores.move(head["part"], path)
+        return
+    whole, position = f"{head['part']}.whole", 0
+    if not all(stores.exists(p["part"]) for p in parts) and stores.exists(path):
+        return
+    with stores.create(whole) as sink:
+        for p in parts:
+            position += _zeros(sink, p["at"] - position)
+            with stores.open_input(p["part"]) as source:
+                source.seek(position - p["at"])
+                while data := source.read(BATCH_BYTES):
+                    sink.write(data)
+                    position += len(data)
+        _zeros(sink, head["size"] - position)
+    stores.move(whole, path)
+
+
+def _zeros(sink, count: int) -> int:
+    for k in range(0, max(count, 0), BATCH_BYTES):
+        sink.write(bytes(min(BATCH_BYTES, count - k)))
+    return max(count, 0)
+
+
+def publish(written: DataFrame, target: Target) -> DataFrame:
+    """Move all staged images to their places, one image per row; returns what was written, then without staging folder."""
+    own = F.struct("at", "part", "size", "needed", "_planes")
+    parts = written.groupBy("path", "part", "at", "size", "needed").agg(F.sum("planes").alias("_planes"))
+    files = parts.groupBy("path").agg(F.sort_array(F.collect_list(own)).alias("parts"))
+    known, in_place = target.known, target.in_place
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores.use(known)
+        for batch in batches:
+            for r in batch.to_pylist():
+                publish_image(r["path"], [p | {"planes": p["_planes"]} for p in r["parts"]], in_place)
+            yield batch.select(["path"])
+
+    spread(files, "path").mapInArrow(move, "path string").write.format("noop").mode("overwrite").save()
+    target.drop_staging()
+    return written
+
+
+def _committed(target: Target, rows: DataFrame, *steps: Step) -> DataFrame:
+    """Run the steps, the last of which writes, and publish; a failure takes the staging folder with it."""
+    try:
+        return publish(materialize(chain(rows, WRITTEN, *steps), "written"), target)
+    except BaseException:
+        target.drop_staging()
+        raise
+
+
+def _parts(planes: str) -> list:
+    """Keys by which planes, or ranges, of a large image go to several tasks."""
+    bytes_before = F.col(planes) * F.get("dims", F.lit(0)) * F.get("dims", F.lit(1)) * 2
+    return [F.col("path"), F.floor(bytes_before / PART_BYTES)]
 
 
 def write_planes(
@@ -437,15 +553,14 @@ def write_planes(
     """Write slab rows to image files in ``folder``; runs at once.
 
     On mounted folders every task writes its planes in place, so nothing is shuffled or gathered.
-    Other stores take a file only as a whole, which brings its planes to one task, in order.
+    Other stores take an image in parts, which brings the planes of each to one task, in order.
     """
+    target = target_of(slabs.sparkSession, folder, prefix, below, in_place)
     good = slabs.where(F.col("error").isNull())
-    if mounted(folder) if in_place is None else in_place:
-        step = write_step(folder, prefix, origin, below)
-    else:
-        good = good.repartition("path").sortWithinPartitions("path", "slab")
-        step = stream_step(folder, prefix, origin, below)
-    return materialize(chain(good, WRITTEN, step), "written")
+    if not target.in_place:
+        n = int(slabs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        good = good.repartition(n, *_parts("slab")).sortWithinPartitions("path", "slab")
+    return _committed(target, good, target.write_step(origin))
 
 
 def rewrite_ranges(
@@ -458,15 +573,15 @@ def rewrite_ranges(
 ) -> DataFrame:
     """Read ranges, change their planes and write them, all in one task; runs at once.
 
-    Where files cannot be written in place, the ranges of a file go to one task; only these
+    Where files cannot be written in place, the ranges of a part go to one task; only these
     few-byte rows move, never voxels.
     """
-    if mounted(folder) if in_place is None else in_place:
-        step = write_step(folder, prefix, origin)
-    else:
-        ranges = spread(ranges, "path").sortWithinPartitions("path", "first")
-        step = stream_step(folder, prefix, origin)
-    return materialize(chain(ranges, WRITTEN, read_step(origin), *changes, step), "written")
+    target = target_of(ranges.sparkSession, folder, prefix, None, in_place)
+    if not target.in_place:
+        planned = ranges.agg(F.sum(F.col("count") * F.get("dims", F.lit(0)) * F.get("dims", F.lit(1)) * 2)).first()[0] or 0
+        n = max(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned // PART_BYTES)
+        ranges = ranges.repartition(n, *_parts("first")).sortWithinPartitions("path", "first")
+    return _committed(target, ranges, read_step(origin), *changes, target.write_step(origin))
 
 
 def write_status(written: DataFrame) -> DataFrame:
