@@ -92,7 +92,7 @@ def op4_redirect_equivalence(spark, sf_dir):
 def op5_toxicity(spark, sf_dir):
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     known = labels.where(~toxicity.held_out()).select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = toxicity.train(docs, known)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 

@@ -224,12 +224,65 @@ def test_pii(spark, odd):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in want) for k in pii.KINDS]
 
 
+def labelled_part(spark, sf_dir, rest):
+    """Labels of the rows with a remainder, never the held-out one."""
+    assert rest != 1
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == rest).select("doc_id", "toxic")
+
+
 def test_toxicity(spark):
     sf_dir = "/root/testdata/sf0.1"
-    scored = queries.QUERIES["op5_toxicity"](spark, sf_dir).where("held_out")
-    rows = scored.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("toxic", "predicted").collect()
-    right = Counter((r["toxic"], r["predicted"]) for r in rows)
-    assert right[0, 1] <= 0.01 * (right[0, 0] + right[0, 1]) and right[1, 1] >= 0.7 * (right[1, 0] + right[1, 1])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.train(docs, labelled_part(spark, sf_dir, 0))
+    scored = toxicity.score(docs, model).join(labelled_part(spark, sf_dir, 2), "doc_id")
+    right = Counter((r["toxic"], r["predicted"]) for r in scored.select("toxic", "predicted").collect())
+    assert right[0, 1] <= 0.01 * (right[0, 0] + right[0, 1]) and right[1, 1] >= 0.5 * (right[1, 0] + right[1, 1])
+
+
+def test_toxicity_learns_nothing_from_held_out_labels(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{n}.parquet") for n in ("documents", "labels"))
+    turned = F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.withColumn("toxic", turned.cast(labels.schema["toxic"].dataType)).write.parquet(f"{tmp_path}/labels.parquet")
+    one, two = ({r["doc_id"]: r["score"] for r in queries.QUERIES["op5_toxicity"](spark, d).collect()} for d in (SF_DIR, str(tmp_path)))
+    assert one == two and len(set(one.values())) > 1
+
+
+def test_ftrl_against_plain_updates():
+    rng = random.Random(6)
+    examples = [(np.array(sorted(rng.sample(range(40), rng.randrange(0, 12))), np.int64), float(rng.random() < 0.4)) for _ in range(150)]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for f, y in examples:
+            names = [*f.tolist(), "bias"]
+            w = {i: weight(i) for i in names}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in names:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    at, w, bias = toxicity.fit_rows(examples)
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert at.tolist() == sorted(want) and 0 < len(want) < 40
+    assert np.allclose(w, [want[i] for i in sorted(want)]) and np.isclose(bias, weight("bias"))
+
+
+def test_toxicity_labels_by_key(spark):
+    """A table of labels, with repeated and null keys, gives the rows that a plain join gives."""
+    rows = [(1, "hot text")] * 50 + [(1, f"other {k}") for k in range(20)] + [(k, f"text {k}") for k in range(2, 12)] + [(None, "x"), (3, None)]
+    docs = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (3, None), (None, 1), (99, 1)], "doc_id long, toxic int")
+    joined = docs.select("doc_id", "text").join(labels, "doc_id")
+    for most in (1, 30, 1000):
+        one, two = (sorted(tuple(r) for r in toxicity.training_rows(*a, max_rows=most).collect()) for a in ((docs, labels), (joined,)))
+        assert one == two and len(one) == min(most, 74)
 
 
 def test_toxicity_odd_rows(spark, odd):
