@@ -19,6 +19,8 @@ from brickwork.session import broadcast_if_small, materialize, spread
 
 SECOND = 1_000_000
 SAMPLES = 100
+#: Length of the stretches of time that calls are dealt out by when points are counted.
+STRETCH_SECONDS = 300
 
 
 def seconds(us: Column) -> Column:
@@ -114,15 +116,24 @@ def concurrency(
 
     Calls with equal rounded ends and equal thread give the same points, so they are reduced
     to one before points are made; a call that starts and ends in the same second gives one.
+
+    Calls are dealt out by run and stretch of time, one row for each stretch that has points of the call. All points of a
+    stretch are then made, told apart and counted in one task: only calls are shuffled, never points, and a run with
+    most of the calls is spread over its stretches.
     """
     thread = list(thread_key)
     begin, end = (F.bround(seconds(F.col(c)), 0) for c in ("start_us", "end_us"))
     spans = trace.dropna(subset=thread).select(*by, *thread, begin.alias("_b"), end.alias("_e")).distinct()
-    last = F.when(F.col("_b") == F.col("_e"), F.lit(0)).otherwise(F.lit(samples - 1))
-    points = spread(spans).withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
-    active = fi.spaced(F.col("_b"), F.col("_e"), F.col("_i"), samples).alias("active")
-    unique = points.select(*by, active, *thread).distinct()
-    return unique.groupBy(*by, "active").agg(F.count(F.lit(1)).alias("threads"))
+    point = lambda i: fi.spaced(F.col("_b"), F.col("_e"), i, samples)
+    stretch = lambda t: F.floor(t / F.lit(float(STRETCH_SECONDS)))
+    index = F.sequence(F.lit(0), F.when(F.col("_b") == F.col("_e"), F.lit(0)).otherwise(F.lit(samples - 1)))
+    one = stretch(F.col("_b")).eqNullSafe(stretch(F.col("_e")))
+    touched = F.when(one, F.array(stretch(F.col("_b")))).otherwise(F.array_distinct(F.transform(index, lambda i: stretch(point(i)))))
+    dealt = spread(spans.withColumn("_s", F.explode(touched)), *by, "_s")
+    points = dealt.withColumn("_i", F.explode(index)).withColumn("active", point(F.col("_i")))
+    inside = points.where(stretch(F.col("active")).eqNullSafe(F.col("_s")))
+    unique = inside.select(*by, "_s", "active", *thread).distinct()
+    return unique.groupBy(*by, "_s", "active").agg(F.count(F.lit(1)).alias("threads")).drop("_s")
 
 
 def concurrency_summary(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -204,3 +204,33 @@ def test_storage_fault_is_not_a_bad_file(monkeypatch):
     monkeypatch.setattr(nifti, "open_file", fail)
     with pytest.raises(OSError):
         nifti._read_header("x.nii", 1000)
+
+
+def test_concurrency_over_long_and_odd_calls(spark):
+    """Calls over many stretches, backwards, with nulls, and a run that holds most of the calls."""
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        b = rng.randrange(0, 20_000)
+        e = b + rng.choice([0, 1, 50, 299, 300, 5_000, 200_000, -700])
+        rows.append(("a" if rng.random() < 0.8 else "b", rng.choice([1, 2, 3, None]), b * 1_000_000, e * 1_000_000))
+    rows += [("a", 7, None, 5_000_000), ("a", 7, 5_000_000, None), ("a", 1, 0, 10**15)]
+    found = trace.concurrency(spark.createDataFrame(rows, "run string, thread long, start_us long, end_us long"), ["run"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2  # distinct calls, and calls by stretch; never points
+    want = defaultdict(set)
+    for run, thread, b, e in rows:
+        if thread is None:
+            continue
+        b, e = (None if t is None else float(round(t / 1e6)) for t in (b, e))
+        if b is not None and b == e:
+            points = [b]
+        else:
+            points = [e if i == 99 else None if b is None or e is None else b + i * ((e - b) / 99) for i in range(100)]
+        for p in points:
+            want[run, p].add(thread)
+    got = {(r.run, r.active): r.threads for r in found.collect()}
+    assert got == {k: len(v) for k, v in want.items()}
