@@ -7,15 +7,19 @@ only one block stay on arrays, so no row fan-out and no shuffle takes place.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickwork.functions import intensity as fi
-from brickwork.session import broadcast_if_small, materialize
+from brickwork.session import broadcast_if_small, materialize, spread
 
 VOXEL_BYTES = 2
+#: Blocks that one copy of a donor's planes is handed to.
+FAN_OUT = 64
 
 
 def _dim(axis: int, dims: str = "dims") -> Column:
@@ -63,24 +67,30 @@ def rechunk(blocks: DataFrame, chunk_bytes: int, item_bytes: int = VOXEL_BYTES)
 
 def slab_split(blocks: DataFrame) -> DataFrame:
     """Split every block into one slab per index of its first axis."""
+    return _planes(blocks).drop("dims")
+
+
+def _planes(blocks: DataFrame) -> DataFrame:
+    """Planes of the first axis, ``(block_id, dims, x, v)``."""
     length = _dim(1) * _dim(2)
 
-    def slab(x):
+    def plane(x):
         return F.struct(x.alias("x"), F.slice("v", (x * length + 1).cast("int"), length.cast("int")).alias("v"))
 
-    slabs = F.transform(F.sequence(F.lit(0).cast("bigint"), _dim(0) - 1), slab)
-    return blocks.select("block_id", F.inline(slabs))
+    return blocks.select("block_id", "dims", F.inline(F.transform(F.sequence(F.lit(0).cast("bigint"), _dim(0) - 1), plane)))
 
 
-def add_blocks(blocks: DataFrame, donors: DataFrame) -> DataFrame:
-    """Add to each block the block named in ``donors(block_id, donor)``, voxel by voxel.
+def add_blocks(blocks: DataFrame, donors: DataFrame, fan_out: int | None = None) -> DataFrame:
+    """Add to each block the block named in ``donors(block_id, donor)``, voxel by voxel; one result per distinct pair.
 
-    A small ``donors`` is broadcast, which leaves one shuffle of blocks.
+    Planes are moved, not blocks; one of a donor that many blocks drew is copied, see :func:`_given`.
     """
-    own = blocks.join(broadcast_if_small(donors), "block_id")
-    other = blocks.select(F.col("block_id").alias("donor"), F.col("v").alias("_w"))
-    added = F.zip_with("v", "_w", lambda a, b: fi.wrap(a + b))
-    return own.join(other, "donor").select("block_id", "donor", "dims", added.alias("v"))
+    planes = _planes(blocks)
+    picks = materialize(donors.select(F.col("block_id").alias("_to"), "donor").distinct().withColumn("_times", F.lit(1).cast("bigint")), "picks")
+    drawn = picks.select(F.col("_to").alias("block_id"), "donor")
+    own = planes.join(broadcast_if_small(drawn), "block_id").withColumn("_times", F.lit(1).cast("bigint")).withColumn("_own", F.lit(True))
+    gifts = _given(planes, picks, fan_out).withColumn("dims", F.lit(None).cast("array<bigint>")).withColumn("_own", F.lit(False))
+    return _summed(own.unionByName(gifts), ["block_id", "donor"], whole=True)
 
 
 def squared_distances(voxels: DataFrame, centroids: Sequence[float]) -> DataFrame:
@@ -162,8 +172,14 @@ def require_one_shape(blocks: DataFrame) -> DataFrame:
 
 
 def stack_blocks(blocks: DataFrame, ordinal: str = "block_id") -> DataFrame:
-    """Concatenate blocks of one shape, in ordinal order, into one vector ``(pos, v)``."""
+    """Concatenate blocks of one shape, in ordinal order, into one vector ``(pos, v)``.
+
+    Raises unless the ordinals are 0 .. n - 1, each once.
+    """
     require_one_shape(blocks)
+    n, distinct, low, high = blocks.agg(F.count(F.lit(1)), F.count_distinct(ordinal), F.min(ordinal), F.max(ordinal)).first()
+    if n and (low, high, distinct) != (0, n - 1, n):
+        raise ValueError(f"{n} blocks are not numbered 0 to {n - 1}, each once")
     rows = blocks.select(F.col(ordinal).alias("_o"), F.size("v").alias("_n"), F.posexplode("v").alias("i", "v"))
     return rows.select((F.col("_o") * F.col("_n") + F.col("i")).cast("bigint").alias("pos"), "v")
 
@@ -245,25 +261,92 @@ def multi_increment_per_block(voxels: DataFrame, donors: DataFrame, salts: int =
     )
 
 
-def multi_increment_blocks(blocks: DataFrame, donors: DataFrame) -> DataFrame:
-    """Array form of :func:`multi_increment_per_block`: whole blocks are joined, not voxels.
+def multi_increment_planes(planes: DataFrame, donors: DataFrame, fan_out: int | None = None) -> DataFrame:
+    """Add to every plane ``(block_id, x, v)`` the same planes of the block's own donors; ``donors(block_id, it, donor)``.
 
-    A block gathers at most one entry per iteration, so no group grows with the data.
+    Repeated draws of one donor are counted first. No row holds more than a plane, and a task adds up one plane at a time.
     """
+    return _multi_increment(planes.withColumn("dims", F.lit(None).cast("array<bigint>")), donors, fan_out, whole=False).drop("dims")
+
+
+def multi_increment_blocks(blocks: DataFrame, donors: DataFrame, fan_out: int | None = None) -> DataFrame:
+    """As :func:`multi_increment_planes` for blocks: they are cut into planes, which are put together again when added."""
+    return _multi_increment(_planes(blocks), donors, fan_out, whole=True).select("block_id", "v")
+
+
+def _multi_increment(planes: DataFrame, donors: DataFrame, fan_out: int | None, whole: bool) -> DataFrame:
     picks = donors.groupBy("block_id", "donor").agg(F.count(F.lit(1)).alias("_times"))
-    picks = broadcast_if_small(materialize(picks.select(F.col("block_id").alias("_to"), "donor", "_times"), "picks"))
-    given = blocks.join(picks, F.col("block_id") == F.col("donor")).select(
-        F.col("_to").alias("block_id"), F.struct(F.col("_times").alias("times"), F.col("v").alias("v")).alias("_gift")
-    )
-    own = blocks.select("block_id", F.struct(F.lit(1).cast("bigint").alias("times"), "v").alias("_gift"), F.lit(True).alias("_own"))
-    gathered = (
-        own.unionByName(given.withColumn("_own", F.lit(False)))
-        .groupBy("block_id")
-        .agg(F.collect_list("_gift").alias("_gifts"), F.bool_or("_own").alias("_own"))
-        .where("_own")
-    )
-    zeros = F.transform(F.get("_gifts", F.lit(0))["v"], lambda _: F.lit(0).cast("bigint"))
-    total = F.aggregate(
-        "_gifts", zeros, lambda acc, g: F.zip_with(acc, g["v"], lambda a, b: fi.wrap(a + b * g["times"]))
-    )
-    return gathered.select("block_id", total.alias("v"))
+    picks = materialize(picks.select(F.col("block_id").alias("_to"), "donor", "_times"), "picks")
+    own = planes.select("block_id", "dims", "x", "v").withColumn("_times", F.lit(1).cast("bigint")).withColumn("_own", F.lit(True))
+    gifts = _given(planes, picks, fan_out).drop("donor").withColumn("dims", F.lit(None).cast("array<bigint>")).withColumn("_own", F.lit(False))
+    return _summed(own.unionByName(gifts), ["block_id"], whole)
+
+
+def _given(planes: DataFrame, picks: DataFrame, fan_out: int | None) -> DataFrame:
+    """Planes of donors for the blocks that drew them, ``(block_id, donor, x, v, _times)``.
+
+    Draws are counted per donor: one that many blocks drew is copied once for every ``fan_out`` of them, so its planes
+    are handed out by many tasks.
+    """
+    copies = F.ceil(F.count(F.lit(1)) / F.lit(fan_out or FAN_OUT)).alias("_copies")
+    counted = picks.groupBy("donor").agg(copies)
+    dealt = picks.join(counted, "donor").withColumn("_copy", F.pmod(F.xxhash64("_to"), F.col("_copies"))).drop("_copies")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)).alias("_copy")
+    copied = planes.withColumnRenamed("block_id", "donor").join(broadcast_if_small(counted), "donor").select("donor", "x", "v", every)
+    joined = copied.join(dealt, ["donor", "_copy"])
+    return joined.select(F.col("_to").alias("block_id"), "donor", "x", "v", "_times")
+
+
+def _summed(contributions: DataFrame, by: Sequence[str], whole: bool) -> DataFrame:
+    """Sum of the planes ``(…by, dims, x, v, _times, _own)`` of each key and ``x``, wrapping; of keys that have one of their own.
+
+    Rows come sorted to a task, which holds the sum of one plane, or with ``whole`` the planes of one block.
+    """
+    keys = [*by] if whole else [*by, "x"]
+    rows = spread(contributions, *keys).sortWithinPartitions(*by, "x")
+    kinds = {f.name: f.dataType.simpleString() for f in contributions.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "dims", "v"])
+    return rows.mapInArrow(lambda batches: _fold_planes(batches, list(by), whole), schema)
+
+
+def _fold_planes(batches: Iterator[pa.RecordBatch], by: list[str], whole: bool) -> Iterator[pa.RecordBatch]:
+    done: list[tuple] = []  # of keys, dims and voxels
+    place, total, dims, own = None, None, None, False
+
+    def close() -> None:
+        if place is None or not own:
+            return
+        if whole and done and done[-1][0] == place[:-1]:
+            done[-1][2].append(total)
+        else:
+            done.append((place[:-1] if whole else place, dims, [total]))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        voxels = [np.concatenate(v) if v else np.zeros(0, np.int64) for _, _, v in rows]
+        starts = np.r_[0, np.cumsum([len(v) for v in voxels])]
+        lists = pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), pa.array(np.concatenate(voxels)))
+        keys = [pa.array(c, pa.int64()) for c in zip(*[k for k, _, _ in rows])]
+        names = [*by, "dims", "v"] if whole else [*by, "x", "dims", "v"]
+        return pa.RecordBatch.from_arrays([*keys, pa.array([d for _, d, _ in rows], pa.list_(pa.int64())), lists.cast(pa.list_(pa.int64()))], names=names)
+
+    for batch in batches:
+        column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+        lists = column("v")
+        flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_pylist()
+        at = 0
+        keys = zip(*[column(c).to_pylist() for c in [*by, "x"]])
+        for key, size, times, mine, shape in zip(keys, sizes, *[column(c).to_pylist() for c in ("_times", "_own", "dims")]):
+            values, at = flat[at : at + size], at + size
+            if key != place:
+                close()
+                place, total, dims, own = key, np.zeros(size, np.int64), None, False
+            if size != len(total):
+                raise ValueError("the blocks differ in shape")
+            total = (total + values * times) % fi.LEVELS
+            dims, own = shape or dims, own or mine
+        if len(done) > 1:  # the last one may go on
+            yield batch_of(done[:-1])
+            del done[:-1]
+    close()
+    if done:
+        yield batch_of(done)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brickwork.operators import clustering, cohort, voxels
 
@@ -158,6 +159,34 @@ def test_multi_increment_per_block(spark, monkeypatch, small):
         assert r.v == expected[r.block_id].ravel().tolist()
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_one_donor_for_all_blocks(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(voxels, "broadcast_if_small", lambda df: df)
+    arrays = random_blocks(40, (3, 4, 5))
+    draws = [(b, it, 7) for b in range(40) for it in range(2)] + [(3, 2, 4)]
+    table = spark.createDataFrame(draws, "block_id bigint, it bigint, donor bigint")
+    frame, expected = block_rows(spark, arrays), brute_multi(arrays, [(b, d) for b, _, d in draws])
+    planes = voxels.multi_increment_planes(voxels.slab_split(frame), table, fan_out=4)
+    found = {(r.block_id, r.x): r.v for r in planes.collect()}
+    assert found == {(b, x): expected[b][x].ravel().tolist() for b in range(40) for x in range(3)}
+    # The hot donor's planes are handed out in copies of their own, for four blocks each.
+    given = voxels._given(voxels.slab_split(frame), table.groupBy(F.col("block_id").alias("_to"), "donor").agg(F.count("*").alias("_times")), 4)
+    assert given.where("donor = 7").count() == 40 * 3
+    whole = voxels.multi_increment_blocks(frame, table, fan_out=4)
+    assert {r.block_id: r.v for r in whole.collect()} == {b: e.ravel().tolist() for b, e in enumerate(expected)}
+    pairs = spark.createDataFrame([(b, 7) for b in range(40)] + [(0, 1), (0, 1)], "block_id bigint, donor bigint")
+    added = {(r.block_id, r.donor): (r.dims, r.v) for r in voxels.add_blocks(frame, pairs, fan_out=4).collect()}
+    assert added == {(b, d): ([3, 4, 5], ((arrays[b].astype(int) + arrays[d]) % 65536).ravel().tolist()) for b, d in [*((b, 7) for b in range(40)), (0, 1)]}
+
+
+def test_blocks_must_be_numbered_without_gaps(spark):
+    frame = block_rows(spark, random_blocks(3))
+    for shifted in (F.col("block_id") + 1, F.col("block_id") * 2, F.least("block_id", F.lit(1))):
+        with pytest.raises(ValueError):
+            voxels.stack_blocks(frame.withColumn("block_id", shifted.cast("bigint")))
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_multi_increment_per_iteration(spark, monkeypatch, small):
     if not small:
