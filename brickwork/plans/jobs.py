@@ -77,14 +77,15 @@ def multi_increment_job(
 
     ``draws(block_id, it, donor)`` replaces the seeded draw; images are numbered in path order.
 
-    Only file metadata is joined. A task reads its own range of planes and the same range of
-    each donor, so a donor drawn by many blocks is read often but gathered nowhere.
+    Only file metadata is joined. A task takes the same planes of many images, so a donor that several of them drew is
+    read there once; equal draws are one addition by a factor.
     """
     run = run or Run()
     origin = run.origin()
     blocks = nifti.block_table(spark, source)
     voxels.require_one_shape(blocks.where(F.col("error").isNull()))
     good = listing.block_ordinal(blocks.where(F.col("error").isNull()).drop("block_id"))
+    entry = "array<struct<path:string,its:array<bigint>>>"
     if iterations > 0:
         if draws is None:
             draws = voxels.assign_donors(good.select("block_id"), iterations, seed, policy)
@@ -93,16 +94,19 @@ def multi_increment_job(
             # One row per iteration, so this array is as long as the parameter says.
             pairs = F.array(*[F.struct(F.lit(r.it).alias("it"), F.lit(r.donor).alias("donor")) for r in draws.collect()])
             draws = good.select("block_id", F.inline(pairs).alias("it", "donor"))
-        about = good.select(
-            F.col("block_id").alias("donor"),
-            F.struct("path", "dims", "offset", "header").alias("_d"),
-        )
-        named = draws.join(about, "donor").select("block_id", F.struct("_d.*", "it").alias("_d"))
         # At most ``iterations`` entries per block.
-        lists = named.groupBy("block_id").agg(F.collect_list("_d").alias("donors"))
+        times = draws.groupBy("block_id", "donor").agg(F.sort_array(F.collect_list(F.col("it").cast("bigint"))).alias("its"))
+        named = times.join(good.select(F.col("block_id").alias("donor"), "path"), "donor")
+        lists = named.groupBy("block_id").agg(F.collect_list(F.struct("path", "its")).alias("donors"))
         good = good.join(lists, "block_id", "left")
-    ranges = nifti.plane_ranges(materialize(good, "plan"))
-    written = nifti.rewrite_ranges(ranges, target, origin=origin)
+    else:
+        good = good.withColumn("donors", F.lit(None).cast(entry))
+    plan = materialize(good, "plan")
+    if nifti.target_of(spark, target).in_place:
+        ranges = nifti.shared_ranges(plan)
+    else:  # parts are written in the order of their planes, so each image is read for itself
+        ranges = nifti.plane_ranges(plan).withColumn("group", F.col("block_id"))
+    written = nifti.rewrite_ranges(ranges, target, origin=origin, read=nifti.shared_step(origin))
     run.log("multi-increment", written, iterations=iterations, seed=seed)
     return _status(written, blocks)
 

@@ -164,7 +164,8 @@ class Reader(ds.DataSourceReader):
             full = to_arrow_schema(schemas.SLAB)
             step = max(1, nifti.BATCH_BYTES // (2 * row["dims"][0] * row["dims"][1]))
             for at in range(first, first + count, step):
-                batch = nifti.slab_batch(row, file, [], at, min(step, first + count - at), None, full)
+                some = min(step, first + count - at)
+                batch = nifti.slab_batch(row, file, nifti.read_planes(row, file, at, some), at, some, [], full)
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in arrow.names], schema=arrow)
         else:
             same = {n: [row.get(n)] * count for n in arrow.names}

@@ -42,6 +42,9 @@ HEADER_BYTES = 348
 DATA_OFFSET = 352
 SPLIT_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
+#: Planes that are held at a time where the planes of many images are read together.
+GROUP_BYTES = 256 << 20
+LEAST_RANGE_BYTES = 1 << 20
 #: Planes that one task writes of an image, where a store takes parts; larger images come from several tasks.
 PART_BYTES = 1 << 30
 
@@ -249,11 +252,7 @@ def call(func: str, path: str, began: float, origin: float) -> dict:
 
 
 def read_step(origin: float | None = None) -> Step:
-    """Turn ranges into slab rows, a few planes per batch. With ``origin`` reads are logged.
-
-    A range may carry ``donors``, a list of ``(path, dims, offset, header, it)``: their planes are
-    added, wrapping at 2^16, in the order of ``it``.
-    """
+    """Turn ranges into slab rows, a few planes per batch. With ``origin`` reads are logged."""
     arrow, known = to_arrow_schema(schemas.SLAB), stores.registered()
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,29 +265,22 @@ def read_step(origin: float | None = None) -> Step:
 
 
 def range_batches(r: dict, origin: float | None, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Slab rows of one range, a few planes per batch; every file is opened once."""
+    """Slab rows of one range, a few planes per batch; the file is opened once."""
     step = max(1, BATCH_BYTES // (2 * r["dims"][0] * r["dims"][1]))
     end = r["first"] + r["count"]
-    with ExitStack() as opened:
-        own = opened.enter_context(open_file(r["path"]))
-        donors = [(d, opened.enter_context(open_file(d["path"]))) for d in sorted(r.get("donors") or (), key=lambda d: d["it"])]
+    with open_file(r["path"]) as file:
         for first in range(r["first"], end, step):
-            yield slab_batch(r, own, donors, first, min(step, end - first), origin, arrow)
+            count, began = min(step, end - first), time.time()
+            planes = read_planes(r, file, first, count)
+            calls = [] if origin is None else [call("load", r["path"], began, origin)]
+            yield slab_batch(r, file, planes, first, count, calls, arrow)
 
 
-def slab_batch(r: dict, own, donors: list, first: int, count: int, origin: float | None, arrow: pa.Schema) -> pa.RecordBatch:
-    calls, began = [], time.time()
-    planes = read_planes(r, own, first, count)
-    if origin is not None:
-        calls.append(call("load", r["path"], began, origin))
-    for d, file in donors:
-        began = time.time()
-        planes = planes + read_planes(d, file, first, count)
-        if origin is not None:
-            calls.append(call("increment", f"{r['path']}:{d['path']}", began, origin))
+def slab_batch(r: dict, file, planes: np.ndarray, first: int, count: int, calls: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
+    """Rows of neighbouring planes of one image."""
     same = {c: [r[c]] * count for c in ("block_id", "path", "dims", "header", "affine")}
     if first == 0 and data_offset(r["header"]) > DATA_OFFSET:  # the extensions travel with the first plane
-        same["header"] = [own.read_at(data_offset(r["header"]), 0), *same["header"][1:]]
+        same["header"] = [file.read_at(data_offset(r["header"]), 0), *same["header"][1:]]
     rows = same | {
         "slab": list(range(first, first + count)),
         "payload": pack(planes, np.arange(count + 1) * (planes.size // count)),
@@ -298,6 +290,78 @@ def slab_batch(r: dict, own, donors: list, first: int, count: int, origin: float
     return pa.RecordBatch.from_pydict({c: rows[c] for c in arrow.names}, schema=arrow)
 
 
+def shared_ranges(blocks: DataFrame, group_bytes: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Cut blocks of one shape into ranges, and deal them out so that a task has the same planes of many blocks.
+
+    Adds ``first``, ``count`` and ``group``: the rows of one (first, group) are neighbours in a task, and their planes
+    take at most ``group_bytes``, or are one plane of one block.
+    """
+    group_bytes = group_bytes or GROUP_BYTES
+    about = blocks.agg(F.count(F.lit(1)).alias("n"), F.first("dims").alias("dims")).first()
+    if not about.n:
+        return blocks.select("*", *[F.lit(None).cast("bigint").alias(c) for c in ("first", "count", "group")])
+    plane, depth = 2 * about.dims[0] * about.dims[1], about.dims[2]
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    spread_out = max(depth // (2 * cores), LEAST_RANGE_BYTES // plane)  # enough ranges for all cores, unless they get small
+    step = max(1, min(group_bytes // (plane * about.n), split_bytes // plane, spread_out))
+    together = max(1, group_bytes // (plane * step))
+    firsts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(depth - 1).cast("bigint"), F.lit(step).cast("bigint")))
+    ranges = blocks.withColumn("first", firsts).withColumn("count", F.least(F.lit(step), F.lit(depth) - F.col("first")))
+    ranges = ranges.withColumn("group", F.floor(F.col("block_id") / F.lit(together)))
+    cells = -(-depth // step) * -(-about.n // together)
+    return ranges.repartition(max(cores, cells), "first", "group").sortWithinPartitions("first", "group", "block_id")
+
+
+def shared_step(origin: float | None = None) -> Step:
+    """Turn ranges with ``donors``, a list of ``(path, its)``, into slab rows: every donor's planes are added once for
+    each iteration in ``its``, wrapping at 2^16.
+
+    Neighbouring ranges of equal ``first`` and ``group`` are read together, and each of their donors is read once for all
+    of them; equal draws are one addition by a factor.
+    """
+    arrow, known = to_arrow_schema(schemas.SLAB), stores.registered()
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores.use(known)
+        held: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and (r["first"], r["group"]) != (held[0]["first"], held[0]["group"]):
+                    yield from _shared_batches(held, origin, arrow)
+                    held = []
+                held.append(r)
+        if held:
+            yield from _shared_batches(held, origin, arrow)
+
+    return read
+
+
+def _shared_batches(rows: list[dict], origin: float | None, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    planes, calls, wanted = [], [], {}
+    for k, r in enumerate(rows):
+        began = time.time()
+        with open_file(r["path"]) as file:
+            planes.append(read_planes(r, file, r["first"], r["count"]).copy())
+        calls.append([] if origin is None else [call("load", r["path"], began, origin)])
+        for d in r["donors"] or ():
+            wanted.setdefault(d["path"], []).append((k, d["its"]))
+    for path in sorted(wanted):
+        with open_file(path) as file:
+            donor = _read_header(path, file.size(), file)
+            if donor["error"] is not None:
+                raise ValueError(f"unreadable image {path}: {donor['error']}")
+            given = read_planes(donor, file, rows[0]["first"], rows[0]["count"])
+        for k, its in wanted[path]:
+            began = time.time()
+            planes[k] += given * np.uint16(len(its) % 65_536)
+            if origin is not None:
+                calls[k] += [call("increment", f"{rows[k]['path']}:{path}", began, origin) for _ in its]
+    for r, own, logged in zip(rows, planes, calls):
+        with ExitStack() as opened:
+            file = opened.enter_context(open_file(r["path"])) if r["first"] == 0 and data_offset(r["header"]) > DATA_OFFSET else None
+            yield slab_batch(r, file, own, r["first"], r["count"], logged, arrow)
+
+
 def read_planes(r: dict, file, first: int, count: int) -> np.ndarray:
     """Planes of one image as uint16; scaled values are truncated."""
     kind, scaling = voxel_type(r["header"]), scaling_of(r["header"])
@@ -570,8 +634,9 @@ def rewrite_ranges(
     prefix: str = "",
     origin: float | None = None,
     in_place: bool | None = None,
+    read: Step | None = None,
 ) -> DataFrame:
-    """Read ranges, change their planes and write them, all in one task; runs at once.
+    """Read ranges, change their planes and write them, all in one task; runs at once. ``read`` replaces the plain reading.
 
     Where files cannot be written in place, the ranges of a part go to one task; only these
     few-byte rows move, never voxels.
@@ -581,7 +646,7 @@ def rewrite_ranges(
         planned = ranges.agg(F.sum(F.col("count") * F.get("dims", F.lit(0)) * F.get("dims", F.lit(1)) * 2)).first()[0] or 0
         n = max(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned // PART_BYTES)
         ranges = ranges.repartition(n, *_parts("first")).sortWithinPartitions("path", "first")
-    return _committed(target, ranges, read_step(origin), *changes, target.write_step(origin))
+    return _committed(target, ranges, read or read_step(origin), *changes, target.write_step(origin))
 
 
 def write_status(written: DataFrame) -> DataFrame:

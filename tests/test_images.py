@@ -242,3 +242,76 @@ def test_empty_folder_and_wrong_input(spark, tmp_path):
         images.write(spark.range(3), f"{tmp_path}/out")
     with pytest.raises(Exception, match="not raise, skip or keep"):
         images.read(spark, f"{tmp_path}/in", unreadable="maybe").count()
+
+
+# --------------------------------------------------------- shared donor reads
+
+
+class Counted:
+    """A file that notes what is read of it; ``log`` is set by the test."""
+
+    log: list
+
+    def __init__(self, path):
+        self.path, self.file = os.path.basename(path), stores.open_input(path)
+
+    def size(self):
+        return self.file.size()
+
+    def read_at(self, count, at):
+        if at:
+            self.log.append((self.path, at))
+        return self.file.read_at(count, at)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+
+@pytest.mark.parametrize("policy", ["per_iteration", "per_block"])
+def test_donor_ranges_are_read_once_for_many_targets(spark, tmp_path, monkeypatch, policy):
+    arrays = random_images(tmp_path / "in", 6, (4, 4, 9))
+    draws = [(b, it, 2 if policy == "per_iteration" or b % 2 else 4) for b in range(6) for it in range(5)]
+    blocks = nifti.block_table(spark, f"{tmp_path}/in")
+    names = {r.block_id: r.path for r in blocks.collect()}
+    donors = spark.createDataFrame([(b, [(names[d], list(range(5)))]) for b, d in {(b, d) for b, _, d in draws}], "block_id bigint, donors array<struct<path:string,its:array<bigint>>>")
+    # Three planes of six images fit: one group per three planes.
+    ranges = nifti.shared_ranges(blocks.join(donors, "block_id"), group_bytes=6 * 3 * 4 * 4 * 2)
+    rows = ranges.where("first = 0").orderBy("first", "group", "block_id").toArrow().to_batches()
+    step = nifti.shared_step(1.0)
+    monkeypatch.setattr(nifti, "open_file", Counted)
+    Counted.log = []
+    out = {}
+    for batch in step(rows):
+        for r in batch.to_pylist():
+            out.setdefault(r["block_id"], []).append(np.frombuffer(r["payload"], "<u2"))
+            assert r["slab"] or [c["func"] for c in r["calls"]] == ["load"] + ["increment"] * 5
+    own = 6
+    assert len(Counted.log) == own + len({d for _, _, d in draws})
+    for b, planes in out.items():
+        given = arrays[2 if policy == "per_iteration" or b % 2 else 4].astype(int)
+        want = ((arrays[b].astype(int) + 5 * given) % 65536)[:, :, : len(planes)]
+        assert (np.stack([p.reshape(4, 4).T for p in planes], axis=2) == want).all()
+
+
+def test_groups_are_bounded(spark, tmp_path):
+    random_images(tmp_path / "in", 7, (4, 4, 9))
+    blocks = nifti.block_table(spark, f"{tmp_path}/in")
+    for size in (1, 4 * 4 * 2 * 3, 10**6):
+        ranges = nifti.shared_ranges(blocks, group_bytes=size)
+        rows = ranges.groupBy("first", "group").agg(F.sum(F.col("count") * 32).alias("bytes"), F.count("*").alias("n")).collect()
+        assert all(r.bytes <= max(size, 32) for r in rows) and sum(r.n for r in rows) == ranges.count()
+        assert ranges.agg(F.sum("count")).first()[0] == 63
+        if size == 10**6:
+            assert {r.n for r in rows} == {7}
+
+
+def test_multi_increment_on_a_store_without_positions(spark, other):
+    arrays = random_images(other / "in", 4, (4, 4, 9))
+    draws = spark.createDataFrame([(b, it, (b + 1) % 4) for b in range(4) for it in range(3)], "block_id bigint, it bigint, donor bigint")
+    done = jobs.multi_increment_job(spark, "/data/in", "/data/added", 3, draws=draws)
+    assert {r.status for r in done.collect()} == {"SUCCESS"}
+    for b in range(4):
+        assert (read_image(f"{other}/added/b{b:02d}.nii")[0] == (arrays[b].astype(int) + 3 * arrays[(b + 1) % 4]) % 65536).all()
