@@ -136,18 +136,86 @@ def cohort_job_participants(spark, sf_dir):
     return jobs.cohort_job(spark, source + "/sub-all/set", cv.THRESHOLD)[1]
 
 
+def _participant(person):
+    """Foreground, number and maximum of a participant's voxels, a plane at a time."""
+    volume, voxels, brightest = 0, 0, 0
+    for image in person.images:
+        for planes in image.planes(1):
+            volume, voxels = volume + int((planes > cv.THRESHOLD).sum()), voxels + planes.size
+            brightest = max(brightest, int(planes.max()))
+    return {"volume": volume, "voxels": voxels, "brightest": brightest}
+
+
+def _site(site, rows):
+    volumes = [r["volume"] for r in rows]
+    return {"participants": len(volumes), "mean_volume": sum(volumes) / len(volumes)}
+
+
+def _participants(spark, sf_dir, run=None):
+    source = _new_folder(spark, "cohort")
+    nifti.write_blocks(tables.cohort_slabs(spark, sf_dir), source, below="/data")
+    result, group = "volume bigint, voxels bigint, brightest bigint", "participants bigint, mean_volume double"
+    return jobs.participant_job(spark, source, _participant, result, _site, group, run)
+
+
+@query(
+    "per_participant",
+    with_views(
+        "plane",
+        body=f"""select 'site-' || cast(block_id % 5 as varchar) as site, cast(block_id as varchar) as subject,
+                   count(*) filter (where v > {cv.THRESHOLD}) as volume, count(*) as voxels, max(v) as brightest,
+                   cast(null as varchar) as error from plane group by block_id""",
+    ),
+)
+def per_participant(spark, sf_dir):
+    return _participants(spark, sf_dir)[0]
+
+
+@query(
+    "per_site",
+    with_views(
+        "plane", c=_COHORT,
+        body="""select site, count(*) as participants, cast(sum(volume) as double) / count(*) as mean_volume,
+                  cast(null as varchar) as error from c group by site""",
+    ),
+)
+def per_site(spark, sf_dir):
+    return _participants(spark, sf_dir)[1]
+
+
+def _emitted(app, images, whole=(), parameters="", named="name"):
+    """SQL for the calls of one application: some per image, some under one name for all."""
+    label = f"'spark:{app}:n_worker=4{parameters}' as label"
+    parts = [f"select {label}, cast({named if f == 'run_participant' else 'name'} as varchar) as filename, '{f}' as func from plane" for f in images]
+    return parts + [f"select {label}, '{name}' as filename, '{f}' as func" for f, name in whole]
+
+
 @query(
     "trace_emit",
     with_views(
         "plane",
-        body="""select distinct 'spark:increment:n_worker=4:iterations=2' as label, name as filename, func, true as ok
-                from plane cross join (select unnest(['load', 'increment', 'dump']) as func)""",
+        e=" union ".join(
+            _emitted("increment", ["load", "increment", "dump"], parameters=":iterations=2")
+            + _emitted("multi-increment", ["load", "increment", "dump"], parameters=":iterations=1:seed=1234")
+            + _emitted("histogram", ["load", "flatten", "calculate_histogram"], [("combine_histogram", "all_file"), ("save_histogram", "all_file")])
+            + _emitted("kmeans", ["load", "classify_block", "dump"], [("get_labels", "all"), ("update_centroids", "all")], ":iterations=3")
+            + _emitted("bids", ["load", "run_participant"], [("run_group", "all_file")], named="block_id")
+        ),
+        body="select label, filename, func, true as ok from e",
     ),
 )
 def trace_emit(spark, sf_dir):
-    logs = _new_folder(spark, "logs")
+    logs, images = _new_folder(spark, "logs"), cv._files(spark, sf_dir)
     run = jobs.Run({"n_worker": 4}, logs)
-    jobs.increment_job(spark, cv._files(spark, sf_dir), _new_folder(spark, "traced"), iterations=2, run=run)
+    jobs.increment_job(spark, images, _new_folder(spark, "traced"), iterations=2, run=run)
+    ids = nifti.block_table(spark, images).select("block_id")
+    draws = ids.select("block_id", F.lit(0).cast("bigint").alias("it"), F.pmod(F.col("block_id") + 1, ids.agg(F.count(F.lit(1))).scalar()).alias("donor"))
+    jobs.multi_increment_job(spark, images, _new_folder(spark, "traced"), 1, draws=draws, run=run)
+    jobs.histogram_job(spark, images, _new_folder(spark, "traced"), run=run)
+    jobs.kmeans_job(spark, images, _new_folder(spark, "traced"), run=run)
+    cohort = _new_folder(spark, "cohort")
+    nifti.write_blocks(tables.cohort_slabs(spark, sf_dir), cohort, below="/data")
+    jobs.cohort_job(spark, cohort, cv.THRESHOLD, run)
     calls = traces.scan_traces(spark, logs)
     sound = F.bool_and((F.col("end_us") >= F.col("start_us")) & F.col("worker").isNotNull() & (F.col("process") > 0))
     return calls.groupBy("label", "filename", "func").agg(sound.alias("ok"))

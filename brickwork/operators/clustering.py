@@ -7,7 +7,8 @@ the voxels into counts per intensity; every iteration then runs on those few row
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,15 +49,22 @@ def update_centroids(stats: DataFrame, count: int) -> DataFrame:
     return merged.select("k", (F.col("s").cast("double") / divisor).alias("c"))
 
 
-def fit_frequency(frequency: DataFrame, count: int = 3, iterations: int = 3) -> list[float]:
-    """Lloyd iterations on a frequency table, without a convergence test."""
+def fit_frequency(
+    frequency: DataFrame, count: int = 3, iterations: int = 3, log: Callable[[str, float], None] | None = None
+) -> list[float]:
+    """Lloyd iterations on a frequency table, without a convergence test; ``log`` gets name and begin of every call."""
+    log = log or (lambda func, began: None)
     stored = materialize(frequency, "frequency")
     centroids = centroid_values(linspace_centroids(stored.agg(F.min("v").alias("lo"), F.max("v").alias("hi")), count))
     if not centroids:
         raise ValueError("there are no voxels to cluster")
     for _ in range(iterations):
+        began = time.time()
         found = {row.k: row for row in cluster_stats(stored, centroids).collect()}
+        log("get_labels", began)
+        began = time.time()
         centroids = [float(found[k].s) / float(found[k].n) if k in found else 0.0 for k in range(count)]
+        log("update_centroids", began)
     return centroids
 
 

@@ -13,10 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from brickwork import schemas
 from brickwork.functions.batches import Step, chain, column, pack, replaced, unpack
 from brickwork.functions.intensity import BINS, LEVELS
+from brickwork.session import materialize
 from brickwork.sources import nifti
 from brickwork.sources.nifti import call
 
@@ -54,38 +57,90 @@ def classify_step(centroids: Sequence[float], origin: float | None = None) -> St
     return change_step("classify_block", lambda v: table[v], origin)
 
 
-def count_step() -> Step:
-    """Number of voxels per intensity; a task keeps one counter each and yields at most 65,536 rows."""
+def _logged(batch: pa.RecordBatch, began: float, origin: float, *funcs: tuple[str, Callable[[str], str]]) -> list[dict]:
+    """Calls that a batch brings, and one of each function for every image in it, named by its path."""
+    calls = [c for row in column(batch, "calls").to_pylist() for c in row or ()]
+    paths = column(batch, "path").to_pylist()
+    for i, path in enumerate(paths):
+        if i == 0 or path != paths[i - 1]:
+            calls += [call(func, name(path), began, origin) for func, name in funcs]
+    return calls
+
+
+def _own_name(path: str) -> str:
+    return path
+
+
+def count_step(origin: float | None = None) -> Step:
+    """Number of voxels per intensity; a task keeps one counter each and yields at most 65,536 rows.
+
+    With ``origin``, rows without intensity carry the calls.
+    """
+    arrow = to_arrow_schema(COUNTS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS, np.int64)
         for batch in batches:
-            total += np.bincount(unpack(batch)[0], minlength=LEVELS)
+            began = time.time()
+            values = unpack(batch)[0]
+            flat = time.time()
+            total += np.bincount(values, minlength=LEVELS)
+            if origin is not None and len(batch):
+                calls = _logged(batch, began, origin, ("flatten", _own_name), ("calculate_histogram", _own_name))
+                for c in calls:  # one ends where the other begins
+                    if c["func"] in ("flatten", "calculate_histogram"):
+                        c["end_us" if c["func"] == "flatten" else "start_us"] = round((flat - origin) * 1e6)
+                yield pa.RecordBatch.from_pylist([{"v": None, "n": 0, "calls": calls}], schema=arrow)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["v", "n"])
+        none = pa.nulls(len(seen), arrow.field("calls").type)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen]), none], schema=arrow)
 
     return run
 
 
-def volume_step(threshold: int) -> Step:
-    """Foreground voxels per plane, and whether its bytes contradict its dimensions."""
+def volume_step(threshold: int, origin: float | None = None) -> Step:
+    """Foreground voxels per plane, and whether its bytes contradict its dimensions.
+
+    With ``origin``, rows without block carry the calls, which name the participant.
+    """
+    arrow = to_arrow_schema(VOLUMES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            began = time.time()
             values, starts = unpack(batch)
             above = np.concatenate([[0], np.cumsum(values > threshold)])
             sizes = [d[0] * d[1] for d in column(batch, "dims").to_pylist()]
             bad = (np.diff(starts) != sizes).astype(np.int64)
             volume = above[starts[1:]] - above[starts[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "block_id"), pa.array(volume, pa.int64()), pa.array(bad)],
-                names=["block_id", "volume", "bad"],
-            )
+            none = pa.nulls(len(batch), arrow.field("calls").type)
+            yield pa.RecordBatch.from_arrays([column(batch, "block_id"), pa.array(volume, pa.int64()), pa.array(bad), none], schema=arrow)
+            if origin is not None and len(batch):
+                calls = _logged(batch, began, origin, ("run_participant", subject_in))
+                yield pa.RecordBatch.from_pylist([{"block_id": None, "volume": 0, "bad": 0, "calls": calls}], schema=arrow)
 
     return run
 
 
-COUNTS, VOLUMES = "v bigint, n bigint", "block_id bigint, volume bigint, bad bigint"
+def subject_in(path: str) -> str:
+    """Participant that an image path names: what follows the last hyphen of its ``sub-`` folder."""
+    folders = [f for f in path.split("/")[:-1] if f.startswith("sub-")]
+    return folders[0].split("-")[-1] if folders else path
+
+
+_CALLS = T.StructField("calls", T.ArrayType(schemas.CALL))
+#: What reducing steps yield. Rows with null in the first column carry calls and nothing else.
+COUNTS = T.StructType([T.StructField("v", T.LongType()), T.StructField("n", T.LongType()), _CALLS])
+VOLUMES = T.StructType([*[T.StructField(c, T.LongType()) for c in ("block_id", "volume", "bad")], _CALLS])
+
+
+def traced(partials: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Partial results and calls of a reducing step, from one stored table.
+
+    A task that is repeated adds to the table once, so its calls are logged once.
+    """
+    stored = materialize(partials, "partials")
+    return stored.where(F.col(stored.columns[0]).isNotNull()), stored.where(F.col("calls").isNotNull())
 
 
 def increment_slabs(slabs: DataFrame, amount: int = 1) -> DataFrame:
@@ -108,9 +163,14 @@ def slab_frequency(slabs: DataFrame) -> DataFrame:
     return merge_counts(chain(slabs.where(F.col("error").isNull()).select("payload"), COUNTS, count_step()))
 
 
+def range_counts(ranges: DataFrame, origin: float | None = None) -> DataFrame:
+    """Partial counts of image ranges, and with ``origin`` the calls; voxels are counted where they are read."""
+    return chain(ranges, COUNTS, nifti.read_step(origin), count_step(origin))
+
+
 def range_frequency(ranges: DataFrame) -> DataFrame:
-    """Number of voxels per intensity of image ranges; voxels are counted where they are read."""
-    return merge_counts(chain(ranges, COUNTS, nifti.read_step(), count_step()))
+    """Number of voxels per intensity of image ranges."""
+    return merge_counts(range_counts(ranges))
 
 
 def bin_frequency(frequency: DataFrame) -> DataFrame:
@@ -118,7 +178,8 @@ def bin_frequency(frequency: DataFrame) -> DataFrame:
     return frequency.select(F.least("v", F.lit(BINS - 1).cast("bigint")).alias("bin"), "n")
 
 
-def _merge_volumes(counted: DataFrame) -> DataFrame:
+def merge_volumes(counted: DataFrame) -> DataFrame:
+    """Foreground voxels per block, from partial volumes."""
     totals = counted.groupBy("block_id").agg(F.sum("volume").alias("volume"), F.sum("bad").alias("bad"))
     fits = F.col("bad") == 0
     return totals.select(
@@ -133,12 +194,17 @@ def slab_volume(slabs: DataFrame, threshold: int) -> DataFrame:
 
     A plane whose bytes do not fit its dimensions gives an error instead of a count.
     """
-    return _merge_volumes(chain(slabs.select("block_id", "payload", "dims"), VOLUMES, volume_step(threshold)))
+    return merge_volumes(chain(slabs.select("block_id", "payload", "dims"), VOLUMES, volume_step(threshold)))
 
 
 def range_volume(ranges: DataFrame, threshold: int) -> DataFrame:
     """As :func:`slab_volume`, for image ranges."""
-    return _merge_volumes(chain(ranges, VOLUMES, nifti.read_step(), volume_step(threshold)))
+    return merge_volumes(range_volumes(ranges, threshold))
+
+
+def range_volumes(ranges: DataFrame, threshold: int, origin: float | None = None) -> DataFrame:
+    """Partial volumes of image ranges, and with ``origin`` the calls."""
+    return chain(ranges, VOLUMES, nifti.read_step(origin), volume_step(threshold, origin))
 
 
 def slab_nearest_rows(slabs: DataFrame, centroids: Sequence[float]) -> DataFrame:
@@ -189,4 +255,4 @@ def flatten_slabs(slabs: DataFrame) -> DataFrame:
 def call_rows(written: DataFrame) -> DataFrame:
     """Trace rows collected while slabs were read, changed and written."""
     names = [f.name for f in schemas.CALL.fields]
-    return written.select(F.inline("calls").alias(*names))
+    return written.where(F.size("calls") > 0).select(F.inline("calls").alias(*names))

@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brickwork import schemas
-from brickwork.operators import clustering, cohort, lanes, runs, slabs, trace, voxels
+from brickwork.operators import clustering, cohort, lanes, participants, runs, slabs, trace, voxels
 from brickwork.session import materialize
 from brickwork.sources import listing, nifti, traces
 
@@ -30,13 +31,15 @@ class Run:
     def origin(self) -> float | None:
         return time.time() if self.trace_folder else None
 
-    def log(self, app: str, written: DataFrame, **params: object) -> None:
-        """Append the calls gathered by a job."""
+    def log(self, app: str, written: DataFrame, own: Sequence[dict] = (), **params: object) -> None:
+        """Append the calls gathered by a job, in the column ``calls`` of what its tasks stored, and the driver's ``own``."""
         if not self.trace_folder:
             return
         pairs = {**self.label, **params}
         label = ":".join(["spark", app, *(f"{k}={v}" for k, v in pairs.items())])
         calls = slabs.call_rows(written)
+        if own:
+            calls = calls.unionByName(written.sparkSession.createDataFrame(list(own), schemas.CALL))
         named = calls.withColumn("label", F.lit(label)).withColumn("run_id", F.lit(str(uuid.uuid4())))
         traces.write_trace(named, self.trace_folder)
 
@@ -111,15 +114,31 @@ def multi_increment_job(
     return _status(written, blocks)
 
 
-def histogram_job(spark: SparkSession, source: str, target: str, unreadable: str = "raise") -> DataFrame:
+def histogram_job(spark: SparkSession, source: str, target: str, unreadable: str = "raise", run: Run | None = None) -> DataFrame:
     """Dense histogram of all images, also written as ``histogram.csv``.
 
     An image that can't be read ends the job, unless ``unreadable`` is ``"skip"``.
     """
+    run = run or Run()
+    origin = run.origin()
     ranges = nifti.plane_ranges(nifti.complete(nifti.block_table(spark, source), unreadable))
-    counts = materialize(voxels.dense_histogram(slabs.bin_frequency(slabs.range_frequency(ranges))), "histogram")
-    traces.write_histogram(counts, target)
-    return counts
+    counts, calls = _partials(slabs.range_counts(ranges, origin), origin)
+    own, began = [], time.time()
+    bins = slabs.bin_frequency(slabs.merge_counts(counts))
+    total = materialize(voxels.dense_histogram(bins), "histogram")
+    if origin is not None:
+        own.append(nifti.call("combine_histogram", "all_file", began, origin))
+    began = time.time()
+    traces.write_histogram(total, target)
+    if origin is not None:
+        own.append(nifti.call("save_histogram", "all_file", began, origin))
+        run.log("histogram", calls, own)
+    return total
+
+
+def _partials(partials: DataFrame, origin: float | None) -> tuple[DataFrame, DataFrame | None]:
+    """Partial results of a reducing step, and its calls where the run is traced."""
+    return (partials, None) if origin is None else slabs.traced(partials)
 
 
 def kmeans_job(
@@ -130,25 +149,63 @@ def kmeans_job(
     origin = run.origin()
     blocks = nifti.block_table(spark, source)
     ranges = nifti.plane_ranges(blocks)
-    centroids = clustering.fit_frequency(slabs.range_frequency(ranges), count, iterations)
+    counts, calls = _partials(slabs.range_counts(ranges, origin), origin)
+    own: list[dict] = []
+    note = None if origin is None else lambda func, began: own.append(nifti.call(func, "all", began, origin))
+    centroids = clustering.fit_frequency(slabs.merge_counts(counts), count, iterations, note)
     label = slabs.classify_step(centroids, origin)
     written = nifti.rewrite_ranges(ranges, target, label, prefix="classified-", origin=origin)
-    run.log("kmeans", written, iterations=iterations)
+    if origin is not None:
+        first = calls.select(F.filter("calls", lambda c: c["func"] == "load").alias("calls"))
+        run.log("kmeans", written.select("calls").unionByName(first), own, iterations=iterations)
     return centroids, _status(written, blocks)
 
 
-def cohort_job(spark: SparkSession, source: str, threshold: int) -> tuple[DataFrame, DataFrame]:
+def cohort_job(spark: SparkSession, source: str, threshold: int, run: Run | None = None) -> tuple[DataFrame, DataFrame]:
     """Volumes per image and, over participants, means per site of a tree ``<site>/sub-<id>/…``."""
+    run = run or Run()
+    origin = run.origin()
     blocks = nifti.block_table(spark, source, recursive=True)
-    counted = slabs.range_volume(nifti.plane_ranges(blocks), threshold)
+    partial, calls = _partials(slabs.range_volumes(nifti.plane_ranges(blocks), threshold, origin), origin)
     unread = blocks.where(F.col("error").isNotNull()).select(
         "block_id", F.lit(None).cast("bigint").alias("volume"), "error"
     )
     images = listing.subject_images(blocks, listing.qualified(spark, source))
     ids = blocks.select("path", F.col("block_id").alias("image_id"))
-    volumes = cohort.participant_volume(images.join(ids, "path"), counted.unionByName(unread))
+    volumes = cohort.participant_volume(images.join(ids, "path"), slabs.merge_volumes(partial).unionByName(unread))
     stored = materialize(volumes, "volumes")
-    return stored, cohort.site_mean_volume(stored)
+    means = cohort.site_mean_volume(stored)
+    if origin is not None:
+        began = time.time()
+        means = materialize(means, "means")
+        run.log("bids", calls, [nifti.call("run_group", "all_file", began, origin)])
+    return stored, means
+
+
+def participant_job(
+    spark: SparkSession,
+    source: str,
+    function: participants.Function,
+    schema: T.StructType | str,
+    group: participants.GroupFunction | None = None,
+    group_schema: T.StructType | str | None = None,
+    run: Run | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Run ``function`` on every participant of a tree ``<site>/sub-<id>/…`` and then ``group`` on every site.
+
+    Returns the results per participant and per site, with ``error`` where a function, or an image, failed.
+    """
+    run = run or Run()
+    origin = run.origin()
+    blocks = nifti.block_table(spark, source, recursive=True)
+    images = listing.subject_images(blocks, listing.qualified(spark, source)).join(blocks, "path")
+    done = materialize(participants.per_participant(images, function, schema, origin), "participants")
+    calls, sites = done.select("calls"), None
+    if group is not None:
+        sites = materialize(participants.per_site(done.drop("calls"), group, group_schema, origin), "sites")
+        calls = calls.unionByName(sites.select("calls"))
+    run.log("bids", calls)
+    return done.drop("calls"), None if sites is None else sites.drop("calls")
 
 
 @dataclass
