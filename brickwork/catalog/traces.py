@@ -55,6 +55,19 @@ def trace_merge(spark, sf_dir):
     return traces.scan_traces(spark, merged).select(*_FILE_COLUMNS)
 
 
+@query("trace_merge_logs", _FILE_ROWS)
+def trace_merge_logs(spark, sf_dir):
+    """Logs of half the workers, merged twice; then all logs, of which those of the first half have grown."""
+    folder, merged = scratch_path(spark, "raw"), scratch_path(spark, "merged")
+    calls = _trace(spark, sf_dir)
+    traces.write_logs(calls.where("thread % 4 = 0"), folder)
+    traces.merge_logs(spark, folder, merged)
+    traces.merge_logs(spark, folder, merged)
+    traces.write_logs(calls, folder)
+    traces.merge_logs(spark, folder, merged)
+    return traces.scan_merged(spark, merged).select(*_FILE_COLUMNS)
+
+
 @query("run_catalog", with_views("trace", body="select distinct label, run_id, framework from trace"))
 def run_catalog(spark, sf_dir):
     return traces.run_catalog(traces.list_trace_files(spark, _logs(spark, sf_dir)))

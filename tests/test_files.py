@@ -310,3 +310,53 @@ def test_more_than_three_dimensions(spark, tmp_path):
     assert struct.unpack_from("<8h", written, 40) == (4, 3, 5, 2, 2, 1, 1, 1)
     expected = (array.astype(np.int64) + 1).astype("<u2").ravel(order="F")
     assert np.array_equal(np.frombuffer(written, "<u2", offset=352), expected)
+
+
+def log_names(spark, folder):
+    rows = traces.scan_merged(spark, folder).orderBy("seq").collect()
+    return [(r.label, r.run_id, r.func, r.start_us) for r in rows]
+
+
+@pytest.mark.parametrize("run_id", ["run-1", "run-[1]"])
+def test_merging_raw_logs_is_incremental_and_safe(spark, tmp_path, monkeypatch, run_id):
+    raw, merged = tmp_path / "benchmarks", f"{tmp_path}/merged"
+    run = raw / "spark:increment:n_worker=4:block_size='5000'" / run_id
+    run.mkdir(parents=True)
+    (run / "a.log").write_text("load,0.5,1.25,x.nii,h,1,2\ndump,1.5,2,x.nii,h,1,2\n")
+    (run / "b.log").write_text("")
+    label = run.parent.name
+    first = [(label, run_id, "load", S // 2), (label, run_id, "dump", 3 * S // 2)]
+    assert traces.scan_merged(spark, merged).count() == 0
+    assert traces.merge_logs(spark, str(raw), merged) == 1 and log_names(spark, merged) == first
+    assert traces.merge_logs(spark, str(raw), merged) == 0 and log_names(spark, merged) == first
+    # A log grows, an empty one gets lines, a run is new: three logs are merged, and nothing doubles.
+    with open(run / "a.log", "a") as f:
+        f.write("dump,3,4,y.nii,h,1,2\n")
+    (run / "b.log").write_text("load,5,6,z.nii,h,9,2\n")
+    other = raw / "dask:histogram" / "r2"
+    other.mkdir(parents=True)
+    (other / "w.log").write_text("load,7,8,z.nii,h,9,2\n")
+    # The merge fails before the manifest is written: what it wrote is not read.
+    with monkeypatch.context() as m:
+        m.setattr(traces.time, "time_ns", lambda: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            traces.merge_logs(spark, str(raw), merged)
+    assert log_names(spark, merged) == first
+    assert traces.merge_logs(spark, str(raw), merged) == 3
+    want = [("dask:histogram", "r2", "load", 7 * S), *first, (label, run_id, "dump", 3 * S), (label, run_id, "load", 5 * S)]
+    assert log_names(spark, merged) == want
+    # Logs that are gone stay merged.
+    (run / "a.log").unlink()
+    assert traces.merge_logs(spark, str(raw), merged) == 0 and log_names(spark, merged) == want
+
+
+def test_merged_files_are_sized_by_bytes(spark, tmp_path):
+    names = "func string, start_us bigint, end_us bigint, filename string, worker string, thread bigint, process bigint, label string, run_id string"
+    rows = [("f", i * S, i * S + 1, "x", f"w{i % 30}", 1, 2, "spark:a", "hot" if i % 3 else f"r{i % 5}") for i in range(3000)]
+    traces.write_logs(spark.createDataFrame(rows, names), f"{tmp_path}/raw")
+    size = traces.list_logs(spark, f"{tmp_path}/raw").agg(F.sum("length")).first()[0]
+    traces.merge_logs(spark, f"{tmp_path}/raw", f"{tmp_path}/merged", file_bytes=size // 6)
+    files = listing.list_files(spark, f"{tmp_path}/merged", "part-*.parquet", True).where("path like '%batch=%'").count()
+    assert 5 <= files <= 7
+    found = traces.scan_merged(spark, f"{tmp_path}/merged").groupBy("run_id", "worker").count().collect()
+    assert sum(r["count"] for r in found) == 3000 and len(found) == len({(r[8], r[4]) for r in rows})
