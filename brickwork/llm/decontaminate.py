@@ -9,7 +9,8 @@ the words that may differ are placed in a window, some seed of it is untouched (
 
 Words are runs of letters and digits, in lower case. Items without words, among them null and empty ones, have no
 seeds and contaminate nothing. Null and empty texts are clean. Rows of one doc_id are told apart by
-their text; repeated rows get equal results. An empty table on either side gives clean documents.
+their text; repeated rows get equal results. Items of one id count as one, whichever of their texts is held; a null id
+is an id like others. A word that is an item by itself marks every text that holds it. An empty table on either side gives clean documents.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     hits = materialize(hits, "hits")
     # Few documents are hit: their texts and items are fetched only now.
     texts = own.join(hits.select("_id", "_print").distinct(), ["_id", "_print"], "left_semi").dropDuplicates(["_id", "_print"])
-    laid = hits.join(tests, "_item").join(texts.select("_id", "_print", words(F.col("_text")).alias("_own")), ["_id", "_print"])
+    laid = hits.join(tests.withColumnRenamed("_item", "_own_item"), F.col("_item").eqNullSafe(F.col("_own_item"))).join(texts.select("_id", "_print", words(F.col("_text")).alias("_own")), ["_id", "_print"])
     share = F.array_max(F.transform("shifts", lambda s: _share(F.col("_own"), F.col("_words"), s)))
     laid = laid.select("_id", "_print", "_item", share.alias("share"))
     return laid.where(F.col("share") >= MIN_SHARE)
@@ -128,7 +129,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """Key, ``contaminated``, ``n_items``, and the item of greatest overlap (least id on ties) with its ``share``."""
     verified = overlaps(docs, benchmark, key, text, item, item_text)
     best = verified.groupBy("_id", "_print").agg(
-        F.countDistinct("_item").alias("n_items"), F.max("share").alias("share"), F.min_by("_item", F.struct(-F.col("share"), F.col("_item"))).alias("item_id")
+        F.countDistinct(F.struct("_item")).alias("n_items"), F.max("share").alias("share"), F.min_by("_item", F.struct(-F.col("share"), F.col("_item"))).alias("item_id")
     )
     rows = docs.select(F.col(key).alias("_key"), _key(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_print"))
     out = rows.join(best, ["_id", "_print"], "left")

@@ -23,6 +23,7 @@ from brickwork.llm import anchors as A
 from brickwork.llm import blocks as B
 from brickwork.llm import kernels as K
 from brickwork.llm.components import components
+from brickwork.llm.native import unused
 from brickwork.session import materialize
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.995
@@ -173,7 +174,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = G
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One document of each group, the one of least id; columns as they are. Of repeated rows, one stays."""
-    kept = join(docs, key, text, gram, threshold, recall).where(F.col("rid") == F.col("_keeper")).select(F.col("rid").alias("_rid")).distinct()
+    rid = unused(docs, "_rid")
+    kept = join(docs, key, text, gram, threshold, recall).where(F.col("rid") == F.col("_keeper")).select(F.col("rid").alias(rid)).distinct()
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.withColumn("_rid", F.xxhash64(F.col(key), value))
-    return rows.join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).drop("_rid")
+    rows = docs.withColumn(rid, F.xxhash64(F.col(key), value))
+    return rows.join(kept, rid, "left_semi").dropDuplicates([rid]).select(*[F.col(f"`{c}`") for c in docs.columns])

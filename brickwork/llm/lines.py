@@ -29,6 +29,7 @@ from brickwork.llm import anchors as A
 from brickwork.llm import blocks as B
 from brickwork.llm import kernels as K
 from brickwork.llm.jaccard import grams
+from brickwork.llm.native import unused
 from brickwork.session import materialize
 
 GRAM, THRESHOLD = 5, 0.8
@@ -273,8 +274,8 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: in
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without their removed lines, other columns as they are. Documents that lose all lines keep an empty text."""
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lists = _lists(A.keyed(docs, key, text), gram, threshold).withColumnRenamed("rid", "_rid").withColumnRenamed("removed", "_removed")
-    rows = docs.withColumn("_rid", F.xxhash64(F.col(key), value)).join(lists, "_rid", "left")
-    kept = F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda s, i: F.when(~F.array_contains("_removed", i), s)), lambda s: s.isNotNull()), "\n")
-    return rows.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    value, rid, gone = F.coalesce(F.col(text).cast("string"), F.lit("")), unused(docs, "_rid"), unused(docs, "_removed")
+    lists = _lists(A.keyed(docs, key, text), gram, threshold).withColumnsRenamed({"rid": rid, "removed": gone})
+    rows = docs.withColumn(rid, F.xxhash64(F.col(key), value)).join(lists, rid, "left")
+    kept = F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda s, i: F.when(~F.array_contains(gone, i), s)), lambda s: s.isNotNull()), "\n")
+    return rows.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from a small labelled table by gradient ascent and decoded by Viterbi, both in N
 A run of words with one label becomes a span unless it touches a base span; base spans always stay.
 
 Sentences end at a line feed or after a word that ends in ``.``, ``!`` or ``?``; a sentence of over 512 words is
-decoded in parts. Null and empty texts have no spans. Offsets count code points, the end is exclusive.
+decoded in parts that overlap. Null and empty texts have no spans. Offsets count code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -91,7 +91,8 @@ _COLUMNS = int(_SIZES.sum())
 _STRIDE = np.r_[1, np.cumprod(_SIZES)[:-1]]
 _FIRST = np.r_[0, np.cumsum(_SIZES)[:-1]]
 _STATES = len(KINDS) + 1
-_LONGEST = 512
+#: Words that are decoded at a time, and on either side of them those that are decoded with them.
+_LONGEST, _AROUND = 512, 32
 
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
@@ -271,6 +272,27 @@ def viterbi(table: np.ndarray, pair: np.ndarray, shape: np.ndarray, first: np.nd
     return out
 
 
+def labels(table: np.ndarray, pair: np.ndarray, shape: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """As :func:`viterbi`; a sentence of over ``_LONGEST`` words in parts that share ``_AROUND`` words with their neighbours.
+
+    Each part is decoded with the words around it, whose labels then come from the part that they belong to.
+    """
+    n, heads = len(shape), np.flatnonzero(first)
+    size = np.diff(np.r_[heads, n])
+    if n == 0 or size.max() <= _LONGEST:
+        return viterbi(table, pair, shape, first)
+    parts = -(-size // _LONGEST)
+    owner = np.repeat(np.arange(len(heads)), parts)
+    begin = heads[owner] + K.ranges(np.zeros(len(heads), np.int64), parts) * _LONGEST
+    end = np.minimum(begin + _LONGEST, (heads + size)[owner])
+    low, high = np.maximum(begin - _AROUND, heads[owner]), np.minimum(end + _AROUND, (heads + size)[owner])
+    at = K.ranges(low, high - low)
+    new = np.zeros(len(at), bool)
+    new[np.cumsum(high - low) - (high - low)] = True
+    found = viterbi(table, pair, shape[at], new)
+    return found[(at >= np.repeat(begin, high - low)) & (at < np.repeat(end, high - low))]
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -328,10 +350,7 @@ def _field_spans(buf: np.ndarray, starts: np.ndarray, table: np.ndarray, pair: n
     np.cumsum(buf == 10, out=lines[1:])
     head[1:-1] |= _STOP[buf[end[:-1] - 1]] | (lines[begin[1:]] > lines[end[:-1]])
     head = head[:-1]
-    heads = np.flatnonzero(head)
-    far = np.arange(len(begin)) - np.repeat(heads, np.diff(np.r_[heads, len(begin)]))
-    head |= far % _LONGEST == 0
-    label = viterbi(table, pair, shapes(buf, begin, end), head)
+    label = labels(table, pair, shapes(buf, begin, end), head)
     hit = np.flatnonzero(label)
     if len(hit) == 0:
         return {}

@@ -38,12 +38,11 @@ def op1_suffix_array_dedup(spark, sf_dir):
     r"""
 with w as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from benchmark),
 d as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from documents),
-wp as (select item_id, ws, unnest(range(0, len(ws) - 9)) as q from w),
-dp as (select doc_id, ws, unnest(range(0, len(ws) - 9)) as p from d),
-mask as (select unnest([[1,2,3,5,6,8,9,10], [1,2,4,6,7,8,10]]) as m),
-ws as (select distinct item_id, q, m, list_transform(m, lambda k: ws[q + k]) as seed from wp cross join mask),
-ds as (select doc_id, p, m, list_transform(m, lambda k: ws[p + k]) as seed from dp cross join mask),
-hit as (select distinct doc_id, item_id, p - q as shift from ws join ds using (m, seed)),
+wp as (select item_id, least(2, len(ws)) as n, q, array_to_string(ws[q + 1 : q + least(2, len(ws))], ' ') as g
+  from (select item_id, ws, unnest(range(0, len(ws) - least(2, len(ws)) + 1)) as q from w where len(ws) > 0)),
+dp as (select doc_id, n, p, array_to_string(ws[p + 1 : p + n], ' ') as g
+  from (select doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) as p from d cross join (select unnest([1, 2]) as n))),
+hit as (select distinct doc_id, item_id, p - q as shift from wp join dp using (n, g)),
 laid as (select doc_id, item_id, least(20, len(w.ws)) as size,
     list_transform(range(0, len(w.ws)), lambda j: case when j + shift >= 0 and d.ws[j + shift + 1] = w.ws[j + 1] then 1 else 0 end) as same
   from hit join w using (item_id) join d using (doc_id)),

@@ -314,6 +314,68 @@ def test_decontamination(spark, odd):
     assert decontaminate.clean(docs, tests.limit(0)).columns == docs.columns
 
 
+def test_items_without_id_and_with_two_texts(spark):
+    rng = random.Random(21)
+    one, two, three = (prose(rng, 30) for _ in range(3))
+    tests = spark.createDataFrame([(None, one), (7, two), (7, three)], "item_id long, text string")
+    docs = table(spark, [f"so {one} on", f"{two} and {three}", f"{three}!", "clean words only", f"{one} {two}"])
+    found = by_id(decontaminate.judge(docs, tests))
+    assert {i: (r["contaminated"], r["n_items"], r["item_id"]) for i, r in found.items()} == {
+        0: (True, 1, None), 1: (True, 1, 7), 2: (True, 1, 7), 3: (False, 0, None), 4: (True, 2, None)
+    }
+    assert [r["doc_id"] for r in decontaminate.clean(docs, tests).collect()] == [3]
+
+
+def test_columns_named_as_those_inside(spark, odd):
+    docs = table(spark, odd)
+    for name in ("_rid", "_removed", "_RID", "_id", "_print", "rid", "line", "_keeper", "c"):
+        named = docs.withColumn(name, F.lit(3))
+        for operator in (jaccard.representatives, lines.clean):
+            out = operator(named)
+            assert out.columns == named.columns and {r[name] for r in out.select(name).collect()} == {3}
+            if name == "_removed":
+                assert sorted(map(str, out.drop(name).collect())) == sorted(map(str, operator(docs).collect()))
+
+
+def test_spans_in_long_sentences(spark):
+    call = "call (724) 555-7058"
+    texts = [" ".join(["word"] * n + [call]) + " now" for n in (100, 480, 508, 509, 510, 511, 512, 1022, 5000)]
+    texts.append(" ".join(["word"] * 700))
+    model = pii.train(pii.labelled_table(spark))
+    found = by_id(pii.find(table(spark, texts), model))
+    for i, t in enumerate(texts[:-1]):
+        assert [tuple(s) for s in found[i]["spans"]] == [("phone", t.index("("), t.index(" now"))], i
+    assert not found[len(texts) - 1]["spans"]
+
+
+def test_labels_in_parts():
+    rng = np.random.default_rng(4)
+    exact = lambda *size: (rng.integers(-512, 512, size) / 256).astype(np.float32)  # noqa: E731  (sums without rounding)
+    table = [exact(50, pii._STATES) * k for k in (0.25, 2, 0.25)]
+    pair, shape = exact(pii._STATES, pii._STATES), rng.integers(0, 50, 6000)
+    first = np.zeros(6000, bool)
+    first[[0, 10, 700, 701, 4000]] = True
+    assert (pii.labels(table, pair, shape, first) == pii.viterbi(table, pair, shape, first)).all()
+
+
+def test_viterbi_against_all_labellings():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 5):
+        table = [rng.normal(size=(6, pii._STATES)).astype(np.float32) for _ in range(3)]
+        pair, shape = rng.normal(size=(pii._STATES, pii._STATES)), rng.integers(0, 6, n)
+        first = np.zeros(n, bool)
+        first[0] = True
+
+        def total(y):
+            own = sum(table[1][shape[i]][y[i]] for i in range(n))
+            before = sum(table[0][shape[i - 1]][y[i]] for i in range(1, n))
+            after = sum(table[2][shape[i + 1]][y[i]] for i in range(n - 1))
+            return own + before + after + sum(pair[y[i - 1]][y[i]] for i in range(1, n))
+
+        best = max(itertools.product(range(pii._STATES), repeat=n), key=total)
+        assert tuple(pii.viterbi(table, pair, shape, first)) == best
+
+
 def test_decontamination_masks():
     every = set(decontaminate.MASKS)
     for size in range(1, decontaminate.VERIFIED + 1):
