@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from brickwork.catalog.base import query, with_views
-from brickwork.operators import clustering, cohort, slabs, voxels
+from brickwork.functions.batches import unpack
+from brickwork.operators import clustering, cohort, folds, slabs, voxels
 from brickwork.sources import images, listing, nifti, tables, traces
 from brickwork.session import scratch_path
 
@@ -445,6 +447,47 @@ def slab_volume(spark, sf_dir):
     return slabs.slab_volume(tables.slabs(spark, sf_dir), THRESHOLD).select("block_id", "volume")
 
 
+def _sketch():
+    """Least and greatest intensity, counts of 256 bins, and which intensities occur: states that don't add up."""
+
+    def zero():
+        return 65536, -1, np.zeros(256, np.int64), np.zeros(8192, np.uint8)
+
+    def add(state, batch):
+        values = unpack(batch)[0]
+        seen = np.zeros(65536, bool)
+        seen[values] = True
+        one = (int(values.min()), int(values.max()), np.bincount(values >> 8, minlength=256), np.packbits(seen))
+        return merge(state, one) if len(values) else state
+
+    def merge(a, b):
+        return min(a[0], b[0]), max(a[1], b[1]), a[2] + b[2], a[3] | b[3]
+
+    def finish(state):
+        lo, hi, bins, seen = state
+        n = int(bins.sum())
+        median = int(np.searchsorted(np.cumsum(bins), (n + 1) // 2))
+        return {"lo": lo, "hi": hi, "n": n, "median_bin": median, "distinct": int(np.unpackbits(seen).sum())}
+
+    return zero, add, merge, finish
+
+
+_SKETCH = "lo bigint, hi bigint, n bigint, median_bin bigint, distinct bigint"
+_MEDIAN = """select {0} min(v) as lo, max(v) as hi, count(*) as n,
+    cast(list_sort(list(v // 256))[(count(*) + 1) // 2] as bigint) as median_bin, count(distinct v) as distinct from plane {1}"""
+
+
+@query("fold_per_block", with_views("plane", body=_MEDIAN.format("block_id,", "group by block_id")))
+def fold_per_block(spark, sf_dir):
+    planes = tables.slabs(spark, sf_dir).select("block_id", "payload")
+    return folds.fold(planes, *_sketch(), _SKETCH, by=["block_id"])
+
+
+@query("fold_all", with_views("plane", body=_MEDIAN.format("", "")))
+def fold_all(spark, sf_dir):
+    return folds.fold(tables.slabs(spark, sf_dir).select("payload"), *_sketch(), _SKETCH, fan_in=2)
+
+
 # ----------------------------------------------------------------- filters
 
 
