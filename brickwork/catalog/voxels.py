@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brickwork.catalog.base import query, with_views
-from brickwork.functions.batches import unpack
+from brickwork.functions.batches import chain, unpack
 from brickwork.operators import clustering, cohort, folds, slabs, voxels
 from brickwork.sources import images, listing, nifti, tables, traces
 from brickwork.session import scratch_path
@@ -488,6 +488,12 @@ def fold_all(spark, sf_dir):
     return folds.fold(tables.slabs(spark, sf_dir).select("payload"), *_sketch(), _SKETCH, fan_in=2)
 
 
+@query("map_blocks", with_views("plane", body="select block_id, (x * 8 + y) * depth + z as pos, x, y, z, 65535 - v as v from plane"))
+def map_blocks(spark, sf_dir):
+    planes = tables.slabs(spark, sf_dir)
+    return slabs.flatten_slabs(chain(planes, planes.schema, slabs.change_step("invert", lambda v: 65535 - v)))
+
+
 # ----------------------------------------------------------------- filters
 
 

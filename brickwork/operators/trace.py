@@ -8,7 +8,7 @@ columns that tell runs apart.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ from brickwork.session import broadcast_if_small, materialize, spread
 
 SECOND = 1_000_000
 SAMPLES = 100
+#: A file name is hot from this share of a shuffle partition's rows on: a quarter.
+HOT_SHARES = 4
 #: Length of the stretches of time that calls are dealt out by when points are counted.
 STRETCH_SECONDS = 300
 
@@ -71,9 +73,22 @@ def of_worker(trace: DataFrame, worker: str) -> DataFrame:
 
 
 def same_file_events(trace: DataFrame, selected: DataFrame) -> DataFrame:
-    """All calls on a file that any selected call touched."""
-    names = selected.select("filename").distinct()
-    return trace.join(names, "filename", "left_semi")
+    """All calls on a file that any selected call touched.
+
+    Few names are broadcast. Of many, those that hold a large share of the calls are told apart by a count and broadcast
+    by themselves (there are at most ``HOT_SHARES`` for each shuffle partition); the calls on all others are shuffled.
+    """
+    names = materialize(selected.select("filename").where(F.col("filename").isNotNull()).distinct(), "names")
+    small = broadcast_if_small(names)
+    if small is not names:
+        return trace.join(small, "filename", "left_semi")
+    counts = materialize(trace.where(F.col("filename").isNotNull()).groupBy("filename").agg(F.count(F.lit(1)).alias("_n")), "file_counts")
+    least = counts.agg(F.sum("_n")).first()[0] or 0
+    least /= HOT_SHARES * int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = materialize(counts.where(F.col("_n") > least).select("filename"), "hot_files")
+    chosen = F.broadcast(hot.join(names, "filename", "left_semi"))
+    rest = trace.join(F.broadcast(hot), "filename", "left_anti").join(names, "filename", "left_semi")
+    return trace.join(chosen, "filename", "left_semi").unionByName(rest)
 
 
 # --------------------------------------------------------------- per function
@@ -199,9 +214,12 @@ def makespan(trace: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return trace.groupBy(*by).agg(seconds(F.max("end_us")).alias("makespan"))
 
 
-def metric_rows(trace: DataFrame, by: Sequence[str], overhead: str = "idle") -> DataFrame:
+def metric_rows(
+    trace: DataFrame, by: Sequence[str], overhead: str | Callable[[DataFrame, Sequence[str]], DataFrame] = "idle"
+) -> DataFrame:
     """Long form ``(…by, metric, us)``: the overhead and the total runtime of every function.
 
+    ``overhead`` is ``idle``, ``wasted``, or a function of trace and ``by`` that gives rows ``(…by, us)``; its name is the metric's.
     One pass reduces the calls to (run, function, worker, thread) rows; both parts are built
     from that stored table.
     """
@@ -213,6 +231,10 @@ def metric_rows(trace: DataFrame, by: Sequence[str], overhead: str = "idle") ->
     )
     lanes = small.groupBy(*by, "worker", "thread").agg(F.sum("_busy").alias("_busy"), F.max("_last").alias("_last"))
     known = F.col("worker").isNotNull() & F.col("thread").isNotNull()
+    per_func = small.groupBy(*by, F.col("func").alias("metric")).agg(F.sum("_busy").alias("us"))
+    if callable(overhead):
+        over = overhead(trace, by).select(*by, F.lit(overhead.__name__).alias("metric"), F.col("us").cast("bigint").alias("us"))
+        return over.unionByName(per_func)
     if overhead == "idle":
         value = F.sum(F.when(known, F.col("_last") - F.col("_busy")))
     elif overhead == "wasted":
@@ -220,7 +242,6 @@ def metric_rows(trace: DataFrame, by: Sequence[str], overhead: str = "idle") ->
     else:
         raise ValueError(f"unknown overhead {overhead!r}")
     over = lanes.groupBy(*by).agg(value.alias("us")).select(*by, F.lit(overhead).alias("metric"), "us")
-    per_func = small.groupBy(*by, F.col("func").alias("metric")).agg(F.sum("_busy").alias("us"))
     return over.unionByName(per_func)
 
 

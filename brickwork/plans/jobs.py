@@ -222,17 +222,19 @@ def run_report(
     app: str,
     parameters: Sequence[str],
     fixed: Mapping[str, object],
-    overhead: str = "idle",
+    overhead: str | Callable[[DataFrame, Sequence[str]], DataFrame] = "idle",
     pre_process: Callable[[DataFrame], DataFrame] | None = None,
     catalog: DataFrame | None = None,
+    func_remap: Callable[[DataFrame], DataFrame] = trace.with_shown_func,
 ) -> Report:
     """Where the time of runs went, per framework and value of the free parameter.
 
-    ``calls`` is a trace with ``label`` and ``run_id``; ``pre_process`` is any change of it;
+    ``calls`` is a trace with ``label`` and ``run_id``; ``func_remap`` names its functions for the report and
+    ``pre_process`` is any change of it after that; ``overhead`` is as in :func:`brickwork.operators.trace.metric_rows`;
     ``catalog`` is the run catalogue, where one is at hand.
     """
     chosen = runs.calls_one_free_param(calls, app, parameters, fixed, catalog)
-    shown = trace.with_effective_thread(trace.with_shown_func(chosen))
+    shown = trace.with_effective_thread(chosen.transform(func_remap))
     shown = shown.transform(pre_process) if pre_process else shown
     by = ["framework", "free", "run_id"]
     metrics = materialize(trace.metric_rows(shown, by, overhead), "run_metrics")
@@ -254,13 +256,20 @@ def makespan_report(
     return runs.makespan_stats(ends)
 
 
-def lane_report(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def lane_report(
+    calls: DataFrame,
+    by: Sequence[str] = (),
+    pre_process: Callable[[DataFrame], DataFrame] | None = None,
+    func_remap: Callable[[DataFrame], DataFrame] = trace.with_shown_func,
+) -> DataFrame:
     """Calls with lane, vertical place, colour number and runtime, ready to be drawn.
 
-    Calls without worker or thread stay, with an empty lane.
+    ``func_remap`` and ``pre_process`` change the trace as in :func:`run_report`. Calls without worker or thread stay,
+    with an empty lane.
     """
     schemas.require_columns(calls, "seq", "framework", "worker", "process", *by)
-    shown = trace.with_effective_thread(trace.with_shown_func(calls))
+    shown = trace.with_effective_thread(calls.transform(func_remap))
+    shown = shown.transform(pre_process) if pre_process else shown
     firsts = lanes.first_calls(shown, by)
     placed = materialize(lanes.gantt_lanes(lanes.lane_table(firsts, by), by), "lanes")
     keyed = shown.join(lanes.broadcast_if_small(placed), [*by, "worker", "thread"], "left")

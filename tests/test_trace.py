@@ -234,3 +234,44 @@ def test_concurrency_over_long_and_odd_calls(spark):
             want[run, p].add(thread)
     got = {(r.run, r.active): r.threads for r in found.collect()}
     assert got == {k: len(v) for k, v in want.items()}
+
+
+def test_calls_on_a_hot_file(spark, monkeypatch):
+    """One file name in half of all rows, and no table small enough to broadcast."""
+    monkeypatch.setattr(trace, "broadcast_if_small", lambda df: df)
+    rows = [(i, "hot.nii" if i % 2 else None if i % 50 == 0 else f"f{i % 400}.nii") for i in range(4000)]
+    calls = spark.createDataFrame(rows, "seq long, filename string").repartition(8)
+    for picked in (["hot.nii", "f2.nii", "f8.nii"], ["f2.nii"], [None, "hot.nii"], []):
+        selected = spark.createDataFrame([(n,) for n in picked], "filename string")
+        found = trace.same_file_events(calls, selected)
+        assert sorted(r.seq for r in found.collect()) == [i for i, n in rows if n is not None and n in picked]
+    shuffled = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in shuffled and "LeftSemi" in shuffled
+    # What is left for the shuffle holds no hot name.
+    rest = calls.join(spark.createDataFrame([("hot.nii",)], "filename string"), "filename", "left_anti")
+    assert rest.groupBy("filename").count().agg(F.max("count")).first()[0] < 100
+
+
+def test_hooks_of_reports(spark):
+    from brickwork.plans import jobs
+    from brickwork.sources import tables
+
+    calls = tables.trace(spark, "/root/testdata/sf0.001")
+    about = ("increment", ["n_worker", "block_size", "iterations", "delay"], {"block_size": "5000", "iterations": 5, "delay": "1.0"})
+
+    def upper(df):
+        return df.withColumn("func", F.upper("func"))
+
+    def span(df, by):
+        return df.groupBy(*by).agg((F.max("end_us") - F.min("start_us")).alias("us"))
+
+    def early(df):
+        return df.where("start_us < 1000000000000")
+
+    stats = jobs.run_report(calls, *about, overhead=span, pre_process=early, func_remap=upper).stats.collect()
+    names = {r.metric for r in stats}
+    assert "span" in names and {"LOAD", "DUMP"} <= names and names - {"span"} == {n.upper() for n in names - {"span"}}
+    plain = {r.metric for r in jobs.run_report(calls, *about).stats.collect()}
+    assert "idle" in plain and not any(n.isupper() for n in plain)
+    lanes = jobs.lane_report(calls, pre_process=early, func_remap=upper)
+    assert lanes.agg(F.max("start_us")).first()[0] < 10**12 and {r.func for r in lanes.select("func").distinct().collect()} == names - {"span"}
