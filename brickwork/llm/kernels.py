@@ -145,21 +145,6 @@ def owner(starts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(starts) - 1), np.diff(starts))
 
 
-def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Join overlapping or touching ranges; ``last`` is exclusive."""
-    if len(first) == 0:
-        return first, last
-    order = np.argsort(first, kind="stable")
-    first, last = first[order], np.maximum.accumulate(last[order])
-    new = np.r_[True, first[1:] > last[:-1]]
-    return first[new], last[np.r_[np.flatnonzero(new)[1:] - 1, len(last) - 1]]
-
-
-def take_bytes(buf: np.ndarray, keep: np.ndarray) -> bytes:
-    """The bytes of ``buf`` where ``keep`` holds."""
-    return buf[keep].tobytes()
-
-
 def binaries(pieces: list[bytes]) -> pa.Array:
     return pa.array(pieces, pa.binary())
 

@@ -280,9 +280,24 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         del data, v, facts
         rid, ids = np.concatenate(names, 1)
         begin = np.cumsum(size) - size
-        order = np.argsort(anchor, kind="stable")
-        anchor = anchor[order]
-        group, border = A.split_at(anchor)
+        # Equal pieces from several slices: again only those of the smallest document are sorted.
+        h = K.hash_words(buf, begin, begin + size)
+        order = np.lexsort((ids[who], h))
+        _, border = A.split_at(h[order])
+        lead = np.repeat(order[border[:-1]], np.diff(border))
+        if not K.same_bytes(buf, begin[order], begin[lead], size[order], size[lead]):
+            lead = order
+        held = ids[who[order]] > ids[who[lead]]
+        yield from A.flagged(rid[who[order[held]]], start[order[held]], size[order[held]] - length + 1)
+        order = np.sort(order[~held])
+        order = order[np.argsort(anchor[order], kind="stable")]
+        # Pieces of an anchor that one document has alone repeat nothing of a smaller one.
+        group, border = A.split_at(anchor[order])
+        if len(group):
+            holder = ids[who[order]]
+            several = np.minimum.reduceat(holder, group) < np.maximum.reduceat(holder, group)
+            order = order[np.repeat(several, np.diff(border))]
+        group, border = A.split_at(anchor[order])
         total = np.r_[0, np.cumsum(size[order])]
         k = 0
         while k < len(group):
