@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brickwork.llm import kernels as K
+from brickwork.session import materialize, spread
 
 #: Where the tokenizer files lie, unless the package ``public_tokenizers`` can be imported.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -315,7 +317,6 @@ def digests(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
 
 def rank_table(path: str, buckets: int = 1 << 16) -> Column:
     """The ranks as one literal: an array of ``buckets`` small maps, addressed by the CRC of the token's hex."""
-    import json
     import zlib
 
     rows: list[dict[str, int]] = [{} for _ in range(buckets)]
@@ -345,3 +346,32 @@ def encode_words(words: DataFrame, path: str | None = None, word: str = "word",
         return F.transform(F.when(rank(hexed) < _NONE, F.array(hexed)).otherwise(folded), rank)
 
     return words.withColumn(ids, let(rank_table(path, buckets), of))
+
+
+#: ``PATTERN`` as Java's regular expressions write it: the flag gives ``\\s`` its Unicode meaning.
+SQL_PATTERN = "(?U)" + PATTERN
+
+
+def digests_by_words(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As :func:`digests`, by Spark SQL alone: every distinct word of the corpus is folded once, its ids are joined back to
+    all its places, and decoding concatenates the tokens' bytes. The README compares its cost with that of :func:`digests`.
+    """
+    path = path or vocabulary_path()
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    own = docs.select(F.col(key), F.monotonically_increasing_id().alias("rid"), value.alias("text"))
+    own = materialize(own, "texts")
+    places = own.select("rid", F.posexplode(F.regexp_extract_all("text", F.lit(SQL_PATTERN), F.lit(0))).alias("pos", "word"))
+    found = materialize(encode_words(spread(places.select("word").distinct()), path), "words")
+    joined = places.join(found, "word")
+    ids = joined.groupBy("rid").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda s: s["ids"])).alias("ids"))
+    full = own.select(key, "rid").join(ids, "rid", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    token = [b""] * (max(ranks(path).values()) + 1)
+    for t, r in ranks(path).items():
+        token[r] = t
+    table = F.from_json(F.lit(json.dumps([t.hex() for t in token])), "array<string>")
+    let = lambda v, f: F.get(F.transform(F.array(v), f), 0)
+    decoded = let(table, lambda names: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(names, i)), "")))
+    return full.select(
+        key, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(decoded, 256).alias("decoded_sha256"),
+    )

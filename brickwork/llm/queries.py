@@ -178,7 +178,7 @@ def op9_ngram_jaccard(spark, sf_dir):
 
 @query()
 def op10_byte_bpe(spark, sf_dir):
-    return bpe.digests(_table(spark, sf_dir, "documents"))
+    return bpe.digests_by_words(_table(spark, sf_dir, "documents"))
 
 
 @query()

@@ -179,6 +179,13 @@ def test_bpe(spark, odd):
         assert r["decoded_sha256"] == hashlib.sha256((texts[i] or "").encode()).hexdigest()
 
 
+def test_digests_in_sql(spark, odd):
+    """Texts through Spark SQL alone give the digests of the main path, which ``test_bpe`` holds against the library."""
+    texts = [t for t in odd if t is None or len(t) < 1000] + ["I'll don't 've  \u00a0\u2003x\n\n y\t", "中文🙂 naïve ½ ² 12345", "x" * 70, " "]
+    docs = table(spark, texts, [k % 9 or None for k in range(len(texts))])
+    assert sorted(bpe.digests_by_words(docs).collect(), key=str) == sorted(bpe.digests(docs).collect(), key=str)
+
+
 def test_bpe_in_sql(spark):
     own = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.ranks(bpe.vocabulary_path()), special_tokens={})
     words = [" thonnd", "Erheing", " the", "a", "é", " Straße", "!!!"]
