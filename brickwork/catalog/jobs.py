@@ -98,9 +98,7 @@ _COHORT = f"""
 
 
 def _cohort(spark, sf_dir):
-    source = _new_folder(spark, "cohort")
-    nifti.write_blocks(tables.cohort_slabs(spark, sf_dir), source, below="/data")
-    return jobs.cohort_job(spark, source, cv.THRESHOLD)
+    return jobs.cohort_job(spark, cv.cohort_files(spark, sf_dir), cv.THRESHOLD)
 
 
 @query("cohort_job", with_views("plane", body=_COHORT))
@@ -152,8 +150,7 @@ def _site(site, rows):
 
 
 def _participants(spark, sf_dir, run=None):
-    source = _new_folder(spark, "cohort")
-    nifti.write_blocks(tables.cohort_slabs(spark, sf_dir), source, below="/data")
+    source = cv.cohort_files(spark, sf_dir)
     result, group = "volume bigint, voxels bigint, brightest bigint", "participants bigint, mean_volume double"
     return jobs.participant_job(spark, source, _participant, result, _site, group, run)
 
@@ -213,9 +210,7 @@ def trace_emit(spark, sf_dir):
     jobs.multi_increment_job(spark, images, _new_folder(spark, "traced"), 1, draws=draws, run=run)
     jobs.histogram_job(spark, images, _new_folder(spark, "traced"), run=run)
     jobs.kmeans_job(spark, images, _new_folder(spark, "traced"), run=run)
-    cohort = _new_folder(spark, "cohort")
-    nifti.write_blocks(tables.cohort_slabs(spark, sf_dir), cohort, below="/data")
-    jobs.cohort_job(spark, cohort, cv.THRESHOLD, run)
+    jobs.cohort_job(spark, cv.cohort_files(spark, sf_dir), cv.THRESHOLD, run)
     calls = traces.scan_traces(spark, logs)
     sound = F.bool_and((F.col("end_us") >= F.col("start_us")) & F.col("worker").isNotNull() & (F.col("process") > 0))
     return calls.groupBy("label", "filename", "func").agg(sound.alias("ok"))

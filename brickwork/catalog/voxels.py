@@ -510,11 +510,27 @@ def basename(spark, sf_dir):
 # ----------------------------------------------------------------- image files
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written_once(spark, sf_dir, name, write):
+    """Folder of input files that ``write(folder)`` makes the first time an application asks for them."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        folder = scratch_path(spark, name).removeprefix("file:")
+        write(folder)
+        _WRITTEN[key] = folder
+    return _WRITTEN[key]
+
+
 def _files(spark, sf_dir):
-    """Write the planes of the table as image files to a new shared folder."""
-    folder = scratch_path(spark, "images").removeprefix("file:")
-    nifti.write_blocks(tables.slabs(spark, sf_dir), folder)
-    return folder
+    """The planes of the table as image files in a shared folder."""
+    return written_once(spark, sf_dir, "images", lambda folder: nifti.write_blocks(tables.slabs(spark, sf_dir), folder))
+
+
+def cohort_files(spark, sf_dir):
+    """The same images as a tree of sites and subjects."""
+    return written_once(spark, sf_dir, "cohort", lambda folder: nifti.write_blocks(tables.cohort_slabs(spark, sf_dir), folder, below="/data"))
 
 
 _SIZES = "select name, 352 + 2 * count(*) as length from plane group by name"
@@ -528,9 +544,7 @@ def list_blocks(spark, sf_dir):
 
 @query("list_blocks_recursive", with_views("plane", s=_SIZES, body="select name, length from s"))
 def list_blocks_recursive(spark, sf_dir):
-    top = scratch_path(spark, "tree").removeprefix("file:")
-    nifti.write_blocks(tables.cohort_slabs(spark, sf_dir), top, below="/data")
-    found = listing.list_blocks(spark, top, recursive=True)
+    found = listing.list_blocks(spark, cohort_files(spark, sf_dir), recursive=True)
     return found.select(listing.fl.basename(F.col("path")).alias("name"), "length")
 
 
