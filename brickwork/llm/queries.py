@@ -29,7 +29,19 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+@query(
+    """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+g as (select doc_id, p, substr(x, 2 * p + 1, 100) as s from (select doc_id, x, unnest(range(0, n - 49)) as p from d)),
+f as (select doc_id, p from (select doc_id, p, min(doc_id) over (partition by s) as least from g) where least < doc_id),
+gone as (select distinct doc_id, unnest(range(p, p + 50)) as j from f),
+runs as (select doc_id, count(*) as n, count(*) filter (where j > before + 1 or before is null) as spans
+  from (select doc_id, j, lag(j) over (partition by doc_id order by j) as before from gone) group by doc_id),
+byte as (select doc_id, j, substr(x, 2 * j + 1, 2) as b from (select doc_id, x, unnest(range(0, n)) as j from d)),
+kept as (select doc_id, string_agg(b, '' order by j) as x from byte anti join gone using (doc_id, j) group by doc_id)
+select doc_id, cast(d.n as bigint) as n_bytes, coalesce(runs.n, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(kept.x, ''))) as kept_sha256
+from d left join runs using (doc_id) left join kept using (doc_id)"""
+)
 def op1_suffix_array_dedup(spark, sf_dir):
     return substrings.dedup(_table(spark, sf_dir, "documents"))
 

@@ -333,6 +333,15 @@ def test_items_without_id_and_with_two_texts(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, tests).collect()] == [3]
 
 
+def test_items_and_pages_with_more_columns(spark):
+    item = prose(random.Random(2), 30)
+    tests = spark.createDataFrame([(1, item, "x", 2, 3)], "item_id long, text string, _item string, share int, seed int")
+    docs = table(spark, [item, "clean"])
+    assert {i: r["contaminated"] for i, r in by_id(decontaminate.judge(docs, tests)).items()} == {0: True, 1: False}
+    pages = spark.createDataFrame([(1, "http://example.org/es/a", "", "x", 4, 5), (2, None, None, "x", 4, 5)], "page_id long, url string, html string, host string, node int, verdict int")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()} == {1: "block", 2: "allow"}
+
+
 def test_columns_named_as_those_inside(spark, odd):
     docs = table(spark, odd)
     for name in ("_rid", "_removed", "_RID", "_id", "_print", "rid", "line", "_keeper", "c"):
@@ -492,7 +501,13 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (substrings.dedup(none), windows.dedup(none), lines.decisions(none), lines.clean(none), jaccard.join(none), bpe.digests(none), decontaminate.judge(none, bench), quality.judge(none)):
         assert df.count() == 0
-    assert toxicity.score(none, toxicity.train(none.withColumn("toxic", F.lit(1)))).count() == 0
+    model = toxicity.train(none.withColumn("toxic", F.lit(1)))
+    assert toxicity.score(none, model).count() == 0 and toxicity.keep(none, model).count() == 0
+    some = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert jaccard.representatives(none).count() == 0 and decontaminate.clean(none, some).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, SF_DIR)
+        assert out.count() == 0 and (stage is corpus_pipeline.STAGES[-1][1] or out.columns == none.columns)
     assert pii.find(none, pii.train(pii.labelled_table(spark))).count() == 0
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
