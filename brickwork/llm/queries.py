@@ -152,13 +152,15 @@ r as (select doc_id, unnest(range(i, i + 5)) as j from (select *, count(*) over
 n as (select doc_id, count(distinct j) as n from r group by doc_id),
 m as (select d.doc_id, source, len(ws)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
-    (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n.n, 0)::bigint as n_repeat_words from d left join n using (doc_id)),
-b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m),
-h as (select source, count(*)::double as n, sum(base_failed::int)::double as f from b where source is not null group by source),
-s as (select sum(f) / sum(n) as mean, sum(n) as n, count(*) as hosts, greatest(sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2, 0) as spread from h),
-p as (select mean, mean * (1 - mean) as within, spread - mean * (1 - mean) * hosts / n as between from s),
-w as (select mean, case when between > 1e-12 and within > between then within / between - 1 when between >= within and within > 0 then 0 else 1e12 end as k from p),
-bad as (select source from h cross join w where (f + k * mean) / (n + k) > 0.5)
+    (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, len(ls) as n_lines, coalesce(n.n, 0)::bigint as n_repeat_words from d left join n using (doc_id)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, 100 * n_symbols > 10 * word_chars as symbols_failed,
+    100 * n_dup_lines > 30 * n_lines as lines_failed from m),
+u as (select source, unnest(['base', 'symbols', 'lines']) as rule, unnest([base_failed, symbols_failed, lines_failed]) as failed from b where source is not null),
+h as (select source, rule, count(*)::double as n, sum(failed::int)::double as f from u group by source, rule),
+s as (select rule, sum(f) / sum(n) as mean, sum(n) as n, count(*) as hosts, greatest(sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2, 0) as spread from h group by rule),
+p as (select rule, mean, mean * (1 - mean) as within, spread - mean * (1 - mean) * hosts / n as between from s),
+w as (select rule, mean, case when between > 1e-12 and within > between then within / between - 1 when between >= within and within > 0 then 0 else 1e12 end as k from p),
+bad as (select distinct source from h join w using (rule) where (f + k * mean) / (n + k) > 0.5)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.source is null as kept
 from b left join bad on b.source = bad.source"""
 )

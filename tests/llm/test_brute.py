@@ -441,6 +441,41 @@ def test_quality_odd_rows(spark, odd):
     assert not any(r["kept"] for i, r in verdict.items() if i < 45) and all(r["kept"] for i, r in verdict.items() if i >= 50)
 
 
+def hosts_that_differ():
+    """Documents of hosts that fail by words, by symbols, by lines, hardly ever, and of no host."""
+    rng = random.Random(31)
+    make = {
+        "short": lambda k: "too short" if k % 10 else prose(rng, 30),
+        "signs": lambda k: prose(rng, 30) + " " + "#*$" * 30 if k % 5 else prose(rng, 30),
+        "lines": lambda k: "\n".join([prose(random.Random(3), 8)] * 3 + [prose(rng, 60)]) if k % 4 else prose(rng, 30),
+        "good": lambda k: prose(rng, 30) if k % 20 else "too short",
+        "tiny": lambda k: "too short" if k < 2 else prose(rng, 30),
+        None: lambda k: "too short" if k % 2 else prose(rng, 30),
+    }
+    rows = [(host, of(k)) for host, of in make.items() for k in range(3 if host == "tiny" else 60)]
+    return [(i, t, host, 1, "x") for i, (host, t) in enumerate(rows)]
+
+
+def test_hosts_that_differ(spark, tmp_path):
+    rows = hosts_that_differ()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long, rule string")
+    found = by_id(quality.judge(docs))
+    rate = {h["source"]: h for h in quality.host_rates(spark.createDataFrame(list(found.values())).withColumn("source", F.col("source"))).collect()}
+    assert rate["short"]["base_failed_rate"] > 0.5 and rate["signs"]["symbols_failed_rate"] > 0.5 and rate["lines"]["lines_failed_rate"] > 0.5
+    own = {h: sum(found[i]["base_failed"] for i, _, s, *_ in rows if s == h) for h in ("good", "tiny")}
+    assert own["good"] / 60 < rate["good"]["base_failed_rate"] < 0.2 and 0.3 < rate["tiny"]["base_failed_rate"] < own["tiny"] / 3  # drawn in
+    gone = {"short", "signs", "lines"} | ({"tiny"} if rate["tiny"]["base_failed_rate"] > 0.5 else set())
+    for i, _, host, *_ in rows:
+        assert found[i]["kept"] == (not found[i]["base_failed"] and host not in gone)
+    # The query's SQL tells these hosts apart as well.
+    import compare
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = compare.duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare.difference(queries.QUERIES["op8_host_rules"](spark, str(tmp_path)), con, queries.ORACLE["op8_host_rules"]) is None
+
+
 def test_redirects(spark):
     pages = spark.createDataFrame(
         [
