@@ -1,7 +1,7 @@
 """The ``nifti`` data source: ``spark.read.format("nifti")`` and ``df.write.format("nifti")``.
 
-Reading is planned on the listing alone. Every file is cut into shares by its length, ``splitBytes`` each; a task opens
-its file, reads the header, and then its share of the planes. Filters on ``path`` and ``block_id`` drop files before
+Reading is planned on the listing alone. Large files are cut into shares by their length, ``splitBytes`` each, small ones are
+put together; a task opens its files, reads their headers, and then its share of the planes. Filters on ``path`` and ``block_id`` drop files before
 any is opened; filters on ``slab`` cut the planes that are read. A schema without ``payload`` reads headers only.
 
 Columns are those of :data:`brickwork.schemas.SLAB`. ``block_id`` numbers the files by path, whatever the filters.
@@ -32,6 +32,8 @@ from brickwork.sources import nifti, stores
 from brickwork.sources.listing import SUFFIX
 
 SPLIT_BYTES = 128 << 20
+#: What opening a file counts for where small files are put together.
+OPEN_BYTES = 4 << 20
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
@@ -43,7 +45,7 @@ def register(spark: SparkSession) -> None:
     local = spark.sparkContext.master.startswith("local")
     # Sources are planned in a process of their own, without a session: what is known here goes with the class.
     known = pickle.dumps(stores.registered())
-    spark.dataSource.register(type("Nifti", (Nifti,), {"home": home, "local": local, "known": known}))
+    spark.dataSource.register(type("Nifti", (Nifti,), {"home": home, "local": local, "known": known, "cores": spark.sparkContext.defaultParallelism}))
 
 
 def read(spark: SparkSession, folder: str, schema: T.StructType | str | None = None, **options: object) -> DataFrame:
@@ -60,7 +62,7 @@ def write(slabs: DataFrame, folder: str, **options: object) -> None:
 
 
 class Nifti(ds.DataSource):
-    home, local, known = "file:/", True, pickle.dumps({})
+    home, local, known, cores = "file:/", True, pickle.dumps({}), 1
 
     @classmethod
     def name(cls) -> str:
@@ -79,7 +81,7 @@ class Nifti(ds.DataSource):
         return self.home.rstrip("/") + path
 
     def reader(self, schema: T.StructType) -> ds.DataSourceReader:
-        return Reader(self.folder(), schema, self.options, self.known)
+        return Reader(self.folder(), schema, self.options, self.known, self.cores)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ds.DataSourceWriter:
         if overwrite:
@@ -92,14 +94,16 @@ class Nifti(ds.DataSource):
         if stores.mounted(folder) and not shared:
             raise ValueError(f"{folder} is on the executors' own disks unless it is a shared mount; if it is, set the option shared")
         stores.use(pickle.loads(self.known))
-        return Writer(nifti.Target(folder, self.options.get("prefix", ""), self.options.get("below"), stores.mounted(folder)))
+        target = nifti.Target(folder, self.options.get("prefix", ""), self.options.get("below"), stores.mounted(folder))
+        target.open_staging()
+        return Writer(target)
 
 
 # ----------------------------------------------------------------------- read
 
 
 @dataclass
-class Share(ds.InputPartition):
+class Share:
     """A share of one file's planes: the ``index``-th of ``count`` equal ones."""
 
     block_id: int
@@ -109,9 +113,16 @@ class Share(ds.InputPartition):
     count: int
 
 
+@dataclass
+class Shares(ds.InputPartition):
+    """What one task reads: a share of a large file, or several small files."""
+
+    shares: list[Share]
+
+
 class Reader(ds.DataSourceReader):
-    def __init__(self, folder: str, schema: T.StructType, options, known: bytes):
-        self.folder, self.wanted, self.known = folder, schema, known
+    def __init__(self, folder: str, schema: T.StructType, options, known: bytes, cores: int = 1):
+        self.folder, self.wanted, self.known, self.cores = folder, schema, known, max(cores, 1)
         self.recursive = str(options.get("recursive", "false")).lower() == "true"
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
         self.unreadable = options.get("unreadable", "raise")
@@ -131,31 +142,42 @@ class Reader(ds.DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Share]:
+    def partitions(self) -> list[Shares]:
         stores.use(pickle.loads(self.known))
-        shares = []
+        shares: list[Share] = []
         for number, (path, length) in enumerate(stores.list_files(self.folder, SUFFIX, self.recursive)):
             if all(_holds(f, number if f.attribute == ("block_id",) else path) for f in self.files):
                 count = max(1, -(-length // self.split_bytes)) if "payload" in self.wanted.names else 1
                 shares += [Share(number, path, length, k, count) for k in range(count)]
-        return shares or [Share(-1, "", 0, 0, 0)]
-
-    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
-        if partition.count == 0:  # no file is left
-            return
+        sizes = [s.length // s.count + OPEN_BYTES for s in shares]
+        most = min(self.split_bytes, max(OPEN_BYTES, sum(sizes) // self.cores))
+        tasks, held = [], most + 1
+        for share, size in zip(shares, sizes):
+            if held + size > most:
+                tasks.append(Shares([]))
+                held = 0
+            tasks[-1].shares.append(share)
+            held += size
+        return tasks or [Shares([])]
+
+    def read(self, partition: Shares) -> Iterator[pa.RecordBatch]:
         stores.use(pickle.loads(self.known))
+        for share in partition.shares:
+            yield from self._share(share)
+
+    def _share(self, share: Share) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(self.wanted)
         with ExitStack() as opened:
-            file = opened.enter_context(nifti.open_file(partition.path))
-            row = nifti._read_header(partition.path, partition.length, file) | {"block_id": partition.block_id}
+            file = opened.enter_context(nifti.open_file(share.path))
+            row = nifti._read_header(share.path, share.length, file) | {"block_id": share.block_id}
             if row["error"] is not None:
                 if self.unreadable == "raise":
-                    raise ValueError(f"unreadable image {partition.path}: {row['error']}")
-                if self.unreadable == "keep" and partition.index == 0:
+                    raise ValueError(f"unreadable image {share.path}: {row['error']}")
+                if self.unreadable == "keep" and share.index == 0:
                     yield pa.RecordBatch.from_pylist([{n: row.get(n) for n in arrow.names}], schema=arrow)
                 return
             depth = row["dims"][2]
-            first, end = (depth * k // partition.count for k in (partition.index, partition.index + 1))
+            first, end = (depth * k // share.count for k in (share.index, share.index + 1))
             for a, b in _stretches([z for z in range(first, end) if all(_holds(f, z) for f in self.planes)]):
                 yield from self._planes(row, file, a, b - a, arrow)
 

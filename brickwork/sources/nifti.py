@@ -435,6 +435,10 @@ class Target:
     def write_step(self, origin: float | None = None) -> Step:
         return write_step(self, origin) if self.in_place else part_step(self, origin)
 
+    def open_staging(self) -> None:
+        """Make the staging folder. Tasks make none, so one that is late can't bring back what was given up."""
+        stores.make_folder(self.staging)
+
     def drop_staging(self) -> None:
         stores.delete_folder(self.staging)
 
@@ -464,6 +468,7 @@ def write_step(target: Target, origin: float | None = None) -> Step:
             for first, last in _runs(rows):
                 began, r = time.time(), rows[first]
                 staged = target.staged(r["path"])
+                stores.make_below(target.staging, os.path.dirname(staged))
                 _write_run(staged, r, values[starts[first] : starts[last]])
                 done.append(_done(target, r, rows[first:last], staged, 0, began, origin))
             yield pa.RecordBatch.from_pylist(done, schema=arrow)
@@ -490,7 +495,6 @@ def _runs(rows: list[dict]) -> Iterator[tuple[int, int]]:
 
 def _write_run(out: str, r: dict, values: np.ndarray) -> None:
     """Write neighbouring planes at their place; the first plane brings header and file size."""
-    os.makedirs(os.path.dirname(out), exist_ok=True)
     plane, offset = 2 * r["dims"][0] * r["dims"][1], data_offset(r["header"])
     data = memoryview(values.astype(byte_order(r["header"]) + "u2", copy=False)).cast("B")
     at = offset + plane * r["slab"]
@@ -529,6 +533,8 @@ def part_step(target: Target, origin: float | None = None) -> Step:
                     at = 0 if r["slab"] == 0 else offset + plane * r["slab"]
                     # Attempts of a task have parts of their own: a late one can't disturb what the other has closed.
                     part = f"{target.staged(r['path'])}.{at}.{uuid.uuid4().hex}"
+                    if not stores.exists(target.staging):
+                        raise RuntimeError(f"the write to {target.folder} was given up")
                     sink = stores.create(part)
                     if at == 0:
                         sink.write(file_head(r["header"], r["dims"]))
@@ -593,6 +599,7 @@ def publish(written: DataFrame, target: Target) -> DataFrame:
 
 def _committed(target: Target, rows: DataFrame, *steps: Step) -> DataFrame:
     """Run the steps, the last of which writes, and publish; a failure takes the staging folder with it."""
+    target.open_staging()
     try:
         return publish(materialize(chain(rows, WRITTEN, *steps), "written"), target)
     except BaseException:

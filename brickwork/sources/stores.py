@@ -9,6 +9,7 @@ object, which travels with the tasks.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Mapping
 from functools import lru_cache
 
@@ -125,11 +126,37 @@ def move(source: str, target: str) -> None:
     system.move(inner, to)
 
 
+def make_folder(path: str) -> None:
+    """Make a folder and those above it."""
+    system, inner = system_of(path)
+    system.create_dir(inner, recursive=True)
+
+
+def make_below(root: str, folder: str) -> None:
+    """Make a mounted folder below ``root``, which must be there: one that was deleted is not made again."""
+    missing = []
+    while folder != root and not os.path.isdir(folder):
+        missing.append(folder)
+        folder = os.path.dirname(folder)
+    for one in reversed(missing):
+        try:
+            os.mkdir(one)
+        except FileExistsError:
+            pass
+
+
 def delete_folder(path: str) -> None:
-    """Delete a folder made by this package, if it is there."""
+    """Delete a folder made by this package, if it is there. Tasks that are being stopped may still write to it."""
     system, inner = system_of(path)
-    if system.get_file_info(inner).type == pafs.FileType.Directory:
-        system.delete_dir(inner)
+    for left in range(9, -1, -1):
+        if system.get_file_info(inner).type != pafs.FileType.Directory:
+            return
+        try:
+            system.delete_dir(inner)
+        except OSError:
+            if not left:
+                raise
+            time.sleep(0.2)
 
 
 def list_files(folder: str, suffix: str, recursive: bool) -> list[tuple[str, int]]:

@@ -85,6 +85,20 @@ def test_failed_job_leaves_nothing_and_keeps_the_old(spark, tmp_path, in_place):
     assert os.listdir(tmp_path / "out") == ["b01.nii"] and (tmp_path / "out" / "b01.nii").read_bytes() == b"old"
 
 
+@pytest.mark.parametrize("in_place", [True, False])
+def test_late_task_does_not_bring_back_what_was_given_up(tmp_path, in_place):
+    random_images(tmp_path / "in", 1)
+    reader = images.Nifti({"path": f"{tmp_path}/in"}).reader(images.schemas.SLAB)
+    batches = [b for s in reader.partitions() for b in reader.read(s)]
+    target = nifti.Target(f"{tmp_path}/out", in_place=in_place)
+    target.open_staging()
+    assert len(list(target.write_step()(batches))) == len(batches)
+    target.drop_staging()
+    with pytest.raises((OSError, RuntimeError)):
+        list(target.write_step()(batches))
+    assert os.listdir(tmp_path / "out") == []
+
+
 def test_publishing_twice_is_safe(tmp_path):
     for name, data in (("a", b"head1"), ("b", b"rest")):
         (tmp_path / name).write_bytes(data)
@@ -212,6 +226,18 @@ def test_only_chosen_files_and_planes_are_read(tmp_path, monkeypatch):
     assert [r["slab"] for r in rows] == [1, 2, 7] and opened == ["b02.nii"] and bytes_read == [352, 80, 40]
 
 
+def test_small_files_share_a_task(tmp_path, monkeypatch):
+    random_images(tmp_path, 30, (4, 5, 9))
+    source = images.Nifti({"path": str(tmp_path)})
+    monkeypatch.setattr(images, "OPEN_BYTES", 1000)
+    for cores, split, tasks in ((1, 10**6, 1), (6, 10**6, 6), (1, 5500, 10), (1, 400, 60)):
+        reader = images.Reader(source.folder(), source.schema(), {"splitBytes": split}, source.known, cores)
+        shares = reader.partitions()
+        assert len(shares) in (tasks, tasks + 1) and sum(len(s.shares) for s in shares) == (60 if split == 400 else 30)
+        rows = [(r["block_id"], r["slab"]) for s in shares for b in reader.read(s) for r in b.to_pylist()]
+        assert sorted(rows) == [(b, z) for b in range(30) for z in range(9)]
+
+
 def test_write_commits_all_or_nothing(spark, tmp_path):
     arrays = random_images(f"{tmp_path}/in", 3, (4, 4, 9))
     table = images.read(spark, f"{tmp_path}/in")
