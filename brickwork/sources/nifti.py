@@ -580,19 +580,23 @@ def _zeros(sink, count: int) -> int:
 
 def publish(written: DataFrame, target: Target) -> DataFrame:
     """Move all staged images to their places, one image per row; returns what was written, then without staging folder."""
-    own = F.struct("at", "part", "size", "needed", "_planes")
-    parts = written.groupBy("path", "part", "at", "size", "needed").agg(F.sum("planes").alias("_planes"))
-    files = parts.groupBy("path").agg(F.sort_array(F.collect_list(own)).alias("parts"))
     known, in_place = target.known, target.in_place
+    if in_place:  # one staged file each
+        one = F.struct(F.min("part").alias("part"))
+        files = written.groupBy("path").agg(F.array(one).alias("parts"))
+    else:
+        own = F.struct("at", "part", "size", "needed", F.col("_planes").alias("planes"))
+        parts = written.groupBy("path", "part", "at", "size", "needed").agg(F.sum("planes").alias("_planes"))
+        files = spread(parts.groupBy("path").agg(F.sort_array(F.collect_list(own)).alias("parts")), "path")
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stores.use(known)
         for batch in batches:
             for r in batch.to_pylist():
-                publish_image(r["path"], [p | {"planes": p["_planes"]} for p in r["parts"]], in_place)
+                publish_image(r["path"], r["parts"], in_place)
             yield batch.select(["path"])
 
-    spread(files, "path").mapInArrow(move, "path string").write.format("noop").mode("overwrite").save()
+    files.mapInArrow(move, "path string").write.format("noop").mode("overwrite").save()
     target.drop_staging()
     return written
 
