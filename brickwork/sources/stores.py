@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 from pyarrow import fs as pafs
@@ -169,3 +169,21 @@ def list_files(folder: str, suffix: str, recursive: bool) -> list[tuple[str, int
         if info.type == pafs.FileType.File and below.endswith(suffix) and not any(p[0] in "_." for p in below.split("/")):
             found.append((f"{base}/{below}", info.size))
     return sorted(found)
+
+
+def list_folder(folder: str) -> Iterator[tuple[str, str, int, bool]]:
+    """Address, name, length and whether it is a folder, of everything right inside a folder; nothing if it is gone."""
+    system, inner = system_of(folder)
+    base = folder.rstrip("/")
+    for info in system.get_file_info(pafs.FileSelector(inner, allow_not_found=True)):
+        if info.type != pafs.FileType.NotFound:
+            yield f"{base}/{info.base_name}", info.base_name, info.size or 0, info.type == pafs.FileType.Directory
+
+
+def reachable(path: str) -> bool:
+    """Whether tasks can open an address by themselves; other stores are known to Spark's readers only."""
+    try:
+        system_of(path)
+    except (OSError, ValueError, NotImplementedError):  # Arrow's own errors are among these
+        return False
+    return True

@@ -151,6 +151,30 @@ def test_listing_is_one_level_unless_recursive(spark, tmp_path):
     assert listing.list_blocks(spark, str(tmp_path), recursive=True).count() == 3
 
 
+def test_trees_are_listed_by_tasks_as_the_reader_would(spark, tmp_path, monkeypatch):
+    """Before, Spark's reader listed trees, and every file's status went to the driver."""
+    kept = ["a.nii", "s 1/sub-1/anat/b.nii", "s 1/sub-2/c%20.nii", "x=1/d.nii", "_x=1/_y=2.nii", "_metadata/e.nii"]
+    hidden = ["_f.nii", ".g.nii", "_h/i.nii", "s 1/.j/k.nii", "s 1/l.txt", "_metadata/_metadata.nii", "m._COPYING_/n.nii"]
+    for name in [*kept, *hidden]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    (tmp_path / "s 1" / "empty.nii").write_bytes(b"")
+    (tmp_path / "nothing").mkdir()
+    os.symlink(tmp_path / "s 1", tmp_path / "linked")
+    folders = [str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/s*", f"{tmp_path}/nothing"]
+    read = [sorted(listing.list_files(spark, f, "*.nii", recursive=True).collect()) for f in folders]
+    assert len(read[0]) == len(kept) + 2
+    single = listing.list_blocks(spark, f"{tmp_path}/a.nii", recursive=True).collect()
+    assert [r.path for r in single] == [f"file:{tmp_path}/a.nii"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        listing.list_blocks(spark, f"{tmp_path}/missing", recursive=True)
+    monkeypatch.setattr(listing, "list_files", None)
+    monkeypatch.setattr(listing, "FOLDERS", 1, raising=False)
+    for folder, rows in zip(folders, read):
+        found = listing.list_blocks(spark, folder, recursive=True)
+        assert found.columns == ["path", "length"] and sorted(found.collect()) == rows
+
+
 @pytest.mark.parametrize("traced", [False, True])
 def test_increment_job(spark, tmp_path, traced):
     arrays = random_images(f"{tmp_path}/in", 3)
