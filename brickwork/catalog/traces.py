@@ -170,7 +170,7 @@ _POINTS = """
     ),
 )
 def active_points(spark, sf_dir):
-    points = trace.active_points(_trace(spark, sf_dir).select("seq", "start_us", "end_us"))
+    points = trace.active_points(_trace(spark, sf_dir).select("seq", "start_us", "end_us"), by=["seq"])
     return points.groupBy("seq").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("active").alias("points"), F.min("active").alias("first"),
         F.max("active").alias("last"), F.max(F.when(F.col("point") == 33, F.col("active"))).alias("third"),

@@ -23,6 +23,8 @@ SAMPLES = 100
 HOT_SHARES = 4
 #: Length of the stretches of time that calls are dealt out by when points are counted.
 STRETCH_SECONDS = 300
+#: Sample points that one task makes where they are told apart: they take some hundred bytes each.
+TASK_POINTS = 1 << 19
 
 
 def seconds(us: Column) -> Column:
@@ -52,11 +54,20 @@ def with_shown_func(trace: DataFrame) -> DataFrame:
     return trace.withColumn("func", fl.shown_func(F.col("func")))
 
 
-def active_points(trace: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def _dealt(rows: DataFrame, calls: DataFrame, samples: int, *keys: str) -> DataFrame:
+    """Deal rows out by ``keys`` ahead of making points: as :func:`spread`, or to more partitions if ``calls`` are many."""
+    few = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(few, calls.count() * samples // TASK_POINTS), *keys)
+
+
+def active_points(trace: DataFrame, samples: int = SAMPLES, by: Sequence[str] = ()) -> DataFrame:
     """Evenly spaced sample points of every call, between its rounded start and end.
 
-    ``point`` numbers the samples of a call from 0.
+    ``point`` numbers the samples of a call from 0. Where points are then grouped by columns, these are named in ``by``:
+    calls are dealt out by them, so that only calls are shuffled, never points.
     """
+    if by:
+        trace = _dealt(trace, trace, samples, *by)
     begin, end = (F.bround(seconds(F.col(c)), 0) for c in ("start_us", "end_us"))
     index = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
     rows = trace.withColumn("_begin", begin).withColumn("_end", end).withColumn("point", index)

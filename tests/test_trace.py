@@ -275,3 +275,17 @@ def test_hooks_of_reports(spark):
     assert "idle" in plain and not any(n.isupper() for n in plain)
     lanes = jobs.lane_report(calls, pre_process=early, func_remap=upper)
     assert lanes.agg(F.max("start_us")).first()[0] < 10**12 and {r.func for r in lanes.select("func").distinct().collect()} == names - {"span"}
+
+
+def test_points_are_made_where_they_are_grouped(spark):
+    """Before, all points of all calls were shuffled."""
+    rows = calls(spark, [("f", i * S, (i + 200) * S, "x", "w", 1, 0) for i in (0, 1, 2)]).withColumn("seq", F.expr("if(seq = 2, null, seq)"))
+    twice = rows.unionByName(rows)
+    found = {}
+    for by in ((), ("seq",)):
+        done = trace.active_points(twice, by=by).groupBy("seq").agg(F.count("*").alias("n"), F.countDistinct("active").alias("points"))
+        found[by] = sorted(done.collect(), key=str)
+        plan = done._jdf.queryExecution().sparkPlan().toString()
+        if by:  # the tree is printed from the top: nothing is dealt out again above the step that makes points
+            assert "hashpartitioning" not in plan.split("Generate")[0] and "REPARTITION_BY_NUM" in plan.split("Generate")[1]
+    assert found[()] == found[("seq",)] and [r.n for r in found[()]] == [200] * 3
