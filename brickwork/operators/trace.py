@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from brickwork.functions import intensity as fi
 from brickwork.functions import labels as fl
-from brickwork.session import broadcast_if_small, materialize, spread
+from brickwork.session import broadcast_if_small, materialize
 
 SECOND = 1_000_000
 SAMPLES = 100
@@ -155,7 +155,7 @@ def concurrency(
     index = F.sequence(F.lit(0), F.when(F.col("_b") == F.col("_e"), F.lit(0)).otherwise(F.lit(samples - 1)))
     one = stretch(F.col("_b")).eqNullSafe(stretch(F.col("_e")))
     touched = F.when(one, F.array(stretch(F.col("_b")))).otherwise(F.array_distinct(F.transform(index, lambda i: stretch(point(i)))))
-    dealt = spread(spans.withColumn("_s", F.explode(touched)), *by, "_s")
+    dealt = _dealt(spans.withColumn("_s", F.explode(touched)), trace, samples, *by, "_s")
     points = dealt.withColumn("_i", F.explode(index)).withColumn("active", point(F.col("_i")))
     inside = points.where(stretch(F.col("active")).eqNullSafe(F.col("_s")))
     unique = inside.select(*by, "_s", "active", *thread).distinct()

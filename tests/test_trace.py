@@ -289,3 +289,15 @@ def test_points_are_made_where_they_are_grouped(spark):
         if by:  # the tree is printed from the top: nothing is dealt out again above the step that makes points
             assert "hashpartitioning" not in plan.split("Generate")[0] and "REPARTITION_BY_NUM" in plan.split("Generate")[1]
     assert found[()] == found[("seq",)] and [r.n for r in found[()]] == [200] * 3
+
+
+def test_many_points_go_to_more_tasks(spark, monkeypatch):
+    """Before, the number of tasks that tell points apart was fixed, whatever the number of calls."""
+    monkeypatch.setattr(trace, "TASK_POINTS", 200, raising=False)
+    rows = calls(spark, [("f", i * 400 * S, (i * 400 + 99) * S, "x", "w", i, 0) for i in range(64)])
+    points = trace.concurrency(rows)
+    assert points.count() == 6400
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert points.selectExpr("spark_partition_id() as p").distinct().count() > few
+    ends = trace.active_points(rows, by=["seq"]).selectExpr("spark_partition_id() as p").distinct().count()
+    assert ends > few
