@@ -2,7 +2,8 @@
 
 Every task folds its rows into states, one key at a time. Rounds then merge the states of each key, ``fan_in`` of them at
 a time, until one is left: no task takes the states of all others, and each holds one state and the one it adds.
-States travel as bytes and are stored after each round, so a lost executor costs one round's share.
+States travel as bytes and are stored between rounds, so a lost executor costs one round's share. They are dealt out to
+partitions of some megabytes, as whole partitions may come to Python in one batch; the last round finishes them as well.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from brickwork.session import materialize
 
 #: States that one task merges into one.
 FAN_IN = 64
+#: States, in bytes, that a partition of a round has on average, and how many are taken from a batch at a time.
+ROUND_BYTES, TAKEN = 8 << 20, 64
 PART, STATE = "_part", "_state"
 
 
@@ -63,44 +66,51 @@ def fold(
         if held is not None:
             yield packed(held, part, state)
 
-    def merged(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    wanted = T.StructType([*own, *(schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)).fields])
+    result = to_arrow_schema(wanted)
+
+    def finished(key: tuple, part: int, state: Any) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(keys, key)) | finish(state)], schema=result)
+
+    def merged(span: int, out: Callable[[tuple, int, Any], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, state = None, None
-            for batch in batches:
-                for row in batch.to_pylist():
-                    place = (*[row[k] for k in keys], row[PART] // span)
-                    value = pickle.loads(row[STATE])
-                    if place == held:
-                        state = merge(state, value)
-                    else:
-                        if held is not None:
-                            yield packed(held[:-1], held[-1] * span, state)
-                        held, state = place, value
+            for row in _rows(batches):
+                place = (*[row[k] for k in keys], row[PART] // span)
+                value = pickle.loads(row[STATE])
+                if place == held:
+                    state = merge(state, value)
+                else:
+                    if held is not None:
+                        yield out(held[:-1], held[-1] * span, state)
+                    held, state = place, value
             if held is not None:
-                yield packed(held[:-1], held[-1] * span, state)
+                yield out(held[:-1], held[-1] * span, state)
 
         return run
 
     found = materialize((rows.sortWithinPartitions(*keys) if keys else rows).mapInArrow(first, states), "states")
-    parts = (found.agg(F.max(PART)).first()[0] or 0) + 1
-    span, n = 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while span < parts:
-        span *= fan_in
+    if not keys and found.isEmpty():
+        return rows.sparkSession.createDataFrame([finish(zero())], wanted)
+    last, size = found.agg(F.max(PART), F.sum(F.length(STATE))).first()
+    parts, span = (last or 0) + 1, fan_in
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // ROUND_BYTES)
+
+    def dealt() -> DataFrame:
         slot = F.floor(F.col(PART) / F.lit(span))
-        dealt = found.withColumn("_slot", slot).repartition(n, *keys, "_slot").sortWithinPartitions(*keys, "_slot", PART)
-        found = materialize(dealt.drop("_slot").mapInArrow(merged(span), states), "states")
+        return found.withColumn("_slot", slot).repartition(n, *keys, "_slot").sortWithinPartitions(*keys, "_slot", PART).drop("_slot")
 
-    wanted = T.StructType([*own, *(schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)).fields])
-    result = to_arrow_schema(wanted)
+    while span < parts:
+        found = materialize(dealt().mapInArrow(merged(span, packed), states), "states")
+        span *= fan_in
+    return dealt().mapInArrow(merged(span, finished), wanted)
 
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [{k: r[k] for k in keys} | finish(pickle.loads(r[STATE])) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(done, schema=result)
 
-    if not keys and found.isEmpty():
-        return rows.sparkSession.createDataFrame([finish(zero())], wanted)
-    return found.mapInArrow(last, wanted)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
+    """All rows, some at a time: states are not copied a batch at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TAKEN):
+            yield from batch.slice(at, TAKEN).to_pylist()
 
 
 def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:

@@ -49,3 +49,13 @@ def test_nothing(spark):
     assert folds.fold(empty, *spans(), SCHEMA, by=["k"]).count() == 0
     with pytest.raises(ValueError):
         folds.fold(empty, *spans(), SCHEMA, fan_in=1)
+
+
+def test_states_are_dealt_by_their_size_and_taken_some_at_a_time(spark, monkeypatch):
+    """Before, a round took the states of all keys in a fixed number of partitions, and a batch of them at once."""
+    monkeypatch.setattr(folds, "ROUND_BYTES", 1 << 10, raising=False)
+    monkeypatch.setattr(folds, "TAKEN", 3, raising=False)
+    df = spark.range(0, 300, 1, 4).selectExpr("id % 100 as k", "id as v", "repeat('x', 100) as t")
+    done = folds.fold(df, *spans(), SCHEMA, by=["k"], fan_in=2)
+    assert {r.k: (r.lo, r.hi, len(r.texts)) for r in done.collect()} == {k: (k, k + 200, 3) for k in range(100)}
+    assert done.selectExpr("spark_partition_id() as p").distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
