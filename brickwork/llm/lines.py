@@ -8,8 +8,9 @@ similarity of ``THRESHOLD`` or more with the set of an earlier line, by document
   are dropped before any line travels.
 * Lines with one set form a class; its first line stands for it, the others are removed. Sets are told apart by 128 bits;
   lines of one token by that token and a print of its words.
-* Classes that share a prefix token are compared in blocks; tokens with the same classes are one group. In a block, length
-  and positional filters go ahead of the verification on the full sets of 64-bit tokens; where one token decides, on the words.
+* Classes that share a prefix token are compared in blocks; tokens with the same classes are one group. Two classes are
+  compared in one group only, that of the least token which both prefixes hold. In a block, length and positional filters go
+  ahead of the verification on the full sets of 64-bit tokens; where one token decides, on the words.
 
 Null and empty texts and lines of white space are never removed. Ids are whole numbers, a null id comes last. Of repeated
 rows, which nothing tells apart, each counts as the same lines: they keep or lose them alike.
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from brickwork.llm import anchors as A
 from brickwork.llm import blocks as B
 from brickwork.llm import kernels as K
-from brickwork.llm.jaccard import grams
 from brickwork.llm.native import unused
 from brickwork.session import materialize
 
@@ -39,8 +39,12 @@ _LAST = np.iinfo(np.int64).max
 #: A line's number within a slice is packed with the upper bits of its tokens for sorting, if it fits in the others.
 _BITS = np.uint64(42)
 _LINES = 1 << 22
-#: Rows, and pairs, worked on at a time.
-_ROWS, _PAIRS = 4096, 20_000
+#: Rows, and tokens of pairs, worked on at a time.
+_ROWS, _TOKENS = 4096, 1_000_000
+#: Tokens are told apart roughly by so many of their upper bits.
+_BUCKET_BITS = 20
+_BUCKET = np.uint64(64 - _BUCKET_BITS)
+_S32, _ODD = np.uint64(32), np.uint64(0x9E3779B97F4A7C15)
 
 Order = tuple[np.ndarray, np.ndarray]
 
@@ -52,27 +56,70 @@ def line_offsets(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, text, np.arange(len(at) - 1) - np.searchsorted(at, starts[text])
 
 
-def token_sets(buf: np.ndarray, at: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens (64 bits of hash) of each line, ordered by line, then token; and their line."""
+def grams(buf: np.ndarray, at: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of words of each line, in no order, and the line of each; shorter lines have one run, of all their words."""
+    begin, end, before = K.words(buf, at)
+    h, line = K.hash_words(buf, begin, end), K.owner(before)
+    n = max(len(h) - gram + 1, 0)
+    run = h[:n].copy()
+    for k in range(1, gram):
+        run ^= run >> _S32
+        run *= _ODD
+        run += h[k : k + n]
+    inside = line[:n] == line[gram - 1 :]
+    count = np.diff(before)
+    short = np.flatnonzero((count > 0) & (count < gram))
+    total = np.zeros(len(short), np.uint64)
+    for k in range(gram - 1):
+        has = count[short] > k
+        total[has] = K.mix(total[has] * np.uint64(31) + h[before[short[has]] + k])
+    return np.r_[K.mix(run[inside]), total], np.r_[line[:n][inside], short]
+
+
+def token_sets(buf: np.ndarray, at: np.ndarray, gram: int, order: Order | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens (64 bits of hash) of each line, by line, then frequent ones last by rank, then token; and their line."""
     s, line = grams(buf, at, gram)
     if len(s) == 0:
         return s, line
+    late, place = frequent(s, order)
     if len(at) > _LINES:
-        by = np.lexsort((s, line))
+        rank = np.zeros(len(s), np.int64)
+        rank[late] = place + 1
+        by = np.lexsort((s, rank, line))
+        s, line = s[by], line[by]
     else:
-        key = line.astype(np.uint64) << _BITS | s >> np.uint64(22)
+        key = line.astype(np.uint64) << _BITS | s >> np.uint64(23)
+        key[late] = line[late].astype(np.uint64) << _BITS | np.uint64(1 << 41) | place.astype(np.uint64)
         by = np.argsort(key, kind="stable")
-        key, low = key[by], s[by]
+        key, s = key[by], s[by]
         # Different tokens that agree in their upper bits are put in order as well.
-        same = np.flatnonzero((key[1:] == key[:-1]) & (low[1:] != low[:-1]))
+        same = np.flatnonzero((key[1:] == key[:-1]) & (s[1:] != s[:-1]))
         if len(same):
             tied = np.flatnonzero(np.isin(key, key[same]))
-            by[tied] = by[tied][np.lexsort((low[tied], key[tied]))]
-    s, line = s[by], line[by]
+            s[tied] = s[tied][np.lexsort((s[tied], key[tied]))]
+        line = (key >> _BITS).astype(np.int64)
     new = np.r_[True, (s[1:] != s[:-1]) | (line[1:] != line[:-1])]
     return s[new], line[new]
 
 
+def frequent(token: np.ndarray, order: Order | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where the frequent tokens are, and their ranks."""
+    if order is None or len(order[0]) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    known, rank = order
+    seen = np.zeros(1 << _BUCKET_BITS, bool)
+    seen[known >> _BUCKET] = True
+    at = np.flatnonzero(seen[token >> _BUCKET])
+    k = np.minimum(np.searchsorted(known, token[at]), len(known) - 1)
+    found = known[k] == token[at]
+    return at[found], rank[k[found]]
+
+
+def text_pieces(buf: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The lines of a slice as an Arrow column."""
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf)))
+
+
 def first_run(line: bytes, gram: int) -> list[bytes]:
     """The words of the first run: of a line with one token, all that its set holds."""
     return line.split(None, gram)[:gram]
@@ -83,21 +130,9 @@ def word_print(line: bytes, gram: int) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(first_run(line, gram)), digest_size=8).digest(), "little", signed=True)
 
 
-def by_rarity(token: np.ndarray, line: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of each line by rarity, their line, their place in the line, and the size of that line's set."""
-    known, rank = order
-    r = np.zeros(len(token), np.int64)
-    if len(known) and len(token):
-        k = np.minimum(np.searchsorted(known, token), len(known) - 1)
-        r = np.where(known[k] == token, rank[k] + 1, 0)
-        token = token[np.argsort(line * (len(known) + 2) + r, kind="stable")]
-    _, border = A.split_at(line)
-    size = np.diff(border)
-    return token, line, np.arange(len(line)) - np.repeat(border[:-1], size), np.repeat(size, size)
-
-
-def prefix(place: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
-    return place <= size - np.ceil(threshold * size - 1e-9)
+def prefix(size: np.ndarray, threshold: float) -> np.ndarray:
+    """How many tokens the prefixes of sets of these sizes hold."""
+    return np.where(size > 0, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, 0)
 
 
 def token_order(docs: DataFrame, gram: int) -> Order:
@@ -110,8 +145,14 @@ def token_order(docs: DataFrame, gram: int) -> Order:
         for whole in batches:
             for batch in A.cut(whole):
                 buf, starts = K.flat(batch.column("text"))
-                token, _ = token_sets(buf, line_offsets(buf, starts)[0], gram)
-                v, n = np.unique(token, return_counts=True)
+                token, line = grams(buf, line_offsets(buf, starts)[0], gram)
+                bucket = (token >> _BUCKET).astype(np.int64)
+                often = (np.bincount(bucket, minlength=1 << _BUCKET_BITS) >= OFTEN)[bucket]  # can be held often
+                token, line = token[often], line[often]
+                by = np.lexsort((line, token))
+                token, line = token[by], line[by]
+                once = np.r_[True, (token[1:] != token[:-1]) | (line[1:] != line[:-1])][: len(token)]
+                v, n = np.unique(token[once], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v[n >= OFTEN].astype(np.int64)), pa.array(n[n >= OFTEN])], names=["v", "n"])
 
     counts = docs.select("text").mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
@@ -126,38 +167,43 @@ def token_order(docs: DataFrame, gram: int) -> Order:
 def candidates(docs: DataFrame, gram: int, threshold: float, order: Order) -> DataFrame:
     """Lines with a prefix token that occurs again: rid, id, line, key ``c``, two hashes of the set, text, such tokens."""
 
+    def sets(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Offsets, texts and numbers of lines; tokens; of the lines that have any: line, first token, how many; tokens of prefixes, and whose."""
+        at, text, number = line_offsets(buf, starts)
+        token, line = token_sets(buf, at, gram, order)
+        begin, border = A.split_at(line)
+        size = np.diff(border)
+        head = prefix(size, threshold)
+        return at, text, number, token, line[begin], begin, size, K.ranges(begin, head), np.repeat(np.arange(len(begin)), head)
+
     def find(buf: np.ndarray, starts: np.ndarray) -> A.Found:
-        at, text, _ = line_offsets(buf, starts)
-        token, line, place, size = by_rarity(*token_sets(buf, at, gram), order)
-        first = prefix(place, size, threshold)
-        return token[first], text[line[first]]
+        _, text, _, token, line, _, _, first, whose = sets(buf, starts)
+        return token[first], text[line[whose]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in A.cut(whole):
                 buf, starts = K.flat(batch.column("text"))
-                at, text, number = line_offsets(buf, starts)
-                token, line, place, size = by_rarity(*token_sets(buf, at, gram), order)
-                first = np.flatnonzero(prefix(place, size, threshold))
-                live = first[A.surviving(token, first, text[line[first]], batch.column("v"))]
-                if len(live) == 0:
+                at, text, number, token, line, begin, size, first, whose = sets(buf, starts)
+                live = A.surviving(token, first, text[line[whose]], batch.column("v"))
+                first, whose = first[live], whose[live]
+                if len(first) == 0:
                     continue
-                begin, border = A.split_at(line[live])
-                own = line[live[begin]]
-                every, edge = A.split_at(line)
-                here = np.searchsorted(line[every], own)
-                total = lambda h: np.add.reduceat(h, every)[here].astype(np.int64)
+                edge, border = A.split_at(whose)
+                whose = whose[edge]
+                own, size = line[whose], size[whose]
+                every = token[K.ranges(begin[whose], size)]
+                total = lambda h: np.add.reduceat(h, np.cumsum(size) - size).astype(np.int64)
                 rid = batch.column("rid").to_numpy(zero_copy_only=False)[text[own]]
                 c = K.mix(rid.astype(np.uint64) ^ K.mix(number[own].astype(np.uint64))).astype(np.int64)
-                raw = buf.tobytes()
-                held = [raw[at[k] : at[k + 1]] for k in own]
-                q = total(K.mix(token ^ np.uint64(0x5BD1E995)))
-                for k in np.flatnonzero(size[every][here] == 1):  # both sums would hold no more than the one token
-                    q[k] = word_print(held[k], gram)
+                held = text_pieces(buf, at).take(pa.array(own)).cast(pa.string())
+                q = total(K.mix(every ^ np.uint64(0x5BD1E995)))
+                for k in np.flatnonzero(size == 1):  # both sums would hold no more than the one token
+                    q[k] = word_print(held[k].as_buffer().to_pybytes(), gram)
                 columns = [
                     pa.array(rid), pa.array(batch.column("id").to_numpy(zero_copy_only=False)[text[own]]), pa.array(number[own], pa.int32()), pa.array(c),
-                    pa.array(total(K.mix(token))), pa.array(q), pa.array([h.decode() for h in held], pa.string()),
-                    pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(token[live].astype(np.int64))),
+                    pa.array(total(K.mix(every))), pa.array(q), held,
+                    pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(token[first].astype(np.int64))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["rid", "id", "line", "c", "p", "q", "words", "tokens"])
 
@@ -165,52 +211,75 @@ def candidates(docs: DataFrame, gram: int, threshold: float, order: Order) -> Da
     return docs.join(again, "rid").select("rid", "id", "text", "v").mapInArrow(run, "rid long, id long, line int, c long, p long, q long, words string, tokens array<long>")
 
 
-def _similar(rows: pa.Table, group: np.ndarray, gram: int, threshold: float, order: Order) -> np.ndarray:
-    """Rows that are similar to an earlier one of their group; ``rows`` are ordered by id, rid and line."""
+def _common(number: np.ndarray, start: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of pairs of rows (from, to) with the numbers that both rows of a pair hold: the pair within the run, and the number."""
+    before = np.r_[0, np.cumsum(size[x] + size[y])]
+    at = 0
+    while at < len(x):
+        end = max(int(np.searchsorted(before, before[at] + _TOKENS, side="right")) - 1, at + 1)
+        a, b = x[at:end], y[at:end]
+        pair = np.r_[np.repeat(np.arange(len(a)), size[a]), np.repeat(np.arange(len(a)), size[b])]
+        both = number[np.r_[K.ranges(start[a], size[a]), K.ranges(start[b], size[b])]]
+        key = np.sort(pair.astype(np.uint64) << _BITS | both)
+        twice = key[1:][key[1:] == key[:-1]]
+        yield at, end, (twice >> _BITS).astype(np.int64), twice & ((np.uint64(1) << _BITS) - np.uint64(1))
+        at = end
+
+
+def _candidate_pairs(rows: pa.Table, group: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a group, the earlier one first, that meet in this place and pass the length filter."""
+    spot = rows.column("c").to_numpy()  # equal for repeated rows: one of them stands for all, as their results are the same
+    by = np.lexsort((spot, group))
+    one = np.sort(by[np.r_[True, (spot[by[1:]] != spot[by[:-1]]) | (group[by[1:]] != group[by[:-1]])]])
+    by = one[np.argsort(group[one], kind="stable")]
+    _, border = A.split_at(group[by])
+    after = np.repeat(border[1:], np.diff(border)) - np.arange(len(by)) - 1
+    x, y = by[np.repeat(np.arange(len(by)), after)], by[K.ranges(np.arange(len(by)) + 1, after)]
+    own, across = rows.column("own").to_numpy(), rows.column("i").to_numpy() != rows.column("j").to_numpy()
+    good = ~across[x] | (own[x] != own[y])
+    good &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
+    return x[good], y[good]
+
+
+def _similar(rows: pa.Table, group: np.ndarray, gram: int, threshold: float, order: Order, least: np.ndarray | None = None) -> np.ndarray:
+    """Rows that are similar to an earlier one of their group, of repeated rows one; ``rows`` are ordered by id, rid and line.
+
+    ``least`` has each group's token: a pair is left to the group of the least token that both prefixes hold, where it meets too.
+    """
     buf, at = K.flat(rows.column("words").combine_chunks())
-    token, row = token_sets(buf, at, gram)
+    token, row = token_sets(buf, at, gram, order)
     n = np.bincount(row, minlength=rows.num_rows)
     start = np.cumsum(n) - n
-    t, r, place, size = by_rarity(token, row, order)
-    first = np.flatnonzero(prefix(place, size, threshold))
-    spot = rows.column("c").to_numpy()  # equal for repeated rows, which don't make each other similar
-    own, across = rows.column("own").to_numpy(), rows.column("i").to_numpy() != rows.column("j").to_numpy()
-    key = K.mix(t[first] ^ K.mix(group[r[first]].astype(np.uint64)))
-    by = np.lexsort((r[first], key))
-    key, r, place = key[by], r[first][by], place[first][by]
-    found: list[np.ndarray] = []
-    far, head = 1, np.arange(len(key) - 1)
-    while len(head):
-        head = head[head + far < len(key)]
-        head = head[key[head] == key[np.minimum(head + far, len(key) - 1)]]
-        x, y = r[head], r[head + far]
-        good = (group[x] == group[y]) & (spot[x] != spot[y]) & (~across[x] | (own[x] != own[y]))
-        good &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9  # length filter
-        found.append(np.stack([x, y, place[head], place[head + far]])[:, good])
-        far += 1
-    if not found:
-        return np.zeros(0, np.int64)
-    x, y, i, j = np.concatenate(found, 1)
-    by = np.lexsort((i, y, x))
-    x, y, i, j = x[by], y[by], i[by], j[by]
-    one = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])] if len(x) else np.zeros(0, bool)
-    x, y, i, j = x[one], y[one], i[one], j[one]  # at the first token that both prefixes hold
+    x, y = _candidate_pairs(rows, group, n, threshold)
     need = np.ceil(threshold / (1 + threshold) * (n[x] + n[y]) - 1e-9)
-    good = 1 + np.minimum(n[x] - i - 1, n[y] - j - 1) >= need  # positional filter
-    x, y, need = x[good], y[good], need[good]
-    out = []
-    number, raw = np.unique(token, return_inverse=True)[1].astype(np.uint64), buf.tobytes()
-    for k in range(0, len(x), _PAIRS):
-        a, b = x[k : k + _PAIRS], y[k : k + _PAIRS]
-        pair = np.r_[np.repeat(np.arange(len(a)), n[a]), np.repeat(np.arange(len(a)), n[b])]
-        both = number[np.r_[K.ranges(start[a], n[a]), K.ranges(start[b], n[b])]]
-        key = np.sort(pair.astype(np.uint64) << _BITS | both)
-        same = np.bincount((key[1:][key[1:] == key[:-1]] >> _BITS).astype(np.int64), minlength=len(a))
-        good = same >= need[k : k + _PAIRS]
-        for m in np.flatnonzero(good & (n[a] == 1) & (n[b] == 1)):
-            good[m] = first_run(raw[at[a[m]] : at[a[m] + 1]], gram) == first_run(raw[at[b[m]] : at[b[m] + 1]], gram)
-        out.append(b[good])
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    head = prefix(n, threshold)
+    value, number = np.unique(token[K.ranges(start, head)].view(np.int64), return_inverse=True)
+    first = None if least is None else np.searchsorted(value, least)
+    shared, here = np.zeros(len(x), np.int64), np.ones(len(x), bool)
+    for a, b, pair, held in _common(number.astype(np.uint64), np.cumsum(head) - head, head, x, y):
+        shared[a:b] = np.bincount(pair, minlength=b - a)
+        if first is not None:
+            here[a + pair[held < first[group[x[a + pair]]]]] = False
+    # Positional filter, at the end of the prefix that ends first: what both hold up to there is in both prefixes.
+    here &= shared + np.maximum(n[x] - head[x], n[y] - head[y]) >= need
+    x, y, need, shared = x[here], y[here], need[here], shared[here]
+    hit, raw = np.zeros(rows.num_rows, bool), buf.tobytes()
+    used = np.unique(np.r_[x, y])
+    number = np.zeros(len(token), np.uint64)
+    at_used = K.ranges(start[used], n[used])
+    number[at_used] = np.unique(token[at_used], return_inverse=True)[1]
+    by = np.lexsort((-shared, y))
+    x, y, need = x[by], y[by], need[by]
+    best = np.r_[True, y[1:] != y[:-1]] if len(y) else np.zeros(0, bool)
+    for turn in (best, ~best):  # the most promising pair of each row first; the others, if that is none
+        todo = np.flatnonzero(turn & ~hit[y])
+        i, j = x[todo], y[todo]
+        for a, b, pair, _ in _common(number, start, n, i, j):
+            good = np.bincount(pair, minlength=b - a) >= need[todo[a:b]]
+            for m in a + np.flatnonzero(good & (n[i[a:b]] == 1) & (n[j[a:b]] == 1)):
+                good[m - a] = first_run(raw[at[i[m]] : at[i[m] + 1]], gram) == first_run(raw[at[j[m]] : at[j[m] + 1]], gram)
+            hit[j[a:b][good]] = True
+    return np.flatnonzero(hit)
 
 
 def matches(pairs: DataFrame, gram: int, threshold: float, order: Order) -> DataFrame:
@@ -219,10 +288,11 @@ def matches(pairs: DataFrame, gram: int, threshold: float, order: Order) -> Data
 
     def work(held: list[pa.Table]) -> pa.RecordBatch:
         group = np.repeat(np.arange(len(held)), [t.num_rows for t in held])
+        least = np.array([t.column("g")[0].as_py() for t in held])
         rows = pa.concat_tables(held)
         by = np.lexsort([rows.column(c).to_numpy() for c in ("line", "rid", "id")])
         rows, group = rows.take(pa.array(by)), group[by]
-        hit = pa.array(_similar(rows, group, gram, threshold, order))
+        hit = pa.array(_similar(rows, group, gram, threshold, order, least))
         return pa.RecordBatch.from_arrays([rows.column(c).take(hit).combine_chunks() for c in ("rid", "line")], names=["rid", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,6 +139,61 @@ def test_line_tokens(monkeypatch):
     assert lines._similar(rows, np.zeros(3, np.int64), 5, 0.8, (np.zeros(0, np.uint64), np.zeros(0, np.int64))).tolist() == [2]
 
 
+def test_lines_compared_once(monkeypatch):
+    """Lines that share many prefix tokens are compared in the group of the least of these; a shared run alone compares no sets."""
+    order, rng = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), random.Random(12)
+
+    def rows(texts):
+        zeros = [0] * len(texts)
+        return pa.table({"c": range(len(texts)), "own": zeros, "i": zeros, "j": zeros, "words": texts})
+
+    line = prose(rng, 60, 10**6)
+    pair = rows([line, line + " more"])
+    buf = np.frombuffer((line + "\n" + line + " more").encode(), np.uint8)
+    token, of = lines.token_sets(buf, np.array([0, len(line) + 1, len(buf)]), 5)
+    head = [set(token[of == k][: lines.prefix(np.array([56 + k]), 0.8)[0]].view(np.int64).tolist()) for k in (0, 1)]
+    both = sorted(head[0] & head[1])
+    assert len(both) > 5
+    assert [lines._similar(pair, np.zeros(2, np.int64), 5, 0.8, order, np.array([g])).tolist() for g in both] == [[1]] + [[]] * (len(both) - 1)
+    # Repeated rows stand for each other.
+    again = pa.concat_tables([pair.slice(0, 1), pair.slice(0, 1), pair.slice(1), pair.slice(1)])
+    assert lines._similar(again, np.zeros(4, np.int64), 5, 0.8, order).tolist() == [2]
+    compared, common = [], lines._common
+    monkeypatch.setattr(lines, "_common", lambda number, start, size, x, y: (compared.append(int((size[x] + size[y]).sum())), common(number, start, size, x, y))[1])
+    shared = rows([prose(rng, 5, 3) + " " + prose(rng, 95, 10**6) for _ in range(40)])
+    assert lines._similar(shared, np.zeros(40, np.int64), 5, 0.8, order).tolist() == []
+    assert sum(compared) == 780 * 2 * 20  # prefixes only, where sets would be 780 * 2 * 96
+    # Chunks of pairs, and what the first turn did not find.
+    monkeypatch.setattr(lines, "_TOKENS", 100)
+    assert lines._similar(rows([line, line + " more", prose(rng, 60, 10**6), line + " more yet"]), np.zeros(4, np.int64), 5, 0.8, order).tolist() == [1, 3]
+
+
+def test_lines_of_near_copies(spark):
+    """Chains of edits around the threshold, with repeated rows, null ids and tokens that many lines share."""
+    rng, texts = random.Random(21), []
+    for _ in range(12):
+        words = prose(rng, rng.choice([6, 25, 60, 150]), 10**5).split(" ")
+        for _ in range(14):
+            kept = list(words)
+            for _ in range(rng.randrange(4)):
+                kept[rng.randrange(len(kept))] = f"w{rng.randrange(9)}"
+            texts.append(rng.choice(["", "a b c d e f "]) + " ".join(kept[rng.randrange(3) :] + ["t"] * rng.randrange(12)))
+    rng.shuffle(texts)
+    docs = ["\n".join(texts[k : k + 4]) for k in range(0, len(texts), 4)]
+    seen, want = [], {}
+    for i, t in [*enumerate(docs[:-1]), (None, docs[-1])]:
+        want[i] = []
+        for k, s in enumerate(t.split("\n")):
+            mine = shingles(s)
+            if any(similar(mine, other) for other in seen):
+                want[i].append(k)
+            seen.append(mine)
+    rows = [*enumerate(docs[:-1]), (None, docs[-1]), *[(i, docs[i]) for i in range(0, 30, 3)] * 2]
+    found = lines.decisions(table(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert len(found) == len(rows) and 40 < sum(len(w) for w in want.values()) < 160
+    assert all(r["removed"] == want[r["doc_id"]] for r in found)
+
+
 def test_jaccard(spark):
     rng = random.Random(8)
     base = prose(rng, 120).split(" ")
